@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, mixing, tokencount
+from quillspark.llm import bpe, htmltext, langid, mixing, tokencount
 from quillspark.llm.common import table
 
 
@@ -18,6 +18,14 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.orderBy(F.get("occurrences", F.lit(0))["position"], "doc_id").select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -29,6 +37,8 @@ def op9_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op4_language_id": op4_language_id,
+    "op6_main_text": op6_main_text,
     "op7_token_counts": op7_token_counts,
     "op9_bpe_roundtrip": op9_bpe_roundtrip,
 }
