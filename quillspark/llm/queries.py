@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, htmltext, langid, mixing, tokencount
+from quillspark.llm import bpe, fingerprint, htmltext, knn, langid, mixing, tokencount
 from quillspark.llm.common import table
 
 
@@ -18,6 +18,23 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.orderBy(F.get("occurrences", F.lit(0))["position"], "doc_id").select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.search(table(spark, sf_dir, "embeddings"))
+
+
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+    return f.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        fingerprint.digest(F.col("vector")).alias("fingerprint"),
+        fingerprint.digest(F.col("edited_vector")).alias("edited_fingerprint"),
+        fingerprint.likeness(F.col("vector"), F.col("edited_vector")).alias("near_edited"),
+        fingerprint.likeness(F.col("vector"), F.col("next_vector")).alias("near_next"),
+    )
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -37,6 +54,8 @@ def op9_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_topk_search": op2_topk_search,
+    "op3_fingerprints": op3_fingerprints,
     "op4_language_id": op4_language_id,
     "op6_main_text": op6_main_text,
     "op7_token_counts": op7_token_counts,
@@ -65,3 +84,14 @@ select doc_id, size, source_size, target,
        (passes * size + greatest(0, least(size, floor(target - passes * source_size) - start)))::bigint as taken
 from p
 """
+ORACLE["op2_topk_search"] = """
+with v as (
+  select distinct vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as q
+  from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select a.vec_id as query_id, b.vec_id, coalesce(list_sum(list_transform(list_zip(a.q, b.q, true), lambda z: z[1] * z[2])), 0)::bigint as score
+  from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0),
+r as (select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score from s)
+select * from r where rank <= 10
+"""
