@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, fingerprint, htmltext, knn, langid, mixing, tokencount
+from quillspark.llm import bpe, fingerprint, htmltext, knn, langid, mixing, neardup, tokencount
 from quillspark.llm.common import table
 
 
@@ -39,6 +39,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=4)
+
+
 def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages"))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_topk_search": op2_topk_search,
     "op3_fingerprints": op3_fingerprints,
     "op4_language_id": op4_language_id,
+    "op5_near_duplicates": op5_near_duplicates,
     "op6_main_text": op6_main_text,
     "op7_token_counts": op7_token_counts,
     "op9_bpe_roundtrip": op9_bpe_roundtrip,
@@ -95,3 +100,21 @@ s as (
 r as (select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score from s)
 select * from r where rank <= 10
 """
+ORACLE["op5_near_duplicates"] = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+s as (
+  select doc_id, case when ws is null or len(ws) = 0 then [] when len(ws) < 4 then [array_to_string(ws, ' ')]
+    else list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))) end as sh
+  from w),
+n as (select doc_id, len(sh)::bigint as n_shingles from s),
+e as (select doc_id, unnest(sh) as g from s),
+r as (select g from e group by g having count(*) > 1),
+f as (select e.doc_id, hash(e.g) as h from e join r using (g)),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as common from f a join f b on a.h = b.h and a.doc_id < b.doc_id group by all),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * common >= 80 * (x.n_shingles + y.n_shingles - common)),
+u as (select a, b from l union all select b, a from l),
+c(doc_id, root) as (select doc_id, doc_id from documents union select u.b, c.root from c join u on u.a = c.doc_id where c.root < u.b)
+select n.doc_id, n.n_shingles, m.root as component_id, n.doc_id = m.root as kept
+from n join (select doc_id, min(root) as root from c group by doc_id) m using (doc_id)
+"""
