@@ -39,3 +39,28 @@ def count_words(text: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def bitmap(hashes: DataFrame, bits: int = 1 << 23) -> bytes:
+    """A bitmap of fixed size (a megabyte as it stands) of a frame's one column of 64-bit hashes.
+
+    It thins out rows before an exact join: a row whose bit is unset has no partner. With many more hashes than bits
+    nothing is thinned out, and nothing is lost.
+    """
+    import numpy as np
+
+    h = F.col(hashes.columns[0]).bitwiseAND(F.lit(bits - 1))
+    width = 1 << 15
+    parts = hashes.groupBy(F.expr(f"({hashes.columns[0]} & {bits - 1}L) div {width}").alias("part")).agg(F.bitmap_construct_agg(h % width).alias("map")).collect()
+    out = np.zeros((bits // width, width // 8), np.uint8)
+    for r in parts:
+        out[r.part] = np.frombuffer(r.map, np.uint8)
+    return out.tobytes()
+
+
+def may_hold(map_: bytes, hashes):
+    """Which of an array of 64-bit hashes have their bit set."""
+    import numpy as np
+
+    at = (hashes.astype(np.int64) & (len(map_) * 8 - 1)).astype(np.int64)
+    return (np.frombuffer(map_, np.uint8)[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, fingerprint, htmltext, knn, langid, mixing, neardup, tokencount
+from quillspark.llm import bpe, fingerprint, htmltext, knn, langid, linededup, mixing, neardup, tokencount
 from quillspark.llm.common import table
 
 
@@ -51,6 +51,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.digest(linededup.dedup_lines(table(spark, sf_dir, "documents")))
+
+
 def op9_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_near_duplicates": op5_near_duplicates,
     "op6_main_text": op6_main_text,
     "op7_token_counts": op7_token_counts,
+    "op8_line_dedup": op8_line_dedup,
     "op9_bpe_roundtrip": op9_bpe_roundtrip,
 }
 
@@ -118,3 +123,24 @@ c(doc_id, root) as (select doc_id, doc_id from documents union select u.b, c.roo
 select n.doc_id, n.n_shingles, m.root as component_id, n.doc_id = m.root as kept
 from n join (select doc_id, min(root) as root from c group by doc_id) m using (doc_id)
 """
+ORACLE["op8_line_dedup"] = """
+with l as (select doc_id, text, string_split(text, chr(10)) as ls from documents),
+o as (select doc_id, unnest(ls) as line, unnest(range(len(ls))) as no from l),
+d as (select line, length(line) as n, min(struct_pack(d := doc_id, k := no)) as first from o where length(line) >= 10 group by line),
+v as (select line, n, first, i, substr(line, 1, i - 1) || substr(line, i + 1) as rest
+      from (select *, unnest(range(1, n + 1)) as i from d where n >= 20)),
+s as (select i, rest, min(first) as first from v group by i, rest having count(*) > 1),
+near as (
+  select v.line from v join s on s.i = v.i and s.rest = v.rest and s.first < v.first
+  union
+  select v.line from v join d on d.line = v.rest and d.n >= 20 and d.first < v.first
+  union
+  select d.line from v join d on d.line = v.rest and d.n >= 20 and v.first < d.first),
+g as (select o.doc_id, o.no from o join d on d.line = o.line
+      where o.line in (select line from near) or struct_pack(d := o.doc_id, k := o.no) > d.first),
+k as (select o.doc_id, string_agg(o.line, chr(10) order by o.no) as kept from o anti join g on g.doc_id = o.doc_id and g.no = o.no group by o.doc_id)
+select l.doc_id, (case when text <> '' then len(ls) else 0 end)::bigint as n_lines,
+       coalesce((select count(*) from g where g.doc_id = l.doc_id), 0)::bigint as n_removed,
+       sha256(coalesce(k.kept, '')) as kept_sha256
+from l left join k using (doc_id)
+"""
