@@ -1,10 +1,59 @@
-"""A training corpus from documents: stages that each call one operator of quillspark.llm."""
+"""A training corpus from documents: stages that each call one operator of quillspark.llm.
+
+Each stage takes (spark, docs, sf_dir) and returns a frame; what it returns is written as Parquet and read again as the
+next one's docs. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillspark.llm import bpe, langid, linededup, mixing, neardup
+from quillspark.llm.common import table, written
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or of which no language has half the words, go; a null lang becomes the predicted one."""
+    told = langid.predict(docs, langid.fit(langid.sample(docs)), *docs.columns, names=("_lang", "_score"))
+    kept = told.filter((F.col("_lang") != "und") & (F.col("_score") >= langid.MIN_SCORE))
+    return kept.withColumn("lang", F.coalesce("lang", "_lang")).select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that stand earlier in the corpus go, and documents of which nothing is left; n_chars is that of what is left."""
+    out = linededup.dedup_lines(docs)
+    out = out.filter((F.col("n_removed") == 0) | F.coalesce("text", F.lit("")).rlike(r"\S"))
+    return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays: that of the least doc_id."""
+    kept = neardup.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_d")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in training order, once for each time that the mix takes them."""
+    return mixing.mixed_documents(docs, mixing.ranked_schedule(docs))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, digests of the ids and of the decoded bytes, and the ids."""
+    return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [("language ID", language), ("line dedup", line_dedup), ("MinHash near-dedup", near_dedup), ("mixing sources to target weights", mix), ("byte-level BPE encoding and decoding", encode)]
+
+#: Language ID, positions and merges are not SQL; tests/llm/test_pipeline.py holds the stages against plain Python.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = written(docs)
+    return docs

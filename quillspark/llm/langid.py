@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillspark.llm.bpe import runs
+from quillspark.llm.bpe import forget, runs
 
 SAMPLE_ROWS = 150
 SAMPLE_CHARS = 900
@@ -206,7 +206,8 @@ class Tagger:
 
     def documents(self, texts: list[str]) -> list[tuple[str, float]]:
         if len(self.place) > CACHE_ROWS:
-            self.place, self.odd, self.rows = {}, set(), self.rows[:0]
+            forget(self.place, CACHE_ROWS // 2)
+            self.rows = self.rows[: len(self.place)]
         tokens = [words_of(t) for t in texts]
         new = sorted({w for ws in tokens for w in set(ws).difference(self.place)})
         if new:
@@ -235,10 +236,10 @@ class Tagger:
 _taggers: list[Tagger] = []
 
 
-def predict(docs: DataFrame, model: Model | None, *keep: str) -> DataFrame:
-    """The columns keep, lang_pred and score for each row; text, and nothing else, decides."""
+def predict(docs: DataFrame, model: Model | None, *keep: str, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns keep, the language and its score for each row; text, and nothing else, decides."""
     if model is None:
-        return docs.select(*keep, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+        return docs.select(*keep, F.lit("und").alias(names[0]), F.lit(0.0).alias(names[1]))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # (BUCKETS + labels) x labels weights and LEXICON words a label
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,10 +250,10 @@ def predict(docs: DataFrame, model: Model | None, *keep: str) -> DataFrame:
             texts = [t or "" for t in batch.column(0).to_pylist()]
             for a, b in runs(texts):
                 lang, score = zip(*tagger.documents(texts[a:b]), strict=True)
-                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[1:]), pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[1:]), pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*keep, *names])
 
     kinds = dict(docs.dtypes)
-    return docs.select(F.col("text").alias("_text"), *keep).mapInArrow(apply, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", lang_pred string, score double")
+    return docs.select(F.col("text").alias("_text"), *keep).mapInArrow(apply, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + f", {names[0]} string, {names[1]} double")
 
 
 def identify(docs: DataFrame) -> DataFrame:
