@@ -23,7 +23,7 @@ FENCED_BODY = r"(?s)```[\w.+-]*[^\n]*\n(.*?)(?:\n```|$)"
 #: Letters that lose their mark when terms are compared, and what becomes of them.
 ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
 
-LINE_END = r"\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085  ]"
+LINE_END = r"\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085\u2028\u2029]"
 
 
 def tokens(text: Column) -> Column:

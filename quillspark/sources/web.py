@@ -7,6 +7,7 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -136,10 +137,8 @@ def to_markdown(page: str | None) -> str:
 
 def markdown(html: Column) -> Column:
     """Column form of to_markdown, over Arrow batches."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
 
-    @pandas_udf("string")
+    @F.pandas_udf("string")
     def convert(pages: pd.Series) -> pd.Series:
         return pages.map(to_markdown)
 

@@ -23,7 +23,7 @@ def test_text_kernel(spark):
     assert one(spark, "Ab a x9_y 9z café /p", T.tokens) == ["ab", "x9_y", "caf"]
     assert one(spark, "Café web_socket 12", T.terms) == ["cafe", "web", "socket", "12"]
     assert one(spark, "a  \t \n b ", T.collapse) == "a b"
-    assert one(spark, "a\r\nb c\n", T.lines) == ["a", "b", "c"]
+    assert one(spark, "a\r\nb\u2028c\n", T.lines) == ["a", "b", "c"]
     assert one(spark, "x  \n\n\n\n\ny \n", T.compact) == "x\n\n\ny"
     assert one(spark, "---\ntitle: x\n---\n\n# H\ntext", T.without_front_matter) == "# H\ntext"
     assert one(spark, "intro\n# The title \nx", T.title) == "The title"
