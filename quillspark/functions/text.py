@@ -26,6 +26,11 @@ ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaa
 LINE_END = r"\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085\u2028\u2029]"
 
 
+def let(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f uses it (lambdas have no common subexpressions)."""
+    return F.get(F.transform(F.array(value), lambda x: f(x)), F.lit(0))
+
+
 def tokens(text: Column) -> Column:
     """Lower-case tokens: a letter and up to 80 of letters, digits and _ . / : -"""
     return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0)), F.lower)
@@ -52,8 +57,7 @@ def strip(text: Column) -> Column:
 
 def lines(text: Column) -> Column:
     """Lines without their ends; no empty line behind the last end."""
-    parts = F.split(text, LINE_END)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return let(F.split(text, LINE_END), lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, F.lit(1), F.size(p) - 1)).otherwise(p))
 
 
 def compact(text: Column) -> Column:
@@ -75,7 +79,10 @@ def has_any(text: Column, parts: list[str]) -> Column:
 
 def cut_sentence(text: Column, limit: int) -> Column:
     """At most limit characters, cut at the last sentence end, else space, if that is past the half; ends with a period."""
-    head = F.substring(text, 1, limit)
+    return let(text, lambda x: let(F.substring(x, 1, limit), lambda head: _cut(x, head, limit)))
+
+
+def _cut(text: Column, head: Column, limit: int) -> Column:
     last = lambda part: F.char_length(head) - F.char_length(F.substring_index(head, part, -1)) - len(part)
     at = last(". ")
     at = F.when(F.contains(head, F.lit(". ")) & (at >= limit // 2), at).otherwise(F.when(F.contains(head, F.lit(" ")) & (last(" ") >= limit // 2), last(" ")).otherwise(limit))
@@ -84,9 +91,12 @@ def cut_sentence(text: Column, limit: int) -> Column:
 
 def rank_score(candidate: Column, wanted: Column) -> Column:
     """Hits of wanted terms, one more for a sign of code, 0.55 of that for a heading."""
-    plain = collapse(candidate)
-    hits = F.size(F.array_intersect(F.array_distinct(tokens(plain)), wanted)) + has_any(plain, RANK_MARKERS).cast("int")
-    return F.when(plain == "", F.lit(0.0)).otherwise(hits * F.when(F.regexp_replace(candidate, r"(?U)^\s+", "").startswith("#"), F.lit(0.55)).otherwise(F.lit(1.0)))
+
+    def of(plain: Column) -> Column:
+        hits = F.size(F.array_intersect(tokens(plain), wanted)) + has_any(plain, RANK_MARKERS).cast("int")
+        return F.when(plain == "", F.lit(0.0)).otherwise(hits * F.when(plain.startswith("#"), F.lit(0.55)).otherwise(F.lit(1.0)))
+
+    return let(collapse(candidate), of)
 
 
 def best(candidates: Column, wanted: Column) -> Column:
@@ -105,7 +115,9 @@ def excerpt(content: Column, wanted: Column) -> Column:
     """The best of a text's blocks and of its matching lines with up to two followers."""
 
     def of_block(block: Column) -> Column:
-        useful = F.filter(F.filter(F.transform(lines(block), strip), lambda x: x != ""), lambda x: ~low_value_line(x))
+        return let(F.filter(F.filter(F.transform(let(block, lines), strip), lambda x: x != ""), lambda x: ~let(x, low_value_line)), of_lines)
+
+    def of_lines(useful: Column) -> Column:
         window = lambda x, i: F.when(F.arrays_overlap(tokens(collapse(x)), wanted), F.array_join(_until_heading(F.slice(useful, i + 1, 3)), "\n"))
         found = F.filter(F.transform(useful, window), lambda x: x.isNotNull())
         return F.when(F.size(useful) > 0, F.concat(found, F.array(F.array_join(useful, "\n")))).otherwise(F.array().cast("array<string>"))
@@ -122,7 +134,10 @@ def _until_heading(window: Column) -> Column:
 
 def summary(content: Column, wanted: Column) -> Column:
     """The best sentence or heading."""
-    plain = without_fences(content)
+    return let(without_fences(content), lambda plain: _summary(plain, wanted))
+
+
+def _summary(plain: Column, wanted: Column) -> Column:
     parts = F.filter(F.transform(F.split(plain, r"(?U)(?<=[.!?])\s+|\n{2,}"), strip), lambda x: x != "")
     heads = F.transform(F.filter(lines(plain), lambda x: strip(x).startswith("#")), lambda x: strip(F.regexp_replace(x, r"^[# ]+|[# ]+$", "")))
     text = strip(F.regexp_replace(collapse(best(F.concat(parts, heads), wanted)), r"^#+", ""))
