@@ -63,7 +63,7 @@ def bm25(index: DataFrame, sizes: DataFrame, query: str) -> DataFrame:
     hits = phrase_hits(index, query)
     stats = F.broadcast(sizes.agg(F.count(F.lit(1)).alias("chunks"), F.avg("length").alias("mean")))  # one row
     spread = F.broadcast(hits.groupBy("phrase").agg(F.count(F.lit(1)).alias("df")))  # a row a phrase of the query
-    j = hits.join(spread, "phrase").join(sizes, "chunk_id").crossJoin(stats)
+    j = hits.join(spread, "phrase").join(sizes.select("chunk_id", "length"), "chunk_id").crossJoin(stats)
     idf = F.log((F.col("chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf) * F.col("hits") * (K1 + 1) / (F.col("hits") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
     return j.groupBy("chunk_id", "source_id").agg((-F.sum(weight)).alias("bm25"))
