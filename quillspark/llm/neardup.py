@@ -6,12 +6,12 @@ trees grow by recursion: a node picks BRANCHES positions, and its classes are di
 class follows its own chosen paths. With two branches, a pair at 0.8 or more meets again in some child with a
 probability of at least 0.9375 however deep a tree grows, so five trees lose one such pair in a million.
 
-Nodes of up to SMALL classes are compared exhaustively. Of a larger one, every class is compared with a hub (the
-class that agrees most with the tokens that prevail in the node), and the node branches. Pairs whose signatures agree in
+Nodes of up to SMALL classes are compared exhaustively; larger ones branch. Of one that is large after DEPTH levels,
+every class is compared with a hub (the class that agrees most with the tokens that prevail in the node). Pairs whose signatures agree in
 fewer than 35 of 64 positions are dropped (one pair in a million at 0.8); the others are confirmed on the full sets,
-those that agree best first, and never within a component that is known already. What is still large after DEPTH
-levels and has several components is compared in blocks: the classes outside its main component with all others. So a
-group of copies costs a comparison each, and no link between components is left out.
+those that agree best first, and never within a component that is known already. What is large after DEPTH
+levels and then has several components is compared in blocks on the full sets: the classes outside its main component with
+all others. So a group of copies costs a comparison each, and no link between components is left out.
 
 A set holds the distinct shingles of so many words (all words, if fewer), a 64-bit hash each. Null texts and those
 without words have an empty set: no link, a component of their own. Every row gives a row; rows that share a doc_id are
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import written
+from quillspark.llm.common import bitmap, may_hold, written
 from quillspark.llm.graph import components
 from quillspark.llm.shingles import POSITIONS, alike, identity, mixed, shingle_set, signature
 
@@ -36,7 +36,8 @@ SIZE, PERCENT = 5, 80
 TREES, BRANCHES, DEPTH, SMALL = 5, 2, 3, 32
 #: Of POSITIONS; the binomial tail below it is 1e-6 at 0.8.
 AGREE = 35
-BLOCK = 1_000
+BLOCK = 500
+FIRST = 3
 
 
 def classes_of(docs: DataFrame, size: int) -> DataFrame:
@@ -91,49 +92,101 @@ def _pairs(rows: DataFrame) -> DataFrame:
     return rows.select("node", F.col("class").alias("a"), F.col("signature").alias("sa")).join(other, "node").filter(F.col("a") < F.col("b")).drop("node")
 
 
+def _prevailing(rows: DataFrame) -> DataFrame:
+    """node, prevailing: at each position the commonest token of a node, out of the commonest of its blocks."""
+
+    def of_block(group: pa.Table) -> pa.Table:
+        tokens = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint32).reshape(-1, POSITIONS)
+        best, counts = np.empty(POSITIONS, np.uint32), np.empty(POSITIONS, np.int32)
+        for i in range(POSITIONS):
+            values, n = np.unique(tokens[:, i], return_counts=True)
+            best[i], counts[i] = values[n.argmax()], n.max()
+        return pa.table({"node": group.column("node")[:1], "token": pa.array([best.tobytes()], pa.binary()), "times": pa.array([counts.tobytes()], pa.binary())})
+
+    def of_node(group: pa.Table) -> pa.Table:
+        token, times = (np.frombuffer(b"".join(group.column(c).to_pylist()), k).reshape(-1, POSITIONS) for c, k in (("token", np.uint32), ("times", np.int32)))
+        best = np.empty(POSITIONS, np.uint32)
+        for i in range(POSITIONS):
+            values, at = np.unique(token[:, i], return_inverse=True)
+            best[i] = values[np.bincount(at, times[:, i]).argmax()]
+        return pa.table({"node": group.column("node")[:1], "prevailing": pa.array([best.tobytes()], pa.binary())})
+
+    block = F.pmod(F.xxhash64("class"), F.ceil(F.col("n") / BLOCK)).alias("block")
+    blocks = rows.select("node", "signature", block).groupBy("node", "block").applyInArrow(of_block, "node long, token binary, times binary")
+    return blocks.groupBy("node").applyInArrow(of_node, "node long, prevailing binary")
+
+
 def _stars(rows: DataFrame) -> DataFrame:
-    """Every class of a node with its hub."""
-    bytes4 = F.transform(F.sequence(F.lit(1), F.lit(4 * POSITIONS), F.lit(4)), lambda i: F.substring("signature", i, F.lit(4)))
-    tokens = rows.select("node", "class", F.posexplode(bytes4).alias("at", "token"))
-    counts = tokens.groupBy("node", "at", "token").count()
-    prevail = counts.groupBy("node", "at").agg(F.max(F.struct("count", "token"))["token"].alias("token"))
-    agree = tokens.join(prevail, ["node", "at", "token"]).groupBy("node", "class").count()
-    hubs = agree.groupBy("node").agg(F.max(F.struct("count", "class"))["class"].alias("hub"))
-    hubs = hubs.join(rows.select("node", F.col("class").alias("hub"), F.col("signature").alias("sb")), ["node", "hub"])
+    """Every class of a node (rows with its number n of classes) with its hub."""
+
+    def agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint32).reshape(-1, POSITIONS) for c in ("signature", "prevailing"))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array((x == y).sum(1), pa.int32())], ["node", "class", "signature", "agree"])
+
+    agree = rows.join(_prevailing(rows), "node").select("node", "class", "signature", "prevailing").mapInArrow(agreeing, "node long, class binary, signature binary, agree int")
+    hubs = agree.groupBy("node").agg(F.max(F.struct("agree", "class", "signature")).alias("h")).select("node", F.col("h.class").alias("hub"), F.col("h.signature").alias("sb"))
     pairs = rows.join(hubs, "node").filter(F.col("class") != F.col("hub"))
     swap = F.col("class") > F.col("hub")
     return pairs.select(F.when(swap, F.col("hub")).otherwise(F.col("class")).alias("a"), F.when(swap, F.col("class")).otherwise(F.col("hub")).alias("b"), F.when(swap, F.col("sb")).otherwise(F.col("signature")).alias("sa"), F.when(swap, F.col("signature")).otherwise(F.col("sb")).alias("sb"))
 
 
-def _with_root(rows: DataFrame, column: str, roots: DataFrame | None, name: str) -> DataFrame:
-    if roots is None:
-        return rows.withColumn(name, F.col(column))
+def _with_root(rows: DataFrame, column: str, roots: DataFrame, name: str) -> DataFrame:
     return rows.join(roots.select(F.col("node").alias(column), F.col("root").alias(name)), column, "left").withColumn(name, F.coalesce(name, column))
 
 
-def _blocks(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """Candidates between the components of each large node: its classes outside the main component with all others."""
-    rows = _with_root(rows, "class", roots, "root")
-    main = rows.groupBy("node", "root").count().groupBy("node").agg(F.max(F.struct("count", "root"))["root"].alias("main"), F.sum("count").alias("n"), F.count(F.lit(1)).alias("parts"))
-    rows = rows.join(main.filter(F.col("parts") > 1), "node").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+def _crowds(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """crowd, class, root: the classes of the large nodes that have several components; nodes with the same main
+    component are one crowd, so that a group of copies is one whatever nodes it is in."""
+    rows = _with_root(rows.select("node", "class"), "class", roots, "root")
+    main = rows.groupBy("node", "root").count().groupBy("node").agg(F.max(F.struct("count", "root"))["root"].alias("crowd"), F.count(F.lit(1)).alias("parts"))
+    return rows.join(main.filter(F.col("parts") > 1), "node").select("crowd", "class", "root").distinct()
+
+
+def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """The sizes of the intersections of all sets a with all sets b, by products of incidence matrices."""
+    out = np.zeros((len(a), len(b)), np.float32)
+    values, at = np.unique(np.concatenate([*a, *b, np.zeros(0, np.uint64)]), return_inverse=True)
+    split = sum(map(len, a))
+    sides = [(at[:split], np.repeat(np.arange(len(a)), [len(x) for x in a])), (at[split:], np.repeat(np.arange(len(b)), [len(x) for x in b]))]
+    common = np.flatnonzero((np.bincount(sides[0][0], minlength=len(values)) > 0) & (np.bincount(sides[1][0], minlength=len(values)) > 0))
+    place = np.full(len(values), -1)
+    place[common] = np.arange(len(common))
+    sides = [(place[c][place[c] >= 0], r[place[c] >= 0]) for c, r in sides]
+    for lo in range(0, len(common), 4096):
+        x, y = (np.zeros((n, 4096), np.float32) for n in out.shape)
+        for m, (c, r) in zip((x, y), sides, strict=True):
+            own = (c >= lo) & (c < lo + 4096)
+            m[r[own], c[own] - lo] = 1
+        out += x @ y.T
+    return out
+
+
+def _crowd_links(crowds: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links of each crowd's classes outside its main component with all its classes, in blocks, on the full sets."""
+    n = crowds.groupBy("crowd").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    rows = crowds.join(n, "crowd").join(sets, "class")
     mine = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    side = lambda r, x, y, name: r.select("node", x.alias("i"), y.alias("j"), "class", "signature", "root", F.lit(name).alias("side"))
-    dealt = side(rows.filter(F.col("root") != F.col("main")), mine, every, "out").union(side(rows, every, mine, "all"))
+    side = lambda r, x, y, name: r.select("crowd", x.alias("i"), y.alias("j"), "class", "root", "shingles", F.lit(name).alias("side"))
+    dealt = side(rows.filter(F.col("root") != F.col("crowd")), mine, every, "out").union(side(rows, every, mine, "all"))
 
     def apply(group: pa.Table) -> pa.Table:
         side, cls, root = (np.array(group.column(c).to_pylist(), object) for c in ("side", "class", "root"))
-        tokens = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint32).reshape(-1, POSITIONS)
+        sets_ = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
         out, full = np.flatnonzero(side == "out"), np.flatnonzero(side == "all")
-        a, b, agree = [], [], []
-        for o in out:
-            same = (tokens[full] == tokens[o]).sum(1)
-            for k in np.flatnonzero((same >= AGREE) & (root[full] != root[o])):
-                x, y = cls[o], cls[full[k]]
-                a.append(min(x, y)), b.append(max(x, y)), agree.append(int(same[k]))
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "agree": pa.array(agree, pa.int32())})
+        sizes = np.array([len(x) for x in sets_])
+        common = overlaps([sets_[k] for k in out], [sets_[k] for k in full]).astype(np.int64)
+        linked = (100 * common >= percent * (sizes[out][:, None] + sizes[full] - common)) & (root[out][:, None] != root[full])
+        # One link for each class and component does: the others say nothing new.
+        a, b = [], []
+        for i in np.flatnonzero(linked.any(1)):
+            _, first = np.unique([root[full[k]] for k in np.flatnonzero(linked[i])], return_index=True)
+            for k in np.flatnonzero(linked[i])[first]:
+                a.append(cls[out[i]]), b.append(cls[full[k]])
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
-    return dealt.groupBy("node", "i", "j").applyInArrow(apply, "a binary, b binary, agree int").distinct()
+    return dealt.groupBy("crowd", "i", "j").applyInArrow(apply, "a binary, b binary")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -145,7 +198,16 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             fits = [identity(s) == c for s, c in zip(sets, b.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([c for c, f in zip(b.column(1).to_pylist(), fits, strict=True) if f], pa.binary()), pa.array([s.tobytes() for s, f in zip(sets, fits, strict=True) if f], pa.binary())], ["class", "shingles"])
 
-    texts = docs.select(F.col("doc_id").alias("_d"), "text").join(wanted, F.col("_d").eqNullSafe(F.col("doc_id"))).select("text", "class")
+    key = lambda c: F.xxhash64(F.col(c))
+    map_ = bitmap(wanted.select(key("doc_id").alias("h")))
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(may_hold(map_, b.column(2).to_numpy()))).select(["_d", "text"])
+
+    kind = dict(docs.dtypes)["doc_id"]
+    thin = docs.select(F.col("doc_id").alias("_d"), "text", key("doc_id").alias("h")).mapInArrow(likely, f"_d {kind}, text string")
+    texts = thin.join(wanted, F.col("_d").eqNullSafe(F.col("doc_id"))).select("text", "class")
     return texts.mapInArrow(apply, "class binary, shingles binary").dropDuplicates(["class"])
 
 
@@ -159,21 +221,19 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(own("a", "xa"), "a").join(own("b", "xb"), "b").select("a", "b", "xa", "xb").mapInArrow(apply, "a binary, b binary")
 
 
-def _linked(candidates: DataFrame, sets: DataFrame, percent: int, links: DataFrame | None) -> tuple[DataFrame | None, DataFrame | None]:
-    """The links so far and their components, after confirming what lies between components, best agreement first."""
-    roots = None if links is None else written(components(links))
-    width, left = 1, candidates
-    while True:
-        left = written(_with_root(_with_root(left.select("a", "b", "agree"), "a", roots, "ra"), "b", roots, "rb").filter(F.col("ra") != F.col("rb")))
-        if left.isEmpty():
-            return links, roots
-        rank = lambda c: F.row_number().over(W.partitionBy(c).orderBy(F.desc("agree"), "a", "b")) <= width
-        chosen = written(left.withColumn("pick", rank("a") | rank("b")))
-        found = written(_confirmed(chosen.filter("pick"), sets, percent))
-        left = chosen.filter(~F.col("pick"))
-        links = found if links is None else links.union(found)
-        roots = written(components(links))
-        width *= 8
+def _linked(candidates: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The links among candidates and their components: first each class's FIRST best candidates are confirmed, then all
+    that lie between the components these make."""
+    rank = lambda c: F.row_number().over(W.partitionBy(c).orderBy(F.desc("agree"), "a", "b")) <= FIRST
+    chosen = written(candidates.withColumn("pick", rank("a") | rank("b")))
+    links = written(_confirmed(chosen.filter("pick"), sets, percent))
+    roots = written(components(links))
+    rest = _with_root(_with_root(chosen.filter(~F.col("pick")).select("a", "b"), "a", roots, "ra"), "b", roots, "rb").filter(F.col("ra") != F.col("rb"))
+    more = written(_confirmed(rest, sets, percent))
+    if more.isEmpty():
+        return links, roots
+    links = links.union(more)
+    return links, written(components(links))
 
 
 def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
@@ -187,24 +247,25 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -
     for level in range(DEPTH):
         crowd = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
         shared = written(nodes.join(crowd, "node"))
-        large = shared.filter(F.col("n") > SMALL).drop("n")
-        pairs = _agreement(_pairs(shared.filter(F.col("n") <= SMALL).drop("n"))).union(_agreement(_stars(large)))
+        large = shared.filter(F.col("n") > SMALL)
+        pairs = _agreement(_pairs(shared.filter(F.col("n") <= SMALL).drop("n")))
         found = pairs if found is None else found.union(pairs)
-        if level < DEPTH - 1:
-            nodes = _descend(large.repartition(tasks), TREES)
+        if level == DEPTH - 1:
+            found = found.union(_agreement(_stars(large)))
+        else:
+            nodes = _descend(large.drop("n").repartition(tasks), TREES)
     found = written(found.distinct())
     between = lambda c: c.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     sets = written(_sets(docs, classes.select("doc_id", "class").join(between(found), "class"), size))
-    links, roots = _linked(found, sets, percent, None)
-    rest = written(_blocks(large, roots))
-    if not rest.isEmpty():
-        more = between(rest).join(sets.select("class"), "class", "left_anti")
-        sets = written(sets.union(_sets(docs, classes.select("doc_id", "class").join(more, "class"), size)))
-        links, roots = _linked(rest, sets, percent, links)
-    named = _with_root(classes.select("class", "doc_id"), "class", roots, "root").withColumn("least", F.col("doc_id"))
-    if roots is not None:
-        firsts = named.groupBy("root").agg(F.min("doc_id").alias("least"))
-        named = named.drop("least").join(firsts, "root")
+    links, roots = _linked(found, sets, percent)
+    crowds = written(_crowds(large, roots))
+    if not crowds.isEmpty():
+        more = crowds.select("class").distinct().join(sets.select("class"), "class", "left_anti")
+        sets = sets.union(written(_sets(docs, classes.select("doc_id", "class").join(more, "class"), size)))
+        inside = written(_crowd_links(crowds, sets, percent))
+        roots = written(components(links.union(inside)))
+    named = _with_root(classes.select("class", "doc_id"), "class", roots, "root")
+    named = named.join(named.groupBy("root").agg(F.min("doc_id").alias("least")), "root")
     out = rows.join(named.select("class", F.col("least").alias("component_id")), "class", "left")
     own = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
