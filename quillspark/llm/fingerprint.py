@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 PARAGRAPH_END = r"(?<=[.!?,;:])\s+|[\r\n]+"
 SEEDS = 4  # 64-bit hashes of a paragraph; each gives two exact lanes
-SKETCHES = 2  # of those hashes, so many give 21 lanes of three counters
+SKETCHES = 1  # of those hashes, so many give 21 lanes of three counters
 _BITS = 21
 _ONES = 1 | 1 << _BITS | 1 << 2 * _BITS
 _LOW, _TOP, _FIELD = (1 << 32) - 1, (1 << 62) - 1, (1 << _BITS) - 1
@@ -75,19 +75,24 @@ def digest(v: Column) -> Column:
 
 
 def signs(v: Column) -> Column:
-    """The sums of signs behind a vector's sketch."""
-    n = F.get(v, F.lit(EXACT))
-    lanes = F.slice(v, EXACT + 2, SKETCH)
+    """The sums of signs behind a vector's sketch, or behind the sketch alone."""
+    n = F.get(v, F.size(v) - SKETCH - 1)
+    lanes = F.slice(v, F.size(v) - SKETCH + 1, F.lit(SKETCH))
     field = lambda f: F.transform(lanes, lambda x: F.shiftright(x, f * _BITS).bitwiseAND(F.lit(_FIELD)))
     counters = F.concat(*map(field, range(3)))
     return F.transform(counters, lambda c: (2 * c - n).cast("double"))
 
 
+def sketch_of(v: Column) -> Column:
+    """The number of paragraphs and the SKETCH lanes, which likeness needs."""
+    return F.slice(v, F.size(v) - SKETCH, F.lit(SKETCH + 1))
+
+
 def likeness(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, z: s + z)
     norm = F.sqrt(dot(signs(a), signs(a)) * dot(signs(b), signs(b)))
     share = F.when(norm > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), dot(signs(a), signs(b)) / norm))).otherwise(F.lit(0.0))
-    return F.when(a == b, F.lit(1.0)).otherwise(share)
+    return F.when(sketch_of(a) == sketch_of(b), F.lit(1.0)).otherwise(share)
 
 
 def neighbours(docs: DataFrame) -> DataFrame:
@@ -107,7 +112,7 @@ def neighbours(docs: DataFrame) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, vector, edited_vector, next_vector for each row of docs.
+    """doc_id, n_chars, edited_sha256, vector, edited_vector, next_sketch for each row of docs.
 
     Texts move twice: once to learn from whom they get and to whom they give a prefix, then the part that stays (half)
     and the prefix given (no more than is needed) meet.
@@ -118,9 +123,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     met = d.join(gives, "key").withColumn("vector", vector(F.col("text")))
     half = F.expr("n_chars div 2")
     stays = F.struct(F.lit(1).alias("role"), F.col("key").alias("at"), F.lit(0).cast("long").alias("tie"), F.expr("substring(text, 1, cast(n_chars - n_chars div 2 as int))").alias("part"), "vector")
-    given = F.struct(F.lit(0).alias("role"), F.col("to").alias("at"), F.xxhash64("text").alias("tie"), F.expr("substring(text, 1, cast(need as int))").alias("part"), "vector")
+    given = F.struct(F.lit(0).alias("role"), F.col("to").alias("at"), F.xxhash64("text").alias("tie"), F.expr("substring(text, 1, cast(need as int))").alias("part"), sketch_of(F.col("vector")).alias("vector"))
     both = met.select("doc_id", "n_chars", F.explode(F.array(stays, given)).alias("x")).select("doc_id", "n_chars", "x.*")
     first = W.partitionBy("at").orderBy("role", "tie").rowsBetween(W.unboundedPreceding, 0)
     own = both.withColumn("got", F.first(F.struct("part", "vector")).over(first)).filter(F.col("role") == 1)
     own = own.withColumn("edited", F.concat("part", F.substring("got.part", F.lit(1), half.cast("int"))))
-    return own.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "vector", vector(F.col("edited")).alias("edited_vector"), F.col("got.vector").alias("next_vector"))
+    return own.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "vector", vector(F.col("edited")).alias("edited_vector"), F.col("got.vector").alias("next_sketch"))

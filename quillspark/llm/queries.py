@@ -31,7 +31,7 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         fingerprint.digest(F.col("vector")).alias("fingerprint"),
         fingerprint.digest(F.col("edited_vector")).alias("edited_fingerprint"),
         fingerprint.likeness(F.col("vector"), F.col("edited_vector")).alias("near_edited"),
-        fingerprint.likeness(F.col("vector"), F.col("next_vector")).alias("near_next"),
+        fingerprint.likeness(F.col("vector"), F.col("next_sketch")).alias("near_next"),
     )
 
 
