@@ -149,3 +149,26 @@ select l.doc_id, (case when text <> '' then len(ls) else 0 end)::bigint as n_lin
        sha256(coalesce(k.kept, '')) as kept_sha256
 from l left join k using (doc_id)
 """
+ORACLE["op6_main_text"] = r"""
+with a as (select page_id, url, string_split_regex(regexp_extract(html, '(?s)<article>(.*?)(?:</article>|$)', 1), '</?(?:p|h1)>') as parts from pages),
+b as (select page_id, url, list_transform(parts, lambda x: regexp_replace(regexp_replace(
+        replace(regexp_replace(replace(replace(replace(regexp_replace(regexp_replace(x, '</?b>', '', 'g'), '<br>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&#39;', ''''), '&quot;?', '"', 'g'), '&amp', '&')
+        .replace('&;', '&'), '\s+', ' ', 'g'), '^ | $', '', 'g')) as texts from a),
+t as (select page_id, url, array_to_string(list_filter(texts, lambda x: x <> ''), chr(10) || chr(10)) as text from b)
+select page_id, url, text, length(text)::bigint as n_chars from t
+"""
+ORACLE["op10_suffix_dedup"] = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h, octet_length(encode(coalesce(text, '')))::bigint as n from documents),
+w as (select doc_id, p, substr(h, 2 * p + 1, 100) as s from (select doc_id, h, unnest(range(n - 49)) as p from d where n >= 50)),
+m as (select s, min(doc_id) as first from w group by s),
+r as (select w.doc_id, w.p from w join m using (s) where w.doc_id > m.first),
+g as (select *, case when p <= lag(p) over (partition by doc_id order by p) + 50 then 0 else 1 end as opens from r),
+o as (select *, sum(opens) over (partition by doc_id order by p) as k from g),
+s as (select doc_id, k, min(p) as a, max(p) + 50 as b from o group by doc_id, k),
+f as (select *, coalesce(lag(b) over (partition by doc_id order by a), 0) as z from s),
+c as (select f.doc_id, sum(b - a) as removed, count(*) as spans, max(b) as last, string_agg(substr(h, 2 * z + 1, 2 * (a - z)), '' order by a) as kept
+      from f join d using (doc_id) group by f.doc_id)
+select d.doc_id, d.n as n_bytes, coalesce(removed, 0)::bigint as n_removed, coalesce(spans, 0)::bigint as n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) as kept_sha256
+from d left join c using (doc_id)
+"""
