@@ -7,7 +7,7 @@ inverted index leads from each mergeable pair's rank to the places of that pair
 ranks in order, each merge is applied at all its places, and only the neighbours of a changed place get new entries.
 A document is then the concatenation of its segments' ids.
 
-Segments' ids are remembered between batches (up to CACHE_ROWS of them, then the memory is emptied), which changes
+Segments' ids are remembered between batches (up to CACHE_ROWS of them and those of one batch), which changes
 nothing but the time. Ranks and pattern are parameters; the vocabulary file stays where it is.
 
 Null and empty texts have no tokens. Repeated rows are encoded each; other columns of the input are not read.
@@ -27,6 +27,8 @@ import regex
 from pyspark.sql import DataFrame
 
 CACHE_ROWS = 300_000
+#: So many of them stay when a task ends, since its worker goes on with other work.
+REST_ROWS = 40_000
 #: Documents whose texts are handled together hold at most so many characters, besides the last of them.
 BATCH_CHARS = 4_000_000
 
@@ -43,59 +45,68 @@ def segments(text: str, known: dict) -> tuple[list[str], set[str]]:
     return pieces, new
 
 
+def forget(memory: dict, keep: int) -> None:
+    """Drops all but the entries that came first, among which the common ones are."""
+    for k in list(memory)[keep:]:
+        del memory[k]
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def replay(words: list[bytes], ranks: dict[bytes, int]) -> list[list[int]]:
+def pair_table(ranks: dict[bytes, int]) -> dict[int, int]:
+    """The rank of each pair of tokens that together are a token, by both tokens' ranks in one integer."""
+    get = ranks.get
+    return {a << 17 | b: r for t, r in ranks.items() for i in range(1, len(t)) if (a := get(t[:i])) is not None and (b := get(t[i:])) is not None}
+
+
+def replay(words: list[bytes], ranks: dict[bytes, int], pairs: dict[int, int] | None = None) -> list[list[int]]:
     """The ids of each word. Every merge runs over all words at once, in rank order; ties from left to right.
 
     A merge may give rise to a pair of a lower rank than its own. The places left are then put back, so that each word
     sees its lowest rank first, as if it were alone.
     """
-    parts: list[bytes | None] = []
+    get = (pair_table(ranks) if pairs is None else pairs).get
+    byte = [ranks.get(bytes([i]), -1) for i in range(256)]
+    parts: list[int] = []  # token ids; -1: merged away, or a gap between words, which makes no key of a pair
     for w in words:
-        parts += [w[i : i + 1] for i in range(len(w))]
-        parts.append(None)  # a gap that no merge crosses
+        parts += [byte[c] for c in w]
+        parts.append(-1)
     n = len(parts)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     places: dict[int, list[int]] = {}
-    get = ranks.get
-    for i in range(n - 1):
-        a, b = parts[i], parts[i + 1]
-        if a is not None and b is not None and (r := get(a + b)) is not None:
-            places.setdefault(r, []).append(i)
+    for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)):
+        if (r := get(a << 17 | b)) is not None:
+            if r in places:
+                places[r].append(i)
+            else:
+                places[r] = [i]
     heap = list(places)
     heapq.heapify(heap)
     while heap:
         rank = heapq.heappop(heap)
-        todo = places.pop(rank, None)
-        if todo is None:
-            continue
+        todo = places.pop(rank)
         todo.sort()
         for k, i in enumerate(todo):
-            a = parts[i]
-            if a is None or (j := after[i]) >= n or (b := parts[j]) is None or get(a + b) != rank:
+            j = after[i]
+            if get(parts[i] << 17 | parts[j]) != rank:
                 continue
-            whole = parts[i] = a + b
-            parts[j] = None
+            parts[i], parts[j] = rank, -1
             after[i] = nxt = after[j]
             before[nxt] = i
+            p = before[i]
             lower = False
-            if (p := before[i]) >= 0 and (left := parts[p]) is not None and (r := get(left + whole)) is not None:
-                if r not in places:
-                    places[r] = []
-                    heapq.heappush(heap, r)
-                places[r].append(p)
-                lower = r <= rank
-            if (right := parts[nxt]) is not None and (r := get(whole + right)) is not None:
-                if r not in places:
-                    places[r] = []
-                    heapq.heappush(heap, r)
-                places[r].append(i)
-                lower = lower or r <= rank
-            if lower:
+            for at, key in ((p, parts[p] << 17 | rank), (i, rank << 17 | parts[nxt])):
+                if (r := get(key)) is not None:
+                    if r in places:
+                        places[r].append(at)
+                    else:
+                        places[r] = [at]
+                        heapq.heappush(heap, r)
+                    lower = lower or r < rank
+            if lower and k + 1 < len(todo):
                 if rank not in places:
                     places[rank] = []
                     heapq.heappush(heap, rank)
@@ -105,7 +116,7 @@ def replay(words: list[bytes], ranks: dict[bytes, int]) -> list[list[int]]:
     for w in words:
         ids, end = [], at + len(w)
         while at < end:
-            ids.append(ranks[parts[at]])
+            ids.append(parts[at])
             at = after[at]
         out.append(ids)
         at = end + 1
@@ -117,7 +128,7 @@ class Encoder:
 
     def __init__(self, path: str, pattern: str):
         self.ranks, self.pattern = read_ranks(path), regex.compile(pattern)
-        self.token = {i: b for b, i in self.ranks.items()}
+        self.pairs, self.token = pair_table(self.ranks), {i: b for b, i in self.ranks.items()}
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}  # without their leading space
         self.words: dict[bytes, bytes] = {}
@@ -126,7 +137,7 @@ class Encoder:
         split = {s: [w.encode() for w in self.pattern.findall(s)] for s in first}
         spaced = {s: [w.encode() for w in self.pattern.findall(f" {s}")] for s in later}
         new = list({w for found in (split, spaced) for ws in found.values() for w in ws} - self.words.keys())
-        for w, ids in zip(new, replay(new, self.ranks), strict=True):
+        for w, ids in zip(new, replay(new, self.ranks, self.pairs), strict=True):
             self.words[w] = np.array(ids, "<u4").tobytes()
         for found, memory in ((split, self.first), (spaced, self.later)):
             for s, ws in found.items():
@@ -134,7 +145,8 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.first) + len(self.later) > CACHE_ROWS:
-            self.first.clear(), self.later.clear(), self.words.clear()
+            for memory in (self.first, self.later, self.words):
+                forget(memory, CACHE_ROWS // 3)
         pieces, first, later = [], set(), set()
         for t in texts:
             ps, new = segments(t, self.later)
@@ -146,6 +158,10 @@ class Encoder:
         later_ids, first_ids = self.later.__getitem__, self.first
         return [first_ids[ps[0]] + b"".join(map(later_ids, ps[1:])) for ps in pieces]
 
+    def rest(self) -> None:
+        for memory in (self.first, self.later, self.words):
+            forget(memory, REST_ROWS)
+
     def decode(self, packed: bytes) -> bytes:
         return b"".join(map(self.token.__getitem__, np.frombuffer(packed, "<u4").tolist()))
 
@@ -189,6 +205,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool =
                 if with_ids:
                     out.append(pa.array([np.frombuffer(p, "<u4").astype("i4") for p in packed], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(out, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(out)])
+        coder.rest()
 
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", "text").mapInArrow(apply, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillspark.llm.bpe import forget, runs
+from quillspark.llm.bpe import REST_ROWS, forget, runs
 
 SAMPLE_ROWS = 150
 SAMPLE_CHARS = 900
@@ -204,10 +204,13 @@ class Tagger:
         self.place: dict[str, int] = {}
         self.odd: set[str] = set()
 
+    def trim(self, keep: int) -> None:
+        forget(self.place, keep)
+        self.rows = self.rows[:keep].copy()
+
     def documents(self, texts: list[str]) -> list[tuple[str, float]]:
         if len(self.place) > CACHE_ROWS:
-            forget(self.place, CACHE_ROWS // 2)
-            self.rows = self.rows[: len(self.place)]
+            self.trim(CACHE_ROWS // 2)
         tokens = [words_of(t) for t in texts]
         new = sorted({w for ws in tokens for w in set(ws).difference(self.place)})
         if new:
@@ -242,18 +245,24 @@ def predict(docs: DataFrame, model: Model | None, *keep: str, names: tuple[str,
         return docs.select(*keep, F.lit("und").alias(names[0]), F.lit(0.0).alias(names[1]))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # (BUCKETS + labels) x labels weights and LEXICON words a label
 
+    # The text goes to Python once, whether it is among the columns kept or not.
+    columns = keep if "text" in keep else (*keep, "text")
+    at = columns.index("text")
+
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not _taggers or _taggers[0].model is not shared.value:
             _taggers[:] = [Tagger(shared.value)]
         tagger = _taggers[0]
         for batch in batches:
-            texts = [t or "" for t in batch.column(0).to_pylist()]
+            texts = [t or "" for t in batch.column(at).to_pylist()]
             for a, b in runs(texts):
                 lang, score = zip(*tagger.documents(texts[a:b]), strict=True)
-                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[1:]), pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*keep, *names])
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[: len(keep)]), pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*keep, *names])
+
+        tagger.trim(REST_ROWS)
 
     kinds = dict(docs.dtypes)
-    return docs.select(F.col("text").alias("_text"), *keep).mapInArrow(apply, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + f", {names[0]} string, {names[1]} double")
+    return docs.select(*columns).mapInArrow(apply, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + f", {names[0]} string, {names[1]} double")
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ POSITIONS = 64
 _rng = np.random.default_rng(20)
 _FACTORS = _rng.integers(1, 2**63, POSITIONS, np.uint64) * np.uint64(2) + np.uint64(1)
 _MASKS = _rng.integers(0, 2**64 - 1, POSITIONS, np.uint64)
-CACHE_ROWS = 400_000
+CACHE_ROWS = 200_000
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

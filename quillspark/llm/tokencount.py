@@ -9,7 +9,7 @@ end are not used. A pre-token's tokens don't depend on its neighbours. Where two
 whole text is encoded again with chunks and overlaps four times as long, until they align or one chunk holds all.
 
 Small texts are cut into segments (see bpe.segments) which the library counts once each; counts of segments are
-remembered between batches (up to CACHE_ROWS of them, then the memory is emptied).
+remembered between batches (up to CACHE_ROWS of them and those of one batch).
 
 Special strings in texts count as the library's default has it (one token). Null and empty texts have 0 tokens and
 bytes. Repeated rows are counted each; equal huge texts are encoded once. The tokenizer is a parameter: any .json of
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.bpe import runs, segments
+from quillspark.llm.bpe import REST_ROWS, forget, runs, segments
 from quillspark.llm.common import written
 
 CHUNK_CHARS = 32_768
@@ -56,7 +56,7 @@ class Counter:
         if self.spaced:
             return self._lengths(texts)
         if len(self.first) + len(self.later) > CACHE_ROWS:
-            self.first.clear(), self.later.clear()
+            forget(self.first, CACHE_ROWS // 2), forget(self.later, CACHE_ROWS // 2)
         pieces, first, later = [], set(), set()
         for t in texts:
             ps, new = segments(t, self.later)
@@ -161,6 +161,7 @@ def count_tokens(docs: DataFrame, path: str, max_tokens: int = MAX_TOKENS, chunk
             for a, b in runs(texts):
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(c.count(texts[a:b]), pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+        forget(c.first, REST_ROWS), forget(c.later, REST_ROWS)
 
     d = docs.select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     huge = F.coalesce(F.char_length("text") > chunk, F.lit(False))
