@@ -38,6 +38,7 @@ BITS = 1 << 26
 LAST = 2**63 - 1  # the place of a null doc_id
 #: Texts are handled in runs of about so many bytes.
 RUN_BYTES = 1 << 20
+PART_ROWS = 2_000
 
 _BASE = 0x9E3779B97F4A7C15
 _letters = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
@@ -100,6 +101,13 @@ def _documents(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("d", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("t", F.xxhash64("text").cast("long").bitwiseAND(F.lit(2**31 - 1)).cast("int"))
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parts of PART_ROWS documents: what a worker holds of texts and anchors at once, and what shares a blob."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, PART_ROWS):
+            yield batch.slice(a, PART_ROWS)
+
+
 def _batches(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, Run]]:
     """Runs of documents (d, t, text) with their d and t."""
     texts = [t.encode() for t in batch.column(2).to_pylist()]
@@ -142,7 +150,7 @@ def _first_pass(docs: DataFrame, buckets: int) -> bytes:
     """A bitmap of the digits (their upper 40 bits) that two documents have."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             own, docs_ = [], []
             for d, _, run in _batches(batch):
                 i, _, _, digit, _ = run.anchors()
@@ -167,7 +175,7 @@ def _second_pass(docs: DataFrame, digits: bytes, buckets: int) -> DataFrame:
     schema = "d long, t int, s long, n int, c long"
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             found: list[list[np.ndarray]] = [[] for _ in range(6)]
             for d, t, run in _batches(batch):
                 i, a, b, digit, whole = run.anchors()
@@ -209,7 +217,7 @@ def _third_pass(docs: DataFrame, digits: bytes, runs: bytes, buckets: int) -> Da
     """d, t, s, n: a window from s on that an earlier document has too, of the runs that had to go deeper."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             found: list[list[np.ndarray]] = [[] for _ in range(4)]
             for d, t, run in _batches(batch):
                 i, a, b, digit, whole = run.anchors()
