@@ -41,3 +41,30 @@ def test_query_rows(spark, tmp_path):
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert op3_fingerprints(spark, str(tmp_path)).count() == 0
+
+
+def test_likeness_of_unlike_texts(spark):
+    text = lambda i: "\n".join(f"paragraph {i} {k}" for k in range(20))
+    v = spark.createDataFrame([(text(i), text(i + 1000)) for i in range(600)], "a string, b string").select(fp.vector(F.col("a")).alias("a"), fp.vector(F.col("b")).alias("b"))
+    got = [r[0] for r in v.select(fp.likeness(F.col("a"), F.col("b"))).collect()]
+    assert sum(x > 0.2 for x in got) < 0.03 * len(got)  # 0.012 expected of 126 counters, 0.056 of 63
+    assert (2 * sum(x * x for x in got) / len(got)) ** 0.5 < 0.1
+
+
+def test_counters_have_all_their_bits(spark):
+    lanes = [0] * fp.EXACT + [1 << 20] + [(1 << 20) << 42] * fp.SKETCH
+    most = [0] * fp.EXACT + [1] + [(1 << 63) - 1] * fp.SKETCH
+    v = spark.createDataFrame([(lanes, most, [0] * len(lanes))], "a array<long>, b array<long>, zero array<long>")
+    back = fp.removed(fp.added(F.col("b"), F.col("b")), F.col("b"))
+    r = v.select(fp.added(F.col("a"), F.col("zero")).alias("a"), back.alias("b")).first()
+    assert r.a == lanes and r.b == most
+
+
+def test_vectors_survive_the_shuffle(spark):
+    texts = [""] + ["\n".join(f"{n} line {k % 90}" for k in range(n)) for n in (1, 5, 126, 127, 128, 129, 400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {r.doc_id: r.v for r in docs.select("doc_id", fp.vector(F.col("text")).alias("v")).collect()}
+    got = fp.fingerprints(docs).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        assert r.vector == want[r.doc_id] and r.next_sketch == want[(r.doc_id - 1) % len(texts)][fp.EXACT :]
