@@ -6,7 +6,8 @@ footer, aside or form; in an element whose class or id names such a thing; a hea
 small labelled table LAYOUTS, says which blocks are main text. Scripts, styles, comments and heads are no blocks.
 
 Null and empty html give an empty text. Unclosed tags, broken attributes and unfinished character references are read
-as far as they go. Repeated rows are read each; other columns are not read.
+as far as they go: of what isn't read, only a script, style or textarea without an end tag lasts to the end of the page; a head
+ends at the first tag of a body, an option at a tag that isn't inline. Repeated rows are read each; other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,7 +22,6 @@ from pyspark.sql import DataFrame
 
 _markup = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|svg|iframe|select|textarea|head|button|option)\b[^<>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-z][a-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+|[^<>]*)>"
     r"|<[!?/][^<>]*>",
     re.I | re.S,
@@ -34,7 +34,17 @@ INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code"
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 CHROME = {"nav", "footer", "aside", "form", "menu", "dialog", "header"}
 MAIN = {"article", "main"}
+#: No text of a page: RAW up to its end tag or that of the page; UNREAD only with an end tag of its own (those of NESTED pair up).
+RAW = {"script", "style", "textarea"}
+UNREAD = {"noscript", "template", "svg", "iframe", "select", "button", "option", "title"}
+NESTED = {"svg", "template"}
+#: Tags that leave a head open.
+IN_HEAD = {"head", "title", "meta", "link", "base", "script", "style", "noscript", "template"}
 HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
+_tags = {t: re.compile(rf"<(/?){t}(?![a-z0-9:-])((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+|[^<>]*)>", re.I) for t in UNREAD | {"head"}}
+_raw_ends = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
+#: An option without an end tag: text and inline tags.
+_option = re.compile(rf"(?:[^<]|<(?![a-z/!?])|<(?=/?(?:{'|'.join(sorted(INLINE))})(?![a-z0-9:-])))*+", re.I)
 #: Elements whose place counts for the blocks within; of the others only those with a telling class or id.
 PLACES = CHROME | MAIN
 
@@ -199,6 +209,21 @@ def fitted() -> Tree:
     return Tree(np.vstack(xs), np.array(ys))
 
 
+def ends_of(page: str, tag: str) -> dict[int, int]:
+    """Where the elements of a tag end, by where their start tags end; those without an end tag are left out."""
+    ends: dict[int, int] = {}
+    opened: list[int] = []
+    for m in _tags[tag].finditer(page):
+        if m[1]:
+            if opened:
+                ends[opened.pop()] = m.end()
+        elif not (tag == "svg" and m[2].endswith("/")):
+            if tag not in NESTED:
+                opened.clear()
+            opened.append(m.end())
+    return ends
+
+
 def blocks_of(page: str) -> tuple[list[str], list[tuple[int, int, bool, bool, bool, bool]]]:
     """The texts of a page's blocks, and what is known of each."""
     texts: list[str] = []
@@ -225,18 +250,36 @@ def blocks_of(page: str) -> tuple[list[str], list[tuple[int, int, bool, bool, bo
         if link:
             linked += len(text.split())
 
-    at = 0
-    for m in _markup.finditer(page):
-        if m.start() > at:
+    at, head = 0, 0  # head: where an open head that has an end tag ends; its text is not read
+    found: dict[str, dict[int, int]] = {}
+    while m := _markup.search(page, at):
+        if m.start() > at and m.start() >= head:
             say(page[at : m.start()])
         at = m.end()
-        if m[1]:
-            if m[1].lower() not in ("button", "svg", "option"):
-                end()
+        if not m[2]:
             continue
-        if not m[3]:
+        tag, closing = m[2].lower(), bool(m[1])
+        if tag not in IN_HEAD:
+            head = 0
+        if not closing and tag in RAW:
+            last = _raw_ends[tag].search(page, at)
+            at = last.end() if last else len(page)
+            end()
             continue
-        tag, closing = m[3].lower(), bool(m[2])
+        if not closing and (tag in UNREAD or tag == "head"):
+            if tag not in found:
+                found[tag] = ends_of(page, tag)
+            past = found[tag].get(at)
+            if tag == "head":
+                head = past or 0
+            elif past or tag in ("button", "svg", "option"):
+                if past:
+                    at = past
+                elif tag == "option":
+                    at = _option.match(page, at).end()
+                if tag not in ("button", "svg", "option"):
+                    end()
+                continue
         if tag == "a":
             link = not closing
             continue
@@ -261,7 +304,7 @@ def blocks_of(page: str) -> tuple[list[str], list[tuple[int, int, bool, bool, bo
                 what = "chrome"
             elif tag in MAIN:
                 what = "main"
-            elif m[4] and ((_hidden.search(m[4])) or any(_chrome_name.search(n.strip("\"'")) for n in _named.findall(m[4]))):
+            elif m[3] and ((_hidden.search(m[3])) or any(_chrome_name.search(n.strip("\"'")) for n in _named.findall(m[3]))):
                 what = "named"
             if what or any(p[0] == tag for p in places):
                 places.append((tag, what))

@@ -35,3 +35,31 @@ def test_markup_is_linear():
     t = time.time()
     htmltext.blocks_of("<a '" * 20000 + "<!-- " * 20000)
     assert time.time() - t < 20
+
+
+def test_missing_end_tags_lose_no_text():
+    read = lambda page: htmltext.blocks_of(page)[0]
+    rest = "<article><p>The text.</p></article>"
+    assert read(f"<html><head><title>t</title><meta content='a>b'><body>{rest}") == ["The text."]
+    assert read(f"<html><head><title>t</title><script>'<div>'</script>{rest}") == ["The text."]
+    assert read(f"<head>stray<title>t</title></head><body>{rest}") == ["The text."]
+    assert read("<datalist><option>x<option>y</datalist><p>rest") == ["rest"]
+    assert read("<select><option>x<option>y</select><p>rest") == ["rest"]
+    assert read(f"<option>x{rest}<option>y</option>") == ["The text."]
+    assert read("<svg/><p>rest") == read("<svg viewBox='0'/><p>rest<svg><text>no</text></svg>") == ["rest"]
+    assert read("<svg><svg><text>no</text></svg><text>no</text></svg><p>rest") == ["rest"]
+    for tag in ("select", "button", "iframe", "noscript", "template", "svg"):
+        assert read(f"<{tag}>{rest}") == ["The text."]
+        assert read(f"<{tag}>{rest}<{tag}>no</{tag}><p>more") == ["The text.", "more"]
+        assert read(f"<p>a</p><{tag} x='>'>no</{tag}>{rest}") == ["a", "The text."]
+    for tag in ("script", "style", "textarea"):
+        assert read(f"{rest}<{tag}>no <p>no") == ["The text."]
+
+
+def test_missing_end_tags_are_linear():
+    import time
+
+    t = time.time()
+    for tag in ("head", "title", "option", "svg", "svg/", "select", "template", "button", "head><title", "script"):
+        htmltext.blocks_of(f"<{tag}>" * 20000)
+    assert time.time() - t < 20
