@@ -293,10 +293,15 @@ FENCED = "text || chr(10) || '```py' || chr(10) || 'const ' || source || ' = {'
 
 @query("select doc_id, 'const ' || source || ' = {' || doc_id || '}' as code from documents where text not like '%```%'")
 def code_blocks(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").filter(~F.contains("text", F.lit("```")))
+    d = read(spark, sf_dir, "documents")
     return d.select("doc_id", T.code(F.expr(FENCED.replace("chr(10)", "'\\n'")), wanted()).alias("code"))
 
 
+@query(None)
+def code_blocks_whole(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", T.code(F.col("text"), wanted()).alias("code"))
+
+
 @query(None)
 def excerpt(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", T.excerpt(F.col("text"), wanted()).alias("excerpt"))
@@ -331,6 +336,12 @@ def web_clean(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.sha2(T.clean_web(md), 256).alias("clean_sha256"), T.web_chrome(md).alias("chrome"))
 
 
+@query(None)
+def web_clean_whole(spark, sf_dir):
+    text = F.col("text")
+    return read(spark, sf_dir, "documents").select("doc_id", F.sha2(T.clean_web(text), 256).alias("clean_sha256"), T.web_chrome(text).alias("chrome"))
+
+
 @query("select doc_id, coalesce(trim(regexp_extract(text, '(?m)^#\\s+(.+)$', 1)), '') as none, 'T ' || source as title from documents")
 def infer_title(spark, sf_dir):
     d = read(spark, sf_dir, "documents")
@@ -378,18 +389,36 @@ def sections(spark, sf_dir):
     return d.select("doc_id", "ordinal", F.array_join("s.path", " > ").alias("path"), F.sha2("s.text", 256).alias("section_sha256"))
 
 
+@query(None)
+def sections_whole(spark, sf_dir):
+    from quillspark.operators.chunking import sections as split
+
+    d = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(split(F.col("text"))).alias("ordinal", "s"))
+    return d.select("doc_id", "ordinal", F.array_join("s.path", " > ").alias("path"), F.sha2("s.text", 256).alias("section_sha256"))
+
+
 @query("""select doc_id, case doc_id % 4 when 0 then 'text' when 1 then 'code' when 2 then 'mixed' else 'table' end as kind from documents""")
 def chunk_kind(spark, sf_dir):
     made = F.when(F.col("doc_id") % 4 == 0, "just plain words").when(F.col("doc_id") % 4 == 1, "a\n```py\nx = 1\n```").when(F.col("doc_id") % 4 == 2, "one two three four five six\n```\nx\n```").otherwise("| aa | bb |\n|---|:---:|\n| cc | dd |")
     return read(spark, sf_dir, "documents").select("doc_id", T.chunk_kind(made).alias("kind"))
 
 
+@query(None)
+def chunk_kind_whole(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", T.chunk_kind(F.col("text")).alias("kind"))
+
+
 @query("select doc_id, case doc_id % 5 when 0 then 'markdown' when 1 then 'html' when 2 then 'yaml' when 3 then 'web' else 'text' end as kind from documents")
 def content_type(spark, sf_dir):
     end = F.element_at(F.array(*map(F.lit, [".MD", ".htm", ".yml", "", ".rs"])), (F.col("doc_id") % 5 + 1).cast("int"))
     return read(spark, sf_dir, "documents").select("doc_id", T.content_type(F.concat(F.when(F.col("doc_id") % 5 == 3, "https://h.example/a").otherwise("/a/b"), F.col("doc_id").cast("string"), end)).alias("kind"))
 
 
+@query(None)
+def content_type_whole(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", T.content_type(F.col("url")).alias("kind"))
+
+
 @query("select doc_id, left(sha1('u' || doc_id || chr(10) || source || chr(10) || lang || chr(10) || text), 16) as key from documents")
 def parent_key(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", T.parent_key(F.concat(F.lit("u"), F.col("doc_id").cast("string")), F.array("source", "lang"), F.col("text")).alias("key"))
@@ -405,7 +434,7 @@ def chunk_pipeline(spark, sf_dir):
     from quillspark.operators.chunking import chunked
 
     d = read(spark, sf_dir, "documents")
-    return chunked(d.select(F.col("doc_id").alias("document_id"), F.col("source").alias("source_id"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("uri"), F.col("source").alias("title"), markdown().alias("content")))
+    return chunked(d.select(F.col("doc_id").alias("document_id"), F.col("source").alias("source_id"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("uri"), F.col("source").alias("title"), F.col("text").alias("content")))
 
 
 @query(None)
