@@ -1,27 +1,33 @@
 """Suffix dedup by a depth-limited radix sort: every byte of a WINDOW-byte string that starts in an earlier document goes.
 
-The suffixes are ordered by digits, the most significant first, and only as deep as WINDOW bytes; equal groups at that
-depth are the repeated windows. Suffixes that fall into a group of one document are out after each pass, so only what
-may repeat goes deeper:
-
-1. The first digit is the least hashed DIGIT-byte string within a window (the same in equal windows, so consecutive
-   windows share one, an anchor). Tasks send the distinct digits of their documents, in blobs by bucket; digits of two
-   documents are kept, as a bitmap of fixed size, which only thins out what follows.
-2. Anchors with such a digit are ordered by the digit and the whole run of bytes that their windows cover. A run that
-   also stands in an earlier document is done: all its windows go. Runs that share a digit but not the run go deeper.
-3. The windows of those runs are ordered at full depth.
-
-Blobs are dealt by hash buckets, and each task sends a run, and a window's bytes, only for its earliest document. All
-comparisons are by 64-bit hashes of the bytes (of 128 bits in pass 2). Matches never cross documents, overlaps count, and what is judged is the input.
-
-Null and empty texts have no bytes. A null doc_id comes after all others. Documents that share a doc_id don't remove
-each other's bytes. Every row gives a row.
+Suffixes are ordered by most significant digits, only as deep as WINDOW bytes; groups that are equal at that depth are
+the repeated windows. A pass groups the suffixes by their first bytes to its depth (DEPTHS), and a group that lies in one
+document drops out, so only what may repeat goes deeper. Which bytes come first is rotated: a window begins at its
+anchor, the place of its least hashed DIGIT-byte string, and the bytes to its left follow those to its right. Equal windows
+have equal anchors, and some 14 consecutive windows share one, so that a pass moves one digit for all of them; without the
+rotation a pass would move a key for every byte of text.
+
+1. Depth 24: the anchors' digits that two documents have.
+2. The windows in a row that share an anchor are a run. A run that stands in an earlier document too is done: all its
+   windows go. Of each run the earliest goes deeper, if its digit has runs of another kind.
+3. Depth 37: each half of a run is known by the bytes that all its windows share; halves in one document drop out.
+4. Depth 50: what is left of the runs' windows is grouped by the windows themselves.
+
+Passes 1 and 3 only thin out: their keys are hashes, and what they find comes back to the texts as a bitmap of at most
+MAX_BITS bits, sized by the number of keys. Beyond that it fills up, lets more through, and loses nothing. Passes 2 and 4 decide, by
+128-bit hashes. Keys are dealt to BUCKETS_A_PARTITION groups for each shuffle partition, so groups grow with the data
+only as far as the partitions set do; a task sends a key once however often it has it (for its earliest document), so a
+hot passage costs a row a task. Matches never cross documents, overlaps count, and what is judged is the input.
+
+Null and empty texts have no bytes. A null doc_id comes after all others, and with 2^63 - 1, the largest; doc_ids are integers.
+Documents that share a doc_id don't remove each other's bytes; they are told apart by a 32-bit hash of their texts.
+Every row gives a row; other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,223 +36,277 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import bitmap, may_hold, written
-from quillspark.llm.shingles import mixed
 
 WINDOW, DIGIT = 50, 24
-BUCKETS = 256
-BITS = 1 << 26
+#: Depths of the passes that only thin out; the first is the digit's, the last pass has the whole window.
+DEPTHS = (DIGIT, 37)
+BUCKETS_A_PARTITION = 1
+MAX_BITS = 1 << 28
 LAST = 2**63 - 1  # the place of a null doc_id
-#: Texts are handled in runs of about so many bytes.
-RUN_BYTES = 1 << 20
-PART_ROWS = 2_000
-
-_BASE = 0x9E3779B97F4A7C15
-_letters = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-_tables: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _grown(n: int) -> list[np.ndarray]:
-    """Powers of the base and of its inverse modulo 2 ** 64."""
-    if len(_tables[0]) < n:
-        for i, b in enumerate((_BASE, pow(_BASE, -1, 2**64))):
-            _tables[i] = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n + n // 4, b, np.uint64)]))
-    return _tables
-
-
-class Run:
-    """Some documents' bytes in a row, with hashes of any stretch of them."""
-
-    def __init__(self, texts: list[bytes]):
-        self.sizes = np.array([len(t) for t in texts])
-        self.starts = np.cumsum(self.sizes) - self.sizes
-        data = np.frombuffer(b"".join(texts), np.uint8)
-        up, self.down = _grown(len(data) + 1)
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_letters[data] * up[: len(data)], out=self.sums[1:])
-
-    def hashes(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return mixed((self.sums[b] - self.sums[a]) * self.down[a] + (b - a).astype(np.uint64))
-
-    def anchors(self) -> tuple[np.ndarray, ...]:
-        """For each anchor its document's index, its first window, the end of its windows, its digit's hash, its run's hash."""
-        n = len(self.sums) - 1
-        windows = np.concatenate([np.arange(s, s + k - WINDOW + 1) for s, k in zip(self.starts.tolist(), self.sizes.tolist(), strict=True) if k >= WINDOW] or [np.zeros(0, np.int64)])
-        if not len(windows):
-            return (windows,) * 5
-        at = np.arange(n - DIGIT + 1)
-        digits = self.hashes(at, at + DIGIT)
-        place = minimizers(digits, WINDOW - DIGIT + 1)[windows]
-        first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-        a = windows[first]
-        b = windows[np.concatenate([first[1:], [len(windows)]]) - 1] + 1
-        return np.searchsorted(self.starts, a, "right") - 1 if (self.sizes > 0).all() else self._owner(a), a, b, digits[place[first]], self.hashes(a, b + WINDOW - 1)
-
-    def _owner(self, a: np.ndarray) -> np.ndarray:
-        full = np.flatnonzero(self.sizes)
-        return full[np.searchsorted(self.starts[full], a, "right") - 1]
-
-
-def minimizers(h: np.ndarray, width: int) -> np.ndarray:
-    """For each width consecutive hashes the place of the least, the first of equals."""
-    value, place, have = h, np.arange(len(h)), 1
+#: Windows are hashed so many at a time, which fits a core's cache; so many keys are held before they are sent.
+CHUNK, HELD = 1 << 16, 3_000_000
+_PAD = 64
+_SPAN = WINDOW - DIGIT + 1
+_A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
+_29, _31, _32 = (np.uint64(x) for x in (29, 31, 32))
+
+
+def _from(data: np.ndarray, at: int, n: int) -> np.ndarray:
+    """The eight bytes from each of n consecutive places on, as integers."""
+    return np.ndarray((n,), np.uint64, data, at, (1,))
+
+
+def _digits(data: np.ndarray, at: int, n: int) -> np.ndarray:
+    h = _from(data, at, n) * _A
+    h ^= h >> _29
+    h += _from(data, at + 8, n) * _B
+    h *= _D
+    h ^= h >> _31
+    h += _from(data, at + 16, n) * _C
+    h *= _A
+    h ^= h >> _32
+    h *= _D
+    return h
+
+
+def string_hash(data: np.ndarray, at: np.ndarray, length: int, seed: int) -> np.ndarray:
+    """Hashes of the strings of a length from given places on."""
+    every = _from(data, 0, len(data) - 7)
+    h = np.full(len(at), seed, np.uint64)
+    for off in (*range(0, length - 7, 8), length - 8):
+        h ^= every[at + off]
+        h *= _A
+        h ^= h >> _29
+        h *= _B
+        h ^= h >> _32
+    h *= _D
+    return h ^ (h >> _29)
+
+
+def sliding_least(h: np.ndarray, width: int) -> np.ndarray:
+    have = 1
     while have < width:
         step = min(have, width - have)
-        take = value[step:] < value[:-step]
-        value, place = np.where(take, value[step:], value[:-step]), np.where(take, place[step:], place[:-step])
+        h = np.minimum(h[step:], h[:-step])
         have += step
-    return place
+    return h
+
+
+class Texts:
+    """The bytes of some documents in a row, and their runs: document i, first window, end, digit of each."""
+
+    def __init__(self, column: pa.Array):
+        wide = pa.types.is_large_string(column.type)
+        at = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+        body = column.buffers()[2]
+        own = np.frombuffer(body, np.uint8)[at[0] : at[-1]] if body is not None and len(column) else np.zeros(0, np.uint8)
+        self.data = np.concatenate([own, np.zeros(_PAD + WINDOW, np.uint8)])
+        self.starts, self.ends, self.size = at[:-1] - at[0], at[1:] - at[0], len(own)
+
+    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Runs of at most _SPAN windows whose least digits are equal."""
+        last = np.maximum(self.starts, self.ends - WINDOW + 1)  # a document's windows end here
+        edge = np.zeros(self.size + 1, np.int32)
+        np.add.at(edge, last, 1), np.add.at(edge, self.ends, -1)
+        inside = np.cumsum(edge)[: self.size] == 0
+        firsts, digits, before = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], None
+        for a in range(0, self.size, CHUNK):
+            n = min(CHUNK, self.size - a)
+            least, own = sliding_least(_digits(self.data, a, n + _SPAN - 1), _SPAN), inside[a : a + n]
+            new = own.copy()
+            new[1:] &= ~own[:-1] | (least[1:] != least[:-1])
+            if before is not None and own[0]:
+                new[0] = least[0] != before
+            before = least[-1] if own[-1] else None
+            k = np.flatnonzero(new)
+            firsts.append(k + a), digits.append(least[k])
+        s, q = np.concatenate(firsts), np.concatenate(digits)
+        i = np.searchsorted(self.ends, s, "right")
+        e = np.minimum(np.append(s[1:], self.size), last[i])
+        return self._cut(i, s, e, q, -(-(e - s) // _SPAN), _SPAN)
+
+    @staticmethod
+    def _cut(i: np.ndarray, s: np.ndarray, e: np.ndarray, q: np.ndarray, pieces: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+        """Each run in so many pieces of a length."""
+        if not len(pieces) or pieces.max() == 1:
+            return i, s, e, q
+        k = np.repeat(np.arange(len(s)), pieces)
+        s = s[k] + (np.arange(len(k)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * length
+        return i[k], s, np.minimum(e[k], s + length), q[k]
+
+    def run_hashes(self, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits of each run: its first and last window hold all its bytes."""
+        return tuple((string_hash(self.data, s, WINDOW, k) * _C + string_hash(self.data, e - 1, WINDOW, k + 1) + (e - s).astype(np.uint64)) * _D for k in (1, 3))
+
+    def anchored(self, i: np.ndarray, s: np.ndarray, e: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Runs with the place of their anchor. Those whose windows have several places of the digit go window by window."""
+        def place(s: np.ndarray, e: np.ndarray, q: np.ndarray) -> np.ndarray:
+            at = np.full(len(s), -1)
+            todo = np.arange(len(s))
+            for k in range(2 * _SPAN):
+                todo = todo[(at[todo] < 0) & (s[todo] + k < e[todo] + _SPAN - 1)]
+                if not len(todo):
+                    break
+                hit = todo[self._digit_at(s[todo] + k) == q[todo]]
+                at[hit] = s[hit] + k
+            return at
+
+        at = place(s, e, q)
+        one = (at >= e - 1) & (at <= s + _SPAN - 1)
+        if one.all():
+            return i, s, e, at
+        j, s1, e1, q1 = self._cut(i[~one], s[~one], e[~one], q[~one], (e - s)[~one], 1)
+        parts = ((i[one], j), (s[one], s1), (e[one], e1), (at[one], place(s1, e1, q1)))
+        return tuple(np.concatenate(p) for p in parts)
+
+    def _digit_at(self, at: np.ndarray) -> np.ndarray:
+        every = _from(self.data, 0, len(self.data) - 7)
+        h = every[at] * _A
+        h ^= h >> _29
+        h += every[at + 8] * _B
+        h *= _D
+        h ^= h >> _31
+        h += every[at + 16] * _C
+        h *= _A
+        h ^= h >> _32
+        return h * _D
+
+    def cores(self, s: np.ndarray, e: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, ...]:
+        """Each run in stretches of windows that share their core of depth bytes around the anchor: the run, first, end, key.
+
+        A window that has o bytes left of its anchor has the core that begins o - o % step bytes left of it.
+        """
+        step = WINDOW - depth + 1
+        group = (at - s) // step - (at - e + 1) // step + 1
+        k = np.repeat(np.arange(len(s)), group)
+        x = (at - e + 1)[k] // step + np.arange(len(k)) - np.repeat(np.cumsum(group) - group, group)
+        first, end = np.maximum(s[k], at[k] - (x + 1) * step + 1), np.minimum(e[k], at[k] - x * step + 1)
+        return k, first, end, string_hash(self.data, at[k] - x * step, depth, 7)
 
 
 def _documents(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("d", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("t", F.xxhash64("text").cast("long").bitwiseAND(F.lit(2**31 - 1)).cast("int"))
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("d", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("t", F.xxhash64("text").bitwiseAND(F.lit(2**32 - 1)).cast("long"))
 
 
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Parts of PART_ROWS documents: what a worker holds of texts and anchors at once, and what shares a blob."""
+def _held(batches: Iterator[pa.RecordBatch], rows_of: Callable[[Texts, np.ndarray, np.ndarray], list[np.ndarray]]) -> Iterator[list[np.ndarray]]:
+    """What rows_of makes of the documents (d, t, text) of each batch, some HELD rows at a time."""
+    parts, n = [], 0
     for batch in batches:
-        for a in range(0, batch.num_rows, PART_ROWS):
-            yield batch.slice(a, PART_ROWS)
-
-
-def _batches(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, Run]]:
-    """Runs of documents (d, t, text) with their d and t."""
-    texts = [t.encode() for t in batch.column(2).to_pylist()]
-    d, t = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-    a = size = 0
-    for i, x in enumerate(texts):
-        size += len(x)
-        if size >= RUN_BYTES or i == len(texts) - 1:
-            yield d[a : i + 1], t[a : i + 1], Run(texts[a : i + 1])
-            a, size = i + 1, 0
-
-
-def _blobs(bucket: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
-    """A row for each bucket: the columns' values there, one after another."""
+        for a in range(0, batch.num_rows, 1000):
+            part = batch.slice(a, 1000)
+            parts.append(rows_of(Texts(part.column(2)), part.column(0).to_numpy(), part.column(1).to_numpy().astype(np.uint32)))
+            n += len(parts[-1][0])
+            if n >= HELD:
+                yield [np.concatenate(c) for c in zip(*parts, strict=True)]
+                parts, n = [], 0
+    if n:
+        yield [np.concatenate(c) for c in zip(*parts, strict=True)]
+
+
+def _blobs(bucket: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
+    """A row for each bucket: the columns' values there, byte by byte of their width, which packs well."""
     order = np.argsort(bucket, kind="stable")
     bucket = bucket[order]
-    first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
-    ends = np.concatenate([first[1:], [len(bucket)]]) if len(bucket) else first
-    cols = [c[order] for c in columns]
-    parts = [pa.array([c[a:b].tobytes() for a, b in zip(first, ends, strict=True)], pa.binary()) for c in cols]
-    return pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int32)), *parts], ["bucket", *(f"c{i}" for i in range(len(cols)))])
+    first = np.flatnonzero(np.diff(bucket, prepend=bucket[:1] - 1))
+    ends = np.append(first[1:], len(bucket))
+    planes = lambda c: pa.array([c[a:b].view(np.uint8).reshape(b - a, -1).T.tobytes() for a, b in zip(first, ends, strict=True)], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int32)), *(planes(c[order]) for c in columns)], ["bucket", *(f"c{i}" for i in range(len(columns)))])
 
 
 def _column(table: pa.Table, i: int, kind: str) -> np.ndarray:
-    return np.frombuffer(b"".join(table.column(f"c{i}").to_pylist()), kind)
+    width = np.dtype(kind).itemsize
+    return np.concatenate([np.zeros(0, kind), *(np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(width, -1).T).view(kind)[:, 0] for b in table.column(f"c{i}").to_pylist())])
 
 
-def _least(keys: list[np.ndarray], d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order by the keys, then d; for each place in that order the least d of its key."""
-    order = np.lexsort((d, *reversed(keys)))
+def _grouped(keys: list[np.ndarray], d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order by the keys; where a key is new in it; for each place in it the least d of its key."""
+    order = np.argsort(keys[0], kind="stable") if len(keys) == 1 else np.lexsort(keys[::-1])
     new = np.zeros(len(d), bool)
     new[:1] = True
     for k in keys:
         k = k[order]
         new[1:] |= k[1:] != k[:-1]
-    return order, d[order][np.flatnonzero(new)][np.cumsum(new) - 1] if len(d) else d
+    at = np.flatnonzero(new)
+    return order, new, np.repeat(np.minimum.reduceat(d[order], at), np.diff(np.append(at, len(d)))) if len(d) else d
 
 
-def _first_pass(docs: DataFrame, buckets: int) -> bytes:
-    """A bitmap of the digits (their upper 40 bits) that two documents have."""
+def _shared_keys(docs: DataFrame, keys_of: Callable[[Texts, np.ndarray], tuple[np.ndarray, np.ndarray]], buckets: int) -> bytes:
+    """The keys (their upper 40 bits) that two documents have, as a bitmap. keys_of: document and key of each."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _parts(batches):
-            own, docs_ = [], []
-            for d, _, run in _batches(batch):
-                i, _, _, digit, _ = run.anchors()
-                own.append(digit >> np.uint64(24)), docs_.append(d[i])
-            digit, d = np.concatenate([np.zeros(0, np.uint64), *own]), np.concatenate([np.zeros(0, np.int64), *docs_])
-            order, least = _least([digit], d)
-            two = np.unique(digit[order][d[order] != least])
-            one = np.setdiff1d(digit, two)
-            both = np.concatenate([one, two, two])  # twice: it counts as two documents
-            yield _blobs((both % np.uint64(buckets)).astype(np.int64), (both // np.uint64(buckets)).astype(np.uint32 if buckets >= 256 else np.uint64))
+        def rows(texts: Texts, d: np.ndarray, t: np.ndarray) -> list[np.ndarray]:
+            i, key = keys_of(texts, d)
+            return [key >> np.uint64(24), d[i]]
+
+        for key, d in _held(batches, rows):
+            order, new, least = _grouped([key], d)
+            key, several = key[order], d[order] != least
+            at = np.flatnonzero(new)
+            times = 1 + np.logical_or.reduceat(several, at)  # sent twice, it counts as two documents
+            both = np.repeat(key[at], times)
+            yield _blobs((both % np.uint64(buckets)).astype(np.int64), [(both // np.uint64(buckets)).astype("<u4" if buckets >= 256 else "<u8")])
 
     def meet(group: pa.Table) -> pa.Table:
         values, n = np.unique(_column(group, 0, "<u4" if buckets >= 256 else "<u8"), return_counts=True)
         return pa.table({"h": pa.array((values[n > 1].astype(np.uint64) * np.uint64(buckets) + np.uint64(group.column("bucket")[0].as_py())).astype(np.int64))})
 
     sent = docs.select("d", "t", "text").mapInArrow(send, "bucket int, c0 binary")
-    return bitmap(written(sent.groupBy("bucket").applyInArrow(meet, "h long")), BITS)
+    return _sized(written(sent.groupBy("bucket").applyInArrow(meet, "h long")))
 
 
-def _second_pass(docs: DataFrame, digits: bytes, buckets: int) -> DataFrame:
-    """d, t, s, n: n windows from s on that an earlier document has too; or c: a run that shares its digit with another."""
-    schema = "d long, t int, s long, n int, c long"
+def _sized(hashes: DataFrame) -> bytes:
+    """A bitmap of 16 bits a hash, between 2 ** 20 and MAX_BITS."""
+    return bitmap(hashes, min(MAX_BITS, 1 << max(20, (16 * hashes.count()).bit_length())))
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _parts(batches):
-            found: list[list[np.ndarray]] = [[] for _ in range(6)]
-            for d, t, run in _batches(batch):
-                i, a, b, digit, whole = run.anchors()
-                keep = np.flatnonzero(may_hold(digits, (digit >> np.uint64(24)).astype(np.int64))) if len(i) else i
-                i, a, b = i[keep], a[keep], b[keep]
-                for col, x in zip(found, (digit[keep], whole[keep], d[i], t[i], a - run.starts[i], b - a), strict=True):
-                    col.append(x)
-            if found[0]:
-                q, c, d, t, s, n = (np.concatenate(x) for x in found)
-                order, least = _least([q.astype(np.uint64), c.astype(np.uint64)], d)
-                # A run that an earlier document of this batch has need not be sent: it is known to go.
-                done = np.zeros(len(q), bool)
-                done[order] = d[order] != least
-                flag = done.astype(np.uint8)
-                yield _blobs((q.astype(np.uint64) % np.uint64(buckets)).astype(np.int64), q.astype("<u8"), c.astype("<u8"), d.astype("<i8"), t.astype("<i4"), s.astype("<i8"), n.astype("u1"), flag)
 
-    def meet(group: pa.Table) -> pa.Table:
-        q, c, d, t, s, n, done = (_column(group, i, k) for i, k in enumerate(("<u8", "<u8", "<i8", "<i4", "<i8", "u1", "u1")))
-        order, least = _least([q, c], d)
-        gone = np.zeros(len(q), bool)
-        gone[order] = d[order] != least
-        kinds = np.unique(np.stack([q, c], 1), axis=0) if len(q) else np.zeros((0, 2), np.uint64)
-        of, runs = np.unique(kinds[:, 0], return_counts=True)
-        deeper = kinds[np.isin(kinds[:, 0], of[runs > 1]), 1].astype(np.int64)
-        blank = len(deeper)
-        return pa.table({
-            "d": pa.array(np.concatenate([d[gone], np.zeros(blank, np.int64)])),
-            "t": pa.array(np.concatenate([t[gone], np.zeros(blank, np.int32)]).astype(np.int32)),
-            "s": pa.array(np.concatenate([s[gone], np.zeros(blank, np.int64)])),
-            "n": pa.array(np.concatenate([n[gone].astype(np.int32), np.zeros(blank, np.int32)]).astype(np.int32)),
-            "c": pa.array(np.concatenate([np.zeros(gone.sum(), np.int64), deeper]), mask=np.concatenate([np.ones(gone.sum(), bool), np.zeros(blank, bool)])),
-        })
-
-    sent = docs.select("d", "t", "text").mapInArrow(send, "bucket int, c0 binary, c1 binary, c2 binary, c3 binary, c4 binary, c5 binary, c6 binary")
-    return written(sent.groupBy("bucket").applyInArrow(meet, schema))
-
-
-def _third_pass(docs: DataFrame, digits: bytes, runs: bytes, buckets: int) -> DataFrame:
-    """d, t, s, n: a window from s on that an earlier document has too, of the runs that had to go deeper."""
+def _has(map_: bytes, key: np.ndarray) -> np.ndarray:
+    return may_hold(map_, (key >> np.uint64(24)).astype(np.int64))
+
+
+_GONE = "d long, t long, s int, n int"
+
+
+def _repeats(docs: DataFrame, rows_of: Callable[[Texts, np.ndarray, np.ndarray], list[np.ndarray]], buckets: int, kinds: bool = False) -> DataFrame:
+    """d, t, s, n: n windows from s on that an earlier document has too; rows_of: two keys, d, t, s, n (and a digit) of stretches
+    of windows, equal by both keys. With kinds also q, w: the digit of each kind of stretch, and who of its earliest document."""
+    types = ["<u8", "<u8", "<i8", "<u4", "<i4", "u1", *["<u8"] * kinds]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _parts(batches):
-            found: list[list[np.ndarray]] = [[] for _ in range(4)]
-            for d, t, run in _batches(batch):
-                i, a, b, digit, whole = run.anchors()
-                if not len(i):
-                    continue
-                keep = np.flatnonzero(may_hold(digits, (digit >> np.uint64(24)).astype(np.int64)) & may_hold(runs, whole.astype(np.int64)))
-                i, a, b, whole = i[keep], a[keep], b[keep], whole[keep]
-                order, least = _least([whole], d[i])
-                k = order[d[i][order] == least]  # later documents' runs are known to go
-                i, a, b = i[k], a[k], b[k]
-                n = b - a
-                owner = np.repeat(i, n)
-                at = np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                for col, x in zip(found, (run.hashes(at, at + WINDOW), d[owner], t[owner], at - run.starts[owner]), strict=True):
-                    col.append(x)
-            if found[0]:
-                h, d, t, s = (np.concatenate(x) for x in found)
-                yield _blobs((h % np.uint64(buckets)).astype(np.int64), h.astype("<u8"), d.astype("<i8"), t.astype("<i4"), s.astype("<i8"))
+        for cols in _held(batches, rows_of):
+            order, _, least = _grouped(cols[:2], cols[2])
+            gone = cols[2][order] != least
+            away, stay = order[gone], np.sort(order[~gone])
+            # What goes for an earlier document of this task needs no company: it passes through, in buckets of its own.
+            for at, sign in ((np.sort(away), -1), (stay, 1)):
+                if len(at):
+                    k = cols[0][at] % np.uint64(buckets) if sign > 0 else cols[2][at].astype(np.uint64) % np.uint64(buckets)
+                    yield _blobs((k.astype(np.int64) + (sign < 0)) * sign, [(c[at] if sign > 0 or 2 <= j <= 5 else np.zeros(len(at), c.dtype)).astype(x) for j, (c, x) in enumerate(zip(cols, types, strict=True))])
 
     def meet(group: pa.Table) -> pa.Table:
-        h, d, t, s = (_column(group, i, k) for i, k in enumerate(("<u8", "<i8", "<i4", "<i8")))
-        order, least = _least([h], d)
-        gone = order[d[order] != least]
-        # Neighbouring windows of a bucket become one stretch.
-        gone = gone[np.lexsort((s[gone], t[gone], d[gone]))]
-        return pa.table({"d": pa.array(d[gone]), "t": pa.array(t[gone]), "s": pa.array(s[gone]), "n": pa.array(np.ones(len(gone), np.int32))})
+        cols = [_column(group, i, x) for i, x in enumerate(types)]
+        if group.column("bucket")[0].as_py() < 0:
+            away, known = np.arange(len(cols[0])), None
+        else:
+            order, new, least = _grouped(cols[:2], cols[2])
+            away, known = order[cols[2][order] != least], (order, new, least)
+        out = {c: pa.array(cols[j][away].astype(x)) for c, j, x in (("d", 2, np.int64), ("t", 3, np.int64), ("s", 4, np.int32), ("n", 5, np.int32))}
+        if kinds:
+            first = np.flatnonzero(known[1]) if known else np.zeros(0, np.int64)
+            q = cols[6][known[0][first]].astype(np.int64) if known else first
+            w = who(cols[0][known[0][first]], known[2][first]).astype(np.int64) if known else first
+            blank = lambda n, kind: pa.nulls(n, kind)
+            out = {c: pa.concat_arrays([x, blank(len(first), x.type)]) for c, x in out.items()} | {c: pa.concat_arrays([blank(len(away), pa.int64()), pa.array(x)]) for c, x in (("q", q), ("w", w))}
+        return pa.table(out)
+
+    sent = docs.select("d", "t", "text").mapInArrow(send, "bucket int, " + ", ".join(f"c{i} binary" for i in range(len(types))))
+    return sent.groupBy("bucket").applyInArrow(meet, _GONE + ", q long, w long" * kinds)
+
 
-    sent = docs.select("d", "t", "text").mapInArrow(send, "bucket int, c0 binary, c1 binary, c2 binary, c3 binary")
-    return sent.groupBy("bucket").applyInArrow(meet, "d long, t int, s long, n int")
+def who(key: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """A hash of a stretch of a document, in its upper 40 bits."""
+    h = (key ^ (d.astype(np.uint64) * _C)) * _A
+    h ^= h >> _32
+    return h * _D
 
 
 def stretches(places: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -261,18 +321,63 @@ def stretches(places: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def repeated_windows(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """d, t, s, n: windows (n from byte s on) of document d that an earlier document has too."""
-    own = _documents(docs)
-    digits = _first_pass(own, buckets)
-    second = _second_pass(own, digits, buckets)
-    deeper = second.filter(F.col("c").isNotNull())
-    third = _third_pass(own, digits, bitmap(deeper.select("c"), BITS), buckets)
-    return second.filter(F.col("c").isNull()).select("d", "t", "s", "n").union(third)
+def repeated_windows(docs: DataFrame, buckets: int) -> DataFrame:
+    """d, t, s, n: windows (n from byte s on) of document d that an earlier document has too; docs as _documents gives them."""
+
+    def first_keys(texts: Texts, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        i, _, _, q = texts.runs()
+        return i, q
+
+    maps = [_shared_keys(docs, first_keys, buckets)]
+
+    def likely(texts: Texts) -> tuple[np.ndarray, ...]:
+        i, s, e, q = texts.runs()
+        keep = np.flatnonzero(_has(maps[0], q))
+        i, s, e, q = i[keep], s[keep], e[keep], q[keep]
+        return i, s, e, q, *texts.run_hashes(s, e)
+
+    def whole(texts: Texts, d: np.ndarray, t: np.ndarray) -> list[np.ndarray]:
+        i, s, e, q, c1, c2 = likely(texts)
+        return [c1, c2, d[i], t[i], (s - texts.starts[i]).astype(np.int32), (e - s).astype(np.uint8), q]
+
+    second = written(_repeats(docs, whole, buckets, kinds=True))
+    kinds = second.filter(F.col("q").isNotNull()).select("q", "w")
+    several = kinds.groupBy("q").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("q")
+    deeper = _sized(written(kinds.join(several, "q").select(F.shiftrightunsigned("w", 24).alias("h"))))
+
+    def left(texts: Texts, d: np.ndarray, levels: int) -> tuple[np.ndarray, ...]:
+        """What is left of the runs after so many levels: document, first, end of stretches, anchor."""
+        i, s, e, q, c1, _ = likely(texts)
+        keep = np.flatnonzero(_has(deeper, who(c1, d[i])))
+        i, s, e, at = texts.anchored(i[keep], s[keep], e[keep], q[keep])
+        for depth, map_ in zip(DEPTHS[1 : levels + 1], maps[1:], strict=True):
+            k, first, end, key = texts.cores(s, e, at, depth)
+            keep = np.flatnonzero(_has(map_, key))
+            i, s, e, at = i[k[keep]], first[keep], end[keep], at[k[keep]]
+        return i, s, e, at
 
+    for level, depth in enumerate(DEPTHS[1:]):
 
-def remove_repeats(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+        def deeper_keys(texts: Texts, d: np.ndarray, level: int = level, depth: int = depth) -> tuple[np.ndarray, np.ndarray]:
+            i, s, e, at = left(texts, d, level)
+            k, _, _, key = texts.cores(s, e, at, depth)
+            return i[k], key
+
+        maps.append(_shared_keys(docs, deeper_keys, buckets))
+
+    def windows(texts: Texts, d: np.ndarray, t: np.ndarray) -> list[np.ndarray]:
+        i, s, e, _ = left(texts, d, len(DEPTHS) - 1)
+        n = e - s
+        at = np.repeat(s, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        i = np.repeat(i, n)
+        return [string_hash(texts.data, at, WINDOW, 1), string_hash(texts.data, at, WINDOW, 2), d[i], t[i], (at - texts.starts[i]).astype(np.int32), np.ones(len(at), np.uint8)]
+
+    return second.filter(F.col("d").isNotNull()).select("d", "t", "s", "n").union(_repeats(docs, windows, buckets))
+
+
+def remove_repeats(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs."""
+    buckets = buckets or BUCKETS_A_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tight = zstandard.ZstdCompressor(3)
@@ -296,6 +401,7 @@ def remove_repeats(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    places = repeated_windows(docs, buckets).groupBy("d", "t").agg(F.collect_list(F.struct("s", "n")).alias("places"))
-    packed = _documents(docs).select("doc_id", "d", "t", "text").mapInArrow(pack, f"doc_id {kind}, d long, t int, z binary")
+    own = _documents(docs)
+    places = repeated_windows(own, buckets).groupBy("d", "t").agg(F.collect_list(F.struct("s", "n")).alias("places"))
+    packed = own.select("doc_id", "d", "t", "text").mapInArrow(pack, f"doc_id {kind}, d long, t long, z binary")
     return packed.join(places, ["d", "t"], "left").select("doc_id", "z", "places").mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
