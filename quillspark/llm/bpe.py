@@ -1,16 +1,23 @@
 """Byte-level BPE encoding and decoding by corpus-level merge replay.
 
 A text is cut into segments before each space that a character other than white space follows. The pattern always has
-a match boundary there and never looks back, so each segment encodes by itself. A task gathers the
-segments of its documents that it hasn't seen, splits them by the pattern, and encodes all new words together: an
-inverted index leads from each mergeable pair's rank to the places of that pair in any of the words; a heap gives the
-ranks in order, each merge is applied at all its places, and only the neighbours of a changed place get new entries.
-A document is then the concatenation of its segments' ids.
-
-Segments' ids are remembered between batches (up to CACHE_ROWS of them and those of one batch), which changes
-nothing but the time. Ranks and pattern are parameters; the vocabulary file stays where it is.
-
-Null and empty texts have no tokens. Repeated rows are encoded each; other columns of the input are not read.
+a match boundary there and never looks back, so each segment encodes by itself.
+
+1. Tasks read batches of documents (some BATCH_CHARS characters) and send each batch's distinct segments, a packed list for
+   each shard (a hash of the segment; as many shards as shuffle partitions, so they grow only as far as those are set).
+2. A shard has a segment from all batches once. It splits its segments by the pattern into words and encodes all distinct
+   words together: an inverted index leads from each mergeable pair's rank to the places of that pair in any of the words; a
+   heap gives the ranks in order, each merge is applied at all its places, and only the neighbours of a changed place
+   get new entries. So a segment is encoded once for the whole corpus. Each batch gets the ids of its segments back.
+3. Batches and their replies meet, and a document is the concatenation of its segments' ids.
+
+A batch is known by its partition and its number there. Where the input is not read in the same partitions the second time
+(after a lost executor, say), the digest of its segments differs from that of the reply, and the task replays them
+itself: that costs time and changes nothing else. Ranks and pattern are parameters; the vocabulary file stays where it
+is. Every byte must have a rank.
+
+Null and empty texts have no tokens. Repeated rows are encoded each; other columns of the input are not read. A word of any
+length is encoded whole.
 """
 
 from __future__ import annotations
@@ -19,17 +26,21 @@ import base64
 import hashlib
 import heapq
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-CACHE_ROWS = 300_000
-#: So many of them stay when a task ends, since its worker goes on with other work.
+#: Segments that other operators remember when a task ends, since its worker goes on with other work.
 REST_ROWS = 40_000
-#: Documents whose texts are handled together hold at most so many characters, besides the last of them.
+#: Documents whose texts are handled together hold about so many characters, besides the last of them.
 BATCH_CHARS = 4_000_000
 
 _cut = re.compile(r" (?=\S)")
@@ -53,13 +64,21 @@ def forget(memory: dict, keep: int) -> None:
 
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    if any(bytes([i]) not in ranks for i in range(256)):
+        raise ValueError(f"{path}: not every byte has a rank")
+    return ranks
+
+
+def _width(ranks: dict[bytes, int]) -> int:
+    """Bits of a rank."""
+    return max(ranks.values()).bit_length()
 
 
 def pair_table(ranks: dict[bytes, int]) -> dict[int, int]:
     """The rank of each pair of tokens that together are a token, by both tokens' ranks in one integer."""
-    get = ranks.get
-    return {a << 17 | b: r for t, r in ranks.items() for i in range(1, len(t)) if (a := get(t[:i])) is not None and (b := get(t[i:])) is not None}
+    get, bits = ranks.get, _width(ranks)
+    return {a << bits | b: r for t, r in ranks.items() for i in range(1, len(t)) if (a := get(t[:i])) is not None and (b := get(t[i:])) is not None}
 
 
 def replay(words: list[bytes], ranks: dict[bytes, int], pairs: dict[int, int] | None = None) -> list[list[int]]:
@@ -69,7 +88,7 @@ def replay(words: list[bytes], ranks: dict[bytes, int], pairs: dict[int, int] |
     sees its lowest rank first, as if it were alone.
     """
     get = (pair_table(ranks) if pairs is None else pairs).get
-    byte = [ranks.get(bytes([i]), -1) for i in range(256)]
+    byte, bits = [ranks[bytes([i])] for i in range(256)], _width(ranks)
     parts: list[int] = []  # token ids; -1: merged away, or a gap between words, which makes no key of a pair
     for w in words:
         parts += [byte[c] for c in w]
@@ -78,7 +97,7 @@ def replay(words: list[bytes], ranks: dict[bytes, int], pairs: dict[int, int] |
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     places: dict[int, list[int]] = {}
     for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)):
-        if (r := get(a << 17 | b)) is not None:
+        if (r := get(a << bits | b)) is not None:
             if r in places:
                 places[r].append(i)
             else:
@@ -91,14 +110,14 @@ def replay(words: list[bytes], ranks: dict[bytes, int], pairs: dict[int, int] |
         todo.sort()
         for k, i in enumerate(todo):
             j = after[i]
-            if get(parts[i] << 17 | parts[j]) != rank:
+            if get(parts[i] << bits | parts[j]) != rank:
                 continue
             parts[i], parts[j] = rank, -1
             after[i] = nxt = after[j]
             before[nxt] = i
             p = before[i]
             lower = False
-            for at, key in ((p, parts[p] << 17 | rank), (i, rank << 17 | parts[nxt])):
+            for at, key in ((p, parts[p] << bits | rank), (i, rank << bits | parts[nxt])):
                 if (r := get(key)) is not None:
                     if r in places:
                         places[r].append(at)
@@ -124,43 +143,17 @@ def replay(words: list[bytes], ranks: dict[bytes, int], pairs: dict[int, int] |
 
 
 class Encoder:
-    """Encodes texts to packed little-endian 32-bit ids, and back. One for each Python worker."""
+    """Encodes segments to packed little-endian 32-bit ids, and back. One for each Python worker."""
 
     def __init__(self, path: str, pattern: str):
         self.ranks, self.pattern = read_ranks(path), regex.compile(pattern)
         self.pairs, self.token = pair_table(self.ranks), {i: b for b, i in self.ranks.items()}
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}  # without their leading space
-        self.words: dict[bytes, bytes] = {}
-
-    def _learn(self, first: set[str], later: set[str]) -> None:
-        split = {s: [w.encode() for w in self.pattern.findall(s)] for s in first}
-        spaced = {s: [w.encode() for w in self.pattern.findall(f" {s}")] for s in later}
-        new = list({w for found in (split, spaced) for ws in found.values() for w in ws} - self.words.keys())
-        for w, ids in zip(new, replay(new, self.ranks, self.pairs), strict=True):
-            self.words[w] = np.array(ids, "<u4").tobytes()
-        for found, memory in ((split, self.first), (spaced, self.later)):
-            for s, ws in found.items():
-                memory[s] = b"".join([self.words[w] for w in ws])
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.first) + len(self.later) > CACHE_ROWS:
-            for memory in (self.first, self.later, self.words):
-                forget(memory, CACHE_ROWS // 3)
-        pieces, first, later = [], set(), set()
-        for t in texts:
-            ps, new = segments(t, self.later)
-            later |= new
-            if ps[0] not in self.first:
-                first.add(ps[0])
-            pieces.append(ps)
-        self._learn(first, later)
-        later_ids, first_ids = self.later.__getitem__, self.first
-        return [first_ids[ps[0]] + b"".join(map(later_ids, ps[1:])) for ps in pieces]
-
-    def rest(self) -> None:
-        for memory in (self.first, self.later, self.words):
-            forget(memory, REST_ROWS)
+
+    def encode(self, segments_: list[str]) -> list[bytes]:
+        split = [[w.encode() for w in self.pattern.findall(s)] for s in segments_]
+        words = list({w for ws in split for w in ws})
+        ids = {w: np.array(x, "<u4").tobytes() for w, x in zip(words, replay(words, self.ranks, self.pairs), strict=True)}
+        return [b"".join(map(ids.__getitem__, ws)) for ws in split]
 
     def decode(self, packed: bytes) -> bytes:
         return b"".join(map(self.token.__getitem__, np.frombuffer(packed, "<u4").tolist()))
@@ -187,28 +180,106 @@ def runs(texts: list[str | None], chars: int = BATCH_CHARS) -> Iterator[tuple[in
         yield start, len(texts)
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool = True) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256, and ids (array of int) where with_ids is set."""
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array, list[str]]]:
+    """A task's documents (doc_id, text) in batches: number, ids, texts."""
+    ids, texts, size, number = [], [], 0, TaskContext.get().partitionId() << 32
+    for batch in batches:
+        own = [t or "" for t in batch.column(1).to_pylist()]
+        at = 0
+        for i, t in enumerate(own):
+            size += len(t)
+            if size >= BATCH_CHARS:
+                yield number, pa.concat_arrays([*ids, batch.column(0).slice(at, i + 1 - at)]), texts + own[at : i + 1]
+                ids, texts, size, number, at = [], [], 0, number + 1, i + 1
+        if at < len(own):
+            ids.append(batch.column(0).slice(at))
+            texts += own[at:]
+    if texts:
+        yield number, pa.concat_arrays(ids), texts
+
+
+def _dealt(texts: list[str], shards: int) -> tuple[list[list[str]], dict[int, list[bytes]]]:
+    """The segments of each text, all but the first without their leading space, and the distinct whole ones by shard."""
+    pieces, later = [], set()
+    for t in texts:
+        ps, new = segments(t, {})
+        later |= new
+        pieces.append(ps)
+    found: dict[int, list[bytes]] = {}
+    for w in sorted({ps[0].encode() for ps in pieces} | {f" {p}".encode() for p in later}):
+        if w:
+            found.setdefault(zlib.crc32(w) % shards, []).append(w)
+    return pieces, found
+
+
+def _packed(parts: list[bytes]) -> bytes:
+    """A list of byte strings: their number and lengths, then they themselves."""
+    sizes = np.array([len(parts), *map(len, parts)], "<u4")
+    return zstandard.ZstdCompressor(3).compress(sizes.tobytes() + b"".join(parts))
+
+
+def _unpacked(blob: bytes) -> list[bytes]:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n = int.from_bytes(raw[:4], "little")
+    ends = (np.cumsum(np.frombuffer(raw, "<u4", n, 4)) + 4 * (n + 1)).tolist()
+    return [raw[a:b] for a, b in zip([4 * (n + 1), *ends], ends, strict=False)]
+
+
+def _digest(parts: list[bytes]) -> bytes:
+    return hashlib.blake2b(b"\0".join([b"%d" % len(parts), *parts]), digest_size=16).digest()
+
+
+def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, ids (array of int) where with_ids is set, and the columns of docs named in keep."""
+    shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kind, kinds = dict(docs.dtypes)["doc_id"], dict(docs.dtypes)
+    carried = F.struct(F.col("doc_id"), *(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)))
+    carried_kind = f"struct<doc_id:{kind}" + "".join(f",k{i}:{kinds[c]}" for i, c in enumerate(keep)) + ">"
+    own = docs.select(carried.alias("row"), "text")
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, _, texts in _batches(batches):
+            found = _dealt(texts, shards)[1]
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([number] * len(found), pa.int64()), pa.array([_packed(ws) for ws in found.values()], pa.binary())], ["shard", "batch", "asked"])
+
+    def answer(group: pa.Table) -> pa.Table:
+        coder = encoder(path, pattern)
+        asked = [_unpacked(b) for b in group.column("asked").to_pylist()]
+        words = list({w for ws in asked for w in ws})
+        ids = dict(zip(words, coder.encode([w.decode() for w in words]), strict=True))
+        return pa.table({"shard": group.column("shard"), "batch": group.column("batch"), "digest": pa.array([_digest(ws) for ws in asked], pa.binary()), "ids": pa.array([_packed(list(map(ids.__getitem__, ws))) for ws in asked], pa.binary())})
 
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, rows, texts in _batches(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows), pa.array([_packed([t.encode() for t in texts])], pa.binary())], ["batch", "rows", "texts"])
+
+    def meet(sent: pa.Table, replies: pa.Table) -> pa.Table:
         coder = encoder(path, pattern)
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in runs(texts):
-                packed = coder.encode(texts[a:b])
-                out = [
-                    batch.column(0).slice(a, b - a),
-                    pa.array([len(p) // 4 for p in packed], pa.int64()),
-                    pa.array([hashlib.sha256(p).hexdigest() for p in packed]),
-                    pa.array([hashlib.sha256(coder.decode(p)).hexdigest() for p in packed]),
-                ]
-                if with_ids:
-                    out.append(pa.array([np.frombuffer(p, "<u4").astype("i4") for p in packed], pa.list_(pa.int32())))
-                yield pa.RecordBatch.from_arrays(out, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(out)])
-        coder.rest()
-
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(apply, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+        reply = {s: (d, b) for s, d, b in zip(*(replies.column(c).to_pylist() for c in ("shard", "digest", "ids")), strict=True)}
+        out = []
+        for rows, blob in zip(sent.column("rows").combine_chunks(), sent.column("texts").to_pylist(), strict=True):
+            pieces, found = _dealt([t.decode() for t in _unpacked(blob)], shards)
+            ids: dict[str, bytes] = {"": b""}
+            for shard, ws in found.items():
+                digest, got = reply.get(shard, (None, b""))
+                texts = [w.decode() for w in ws]
+                ids.update(zip(texts, _unpacked(got) if digest == _digest(ws) else coder.encode(texts), strict=True))
+            later = {w[1:]: x for w, x in ids.items() if w[:1] == " "}.__getitem__
+            packed = [ids[ps[0]] + b"".join(map(later, ps[1:])) for ps in pieces]
+            flat = rows.values.flatten()
+            cols = [flat[0], pa.array([len(p) // 4 for p in packed], pa.int64()), *(pa.array([hashlib.sha256(f(p)).hexdigest() for p in packed]) for f in (lambda p: p, coder.decode))]
+            if with_ids:
+                cols.append(pa.array([np.frombuffer(p, "<u4").astype("i4") for p in packed], pa.list_(pa.int32())))
+            out.append(pa.Table.from_arrays([*cols, *flat[1:]], names))
+        return pa.concat_tables(out) if out else empty
+
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids, *(f"k{i}" for i in range(len(keep)))]
+    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + "".join(f", k{i} {kinds[c]}" for i, c in enumerate(keep))
+    empty = to_arrow_schema(docs.sparkSession.createDataFrame([], schema).schema).empty_table()
+    replies = own.mapInArrow(ask, "shard int, batch long, asked binary").groupBy("shard").applyInArrow(answer, "shard int, batch long, digest binary, ids binary")
+    sent = own.mapInArrow(send, f"batch long, rows array<{carried_kind}>, texts binary")
+    done = sent.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(meet, schema)
+    return done.select(*names[: len(names) - len(keep)], *(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)))
 
 
 def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -33,15 +33,38 @@ def test_count_like_library(t):
     assert counter.count([t]) == [len(lib.encode(t, add_special_tokens=False).ids)]
 
 
+@settings(max_examples=600, deadline=None)
+@given(text)
+def test_segments_encode_by_themselves(t):
+    pieces, found = bpe._dealt([t], 3)
+    whole = [pieces[0][0], *(f" {p}" for p in pieces[0][1:])]
+    assert "".join(whole) == t and {w.encode() for w in whole if w} == {w for ws in found.values() for w in ws}
+    assert [i for w in whole for i in own.encode_ordinary(w)] == own.encode_ordinary(t)
+
+
+def test_ranks_of_any_size():
+    ranks = {bytes([i]): 2**20 + i for i in range(256)} | {b"ab": 2**21, b"abab": 2**21 + 1}
+    assert bpe.replay([b"ababa", b"ba"], ranks) == [[2**21 + 1, 2**20 + 97], [2**20 + 98, 2**20 + 97]]
+
+
+def test_other_partitions_the_second_time(spark, monkeypatch):
+    """Replies to other batches than those that come are not used."""
+    docs = spark.range(40).selectExpr("id as doc_id", "concat('w', id, ' some more words ', uuid()) as text").repartition(3)
+    enc = bpe.encode_documents(docs, RANKS, public_tokenizers.PATTERN)
+    back = {r.doc_id: r.text for r in bpe.decode_documents(enc, RANKS, public_tokenizers.PATTERN).collect()}
+    assert len(back) == 40 and all(t.startswith(f"w{i} some more words ") for i, t in back.items())
+
+
 def test_nasty_texts():
     assert counter.count(NASTY) == [len(lib.encode(t, add_special_tokens=False).ids) for t in NASTY]
     assert [list(memoryview(p).cast("I")) for p in one.encode(NASTY)] == [own.encode_ordinary(t) for t in NASTY]
 
 
 def test_replay_lower_rank_after_merge():
-    ranks = {b"a": 0, b"b": 1, b"c": 2, b"abc": 5, b"bc": 4, b"ab": 3}
+    rest = {bytes([i]): i + 1000 for i in range(256) if i not in b"abc"}
+    ranks = rest | {b"a": 0, b"b": 1, b"c": 2, b"abc": 5, b"bc": 4, b"ab": 3}
     assert bpe.replay([b"abc", b"bcab", b""], ranks) == [[5], [4, 3], []]
-    ranks = {b"a": 0, b"b": 1, b"c": 2, b"abc": 3, b"ab": 9}
+    ranks = rest | {b"a": 0, b"b": 1, b"c": 2, b"abc": 3, b"ab": 9}
     assert bpe.replay([b"ababc", b"abab"], ranks) == [[9, 3], [9, 9]]
 
 
