@@ -1,11 +1,12 @@
 """Language identification of code-switched text by a linear-chain conditional random field.
 
-Every word of a text gets a language: its scores come from its affixes, character n-grams, its own form and lexicons of
-the commonest words of each language; learned transitions tie neighbours together; forward-backward gives each word's
-posteriors. A document's language is the one with the largest mean posterior over all its words, which is its score.
+Every word of a text gets a language: its scores come from its character n-grams (those with the mark of its begin or end
+are its affixes; each occurrence counts), its own form and lexicons of the commonest words of each language; learned transitions
+tie neighbours together; forward-backward gives each word's posteriors. A document's language is the one with the
+largest mean posterior over all its words, which is its score.
 
-Fitting: a bounded sample (SAMPLE_ROWS rows of each language by a hash of doc_id, SAMPLE_CHARS consecutive characters
-of each) of the rows whose crc32(doc_id) mod 3 isn't 1, with a language. Spans of several rows are strung together, so that
+Fitting: a bounded sample of rows (SAMPLE_ROWS of each language, in order of a hash of doc_id, then of the text; whole texts) of
+those whose crc32(doc_id) mod 3 isn't 1, with a language. Spans of several rows are strung together, so that
 the transitions learn how seldom a language changes. The model (BUCKETS x labels) is fitted on the driver in seconds.
 
 Predicting: all words of a batch form one chain that forgets at the start of a document. The chain is cut into blocks
@@ -18,9 +19,8 @@ each. With no labelled row every text is und. Equal posteriors go to the first l
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,14 +28,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillspark.llm.bpe import REST_ROWS, forget, runs
+from quillspark.llm.bpe import runs
+from quillspark.llm.shingles import mixed
 
-SAMPLE_ROWS = 150
-SAMPLE_CHARS = 900
+SAMPLE_ROWS = 100
 BUCKETS = 1 << 15
 ROUNDS = 25
 LEXICON = 300
-CACHE_ROWS = 300_000
+GRAMS = (2, 3, 4)
+#: Documents handled together hold about so many characters.
+BATCH_CHARS = 1_000_000
 #: Below this share of its words a pipeline rejects a document's language.
 MIN_SCORE = 0.5
 
@@ -50,36 +52,48 @@ def words_of(text: str) -> list[str]:
     return _word.findall(text.lower())
 
 
-def word_features(word: str, lexicons: dict[str, list[int]]) -> list[int]:
-    """Hashed features; padded by the caller."""
-    w = f"^{word}$"
-    names = {f"w{word}", *(f"p{word[:k]}" for k in (1, 2, 3)), *(f"s{word[-k:]}" for k in (1, 2, 3)), *(w[i : i + k] for k in (2, 3, 4) for i in range(len(w) - k + 1))}
-    return [zlib.crc32(n.encode()) % BUCKETS for n in sorted(names)[:64]] + [BUCKETS + i for i in lexicons.get(word, ())]
-
-
-def padded(rows: list[list[int]], width: int, blank: int) -> np.ndarray:
-    out = np.full((len(rows), width), blank, np.int32)
-    for i, r in enumerate(rows):
-        out[i, : len(r)] = r
-    return out
+def word_grid(words: list[str], blank: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed features of words that aren't empty: for each character of the marked words a row (the n-grams that begin there,
+    and at a word's first the word itself; blank where there is none), and where the words' rows begin."""
+    codes = np.frombuffer("".join([f"^{w}$" for w in words]).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    ends = np.cumsum(lengths)
+    starts, n = ends - lengths, len(codes)
+    left = np.repeat(ends, lengths) - np.arange(n)  # characters of the word from here on
+    spread = mixed(codes + np.uint64(1))
+    grid = np.full((n, len(GRAMS) + 1), blank, np.int32)
+    h = spread.copy()
+    for k in range(1, max(GRAMS)):
+        h[: n - k] = mixed(h[: n - k] * np.uint64(0x9E3779B97F4A7C15) + spread[k:])
+        if k + 1 in GRAMS:
+            at = np.flatnonzero(left > k)
+            grid[at, GRAMS.index(k + 1)] = (mixed(h[at] + np.uint64(k)) % np.uint64(BUCKETS)).astype(np.int32)
+    whole = np.add.reduceat(mixed(spread + np.arange(n).astype(np.uint64) - np.repeat(starts, lengths).astype(np.uint64)), starts) if n else spread
+    grid[starts, -1] = (mixed(whole) % np.uint64(BUCKETS)).astype(np.int32)
+    return grid, starts
 
 
 class Model:
     def __init__(self, labels: list[str], lexicons: dict[str, list[int]]):
         n = len(labels)
         self.labels, self.lexicons = labels, lexicons
-        self.weights = np.zeros((BUCKETS + n + 1, n), np.float32)  # the last row stays 0: padding
+        self.weights = np.zeros((BUCKETS + n + 1, n), np.float32)  # the last row stays 0: no feature
         self.transitions = np.eye(n) * 2.0
         self.start = np.zeros(n)
 
+    def listed(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Which words a lexicon has, and its feature."""
+        found = [(i, BUCKETS + x) for i, w in enumerate(words) for x in self.lexicons.get(w, ())]
+        return np.array([i for i, _ in found], np.int64), np.array([f for _, f in found], np.int64)
+
     def scores(self, words: list[str]) -> np.ndarray:
         """A row of label scores for each word."""
         out = np.zeros((len(words), len(self.labels)), np.float32)
-        for a in range(0, len(words), 50_000):
-            rows = [word_features(w, self.lexicons) for w in words[a : a + 50_000]]
-            for b in range(0, len(rows), 5000):  # so many at once bound the gathered weights
-                some = rows[b : b + 5000]
-                out[a + b : a + b + len(some)] = self.weights[padded(some, max(map(len, some)), len(self.weights) - 1)].sum(1)
+        for a in range(0, len(words), 10_000):  # so many at once bound the gathered weights
+            some = words[a : a + 10_000]
+            grid, starts = word_grid(some, len(self.weights) - 1)
+            out[a : a + len(some)] = np.add.reduceat(sum(self.weights[grid[:, k]] for k in range(grid.shape[1])), starts)
+        np.add.at(out, (listed := self.listed(words))[0], self.weights[listed[1]])
         return out
 
 
@@ -155,14 +169,28 @@ def fit(rows: list[tuple[str, str]], rounds: int = ROUNDS) -> Model | None:
         starts += [k % 4 == 0, *[False] * (len(ws) - 1)]
     vocabulary = {w: i for i, w in enumerate(sorted(set(chain)))}
     model = Model(labels, lexicons)
-    feats = [word_features(w, lexicons) for w in vocabulary]
-    grid = padded(feats, max(map(len, feats)), len(model.weights) - 1)
     ids, y, new = np.array([vocabulary[w] for w in chain]), np.array(truth), np.array(starts)
-    n, k = len(ids), len(labels)
-    tied = np.flatnonzero(~new)
+    gradient, k = gradient_of(model, list(vocabulary), ids, y, new), len(labels)
     squares = [np.full(model.weights.shape, 1e-6, np.float32), np.full((k, k), 1e-6), np.full(k, 1e-6)]
     for _ in range(rounds):
-        e, ahead, behind = forward_backward(model.weights[grid].sum(1)[ids], new, model.transitions, model.start)
+        g, *rest = gradient()
+        for w, d, q in zip((model.weights, model.transitions, model.start), (g - 0.01 * model.weights, *rest), squares, strict=True):
+            q += d * d
+            w += (0.3 * d / np.sqrt(q)).astype(w.dtype)
+    return model
+
+
+def gradient_of(model: Model, vocabulary: list[str], ids: np.ndarray, y: np.ndarray, new: np.ndarray) -> Callable[[], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The gradient of the log-likelihood of labels y of a chain of words, as the model stands, by weights, transitions and
+    starts; the chain forgets where new is set."""
+    grid, firsts = word_grid(vocabulary, len(model.weights) - 1)
+    widths = np.diff(np.append(firsts, len(grid)))
+    who, which = model.listed(vocabulary)
+    n, k = len(ids), len(model.labels)
+    tied = np.flatnonzero(~new)
+
+    def gradient() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        e, ahead, behind = forward_backward(model.scores(vocabulary)[ids], new, model.transitions, model.start)
         p = ahead * behind
         p /= p.sum(1, keepdims=True)
         off = -p
@@ -170,73 +198,51 @@ def fit(rows: list[tuple[str, str]], rounds: int = ROUNDS) -> Model | None:
         g = np.zeros_like(model.weights)
         for j in range(k):
             by_word = np.bincount(ids, off[:, j], len(vocabulary))
-            g[:, j] = np.bincount(grid.ravel(), np.repeat(by_word, grid.shape[1]), len(g))
+            g[:, j] = np.bincount(grid.ravel(), np.repeat(by_word, widths * grid.shape[1]), len(g)) + np.bincount(which, by_word[who], len(g))
         g[-1] = 0
         t = np.exp(model.transitions - model.transitions.max())
         pair = ahead[tied - 1][:, :, None] * t * (e * behind)[tied][:, None, :]
         pair /= pair.sum((1, 2), keepdims=True)
-        gt = np.bincount(y[tied - 1] * k + y[tied], minlength=k * k).reshape(k, k) - pair.sum(0)
-        gs = off[new].sum(0)
-        for w, d, q in zip((model.weights, model.transitions, model.start), (g - 0.01 * model.weights, gt, gs), squares, strict=True):
-            q += d * d
-            w += (0.3 * d / np.sqrt(q)).astype(w.dtype)
-    return model
-
+        return g, np.bincount(y[tied - 1] * k + y[tied], minlength=k * k).reshape(k, k) - pair.sum(0), off[new].sum(0)
 
-def sample(docs: DataFrame) -> list[tuple[str, str]]:
-    """The bounded sample: ids by two narrow columns first, then the texts of those ids."""
-    own = docs.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
-    by = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = [r.doc_id for r in own.select("doc_id", "lang").withColumn("r", F.row_number().over(by)).filter(F.col("r") <= SAMPLE_ROWS).select("doc_id").collect()]
-    if not ids:
-        return []
-    length = F.greatest(F.lit(1), F.char_length("text") - SAMPLE_CHARS)
-    piece = F.substring("text", (F.pmod(F.xxhash64("doc_id"), length) + 1).cast("int"), F.lit(SAMPLE_CHARS))
-    rows = own.filter(F.col("doc_id").isin(ids)).select("lang", piece.alias("text")).filter(F.col("text") != "").limit(2 * len(ids)).collect()
-    return [(r.lang, r.text) for r in rows]
-
-
-class Tagger:
-    """A model with the scores of the words it has met. One for each Python worker and model."""
-
-    def __init__(self, model: Model):
-        self.model, self.rows = model, np.zeros((0, len(model.labels)), np.float32)
-        self.place: dict[str, int] = {}
-        self.odd: set[str] = set()
-
-    def trim(self, keep: int) -> None:
-        forget(self.place, keep)
-        self.rows = self.rows[:keep].copy()
-
-    def documents(self, texts: list[str]) -> list[tuple[str, float]]:
-        if len(self.place) > CACHE_ROWS:
-            self.trim(CACHE_ROWS // 2)
-        tokens = [words_of(t) for t in texts]
-        new = sorted({w for ws in tokens for w in set(ws).difference(self.place)})
-        if new:
-            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
-            self.rows = np.vstack([self.rows, self.model.scores(new)])
-            self.odd |= {w for w in new if not any(c.isalpha() for c in w)}
-        if self.odd:  # runs of number signs without a letter are no words
-            tokens = [[w for w in ws if w not in self.odd] for ws in tokens]
-        get = self.place.__getitem__
-        lengths = np.array([len(ws) for ws in tokens])
-        ids = np.fromiter((i for ws in tokens for i in map(get, ws)), np.int64, int(lengths.sum()))
-        out = [("und", 0.0)] * len(texts)
-        full = np.flatnonzero(lengths)
-        if len(full):
-            firsts = (np.cumsum(lengths) - lengths)[full]
-            starts = np.zeros(len(ids), bool)
-            starts[firsts] = True
-            p = posteriors(self.rows[ids], starts, self.model.transitions, self.model.start)
-            mean = np.add.reduceat(p, firsts, axis=0) / lengths[full, None]
-            best = mean.argmax(1)
-            for d, i, s in zip(full.tolist(), best.tolist(), mean[np.arange(len(full)), best].tolist(), strict=True):
-                out[d] = (self.model.labels[i], min(1.0, s))
-        return out
+    return gradient
 
 
-_taggers: list[Tagger] = []
+def sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[str, str]]:
+    """The bounded sample: rows by narrow columns first, then their texts. Equal rows count once."""
+    own = docs.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & (F.col("text") != ""))
+    known = own.select("doc_id", "lang", F.xxhash64("text").alias("h"))
+    by = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "h")
+    chosen = {(r.doc_id, r.h) for r in known.withColumn("r", F.row_number().over(by)).filter(F.col("r") <= rows).collect()}
+    if not chosen:
+        return []
+    found = own.filter(F.col("doc_id").isin([i for i, _ in chosen])).select("doc_id", "lang", "text", F.xxhash64("text").alias("h")).filter(F.col("h").isin([h for _, h in chosen]))
+    return [(r.lang, r.text) for r in found.dropDuplicates(["doc_id", "lang", "h"]).collect() if (r.doc_id, r.h) in chosen]
+
+
+def tag(model: Model, texts: list[str]) -> list[tuple[str, float]]:
+    """The language of each text, and its score."""
+    tokens = [words_of(t) for t in texts]
+    place = {w: i for i, w in enumerate({w for ws in tokens for w in ws})}
+    get = place.__getitem__
+    lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    ids = np.fromiter((i for ws in tokens for i in map(get, ws)), np.int64, int(lengths.sum()))
+    odd = np.array([not w[0].isalpha() and not any(map(str.isalpha, w)) for w in place], bool)
+    if odd.any():  # runs of number signs without a letter are no words
+        lengths = np.bincount(np.repeat(np.arange(len(texts)), lengths), ~odd[ids], len(texts)).astype(np.int64)
+        ids = ids[~odd[ids]]
+    out = [("und", 0.0)] * len(texts)
+    full = np.flatnonzero(lengths)
+    if len(full):
+        firsts = (np.cumsum(lengths) - lengths)[full]
+        starts = np.zeros(len(ids), bool)
+        starts[firsts] = True
+        p = posteriors(model.scores(list(place))[ids], starts, model.transitions, model.start)
+        mean = np.add.reduceat(p, firsts, axis=0) / lengths[full, None]
+        best = mean.argmax(1)
+        for d, i, s in zip(full.tolist(), best.tolist(), mean[np.arange(len(full)), best].tolist(), strict=True):
+            out[d] = (model.labels[i], min(1.0, s))
+    return out
 
 
 def predict(docs: DataFrame, model: Model | None, *keep: str, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
@@ -250,17 +256,12 @@ def predict(docs: DataFrame, model: Model | None, *keep: str, names: tuple[str,
     at = columns.index("text")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not _taggers or _taggers[0].model is not shared.value:
-            _taggers[:] = [Tagger(shared.value)]
-        tagger = _taggers[0]
         for batch in batches:
             texts = [t or "" for t in batch.column(at).to_pylist()]
-            for a, b in runs(texts):
-                lang, score = zip(*tagger.documents(texts[a:b]), strict=True)
+            for a, b in runs(texts, BATCH_CHARS):
+                lang, score = zip(*tag(shared.value, texts[a:b]), strict=True)
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[: len(keep)]), pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*keep, *names])
 
-        tagger.trim(REST_ROWS)
-
     kinds = dict(docs.dtypes)
     return docs.select(*columns).mapInArrow(apply, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + f", {names[0]} string, {names[1]} double")
 

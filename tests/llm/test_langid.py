@@ -17,6 +17,68 @@ def test_forward_backward_like_enumeration():
         assert np.allclose(got[a:b], total / total.sum(1, keepdims=True))
 
 
+def plain_features(word):
+    """Names of a word's features: every n-gram that stands in it, and itself."""
+    w = f"^{word}$"
+    return [("gram", w[i : i + k]) for k in langid.GRAMS for i in range(len(w) - k + 1)] + [("word", word)]
+
+
+def test_features_like_plain_ones():
+    words = ["a", "banana", "élan", "x" * 400, "nab", "ban", "\U0001f600a"]
+    grid, starts = langid.word_grid(words, -1)
+    ends = [*starts[1:], len(grid)]
+    seen = {}
+    for w, a, b in zip(words, starts, ends, strict=True):
+        own, names = grid[a:b], plain_features(w)
+        assert (own >= 0).sum() == len(names)  # each occurrence, however long the word
+        for k in langid.GRAMS:
+            for i in range(len(w) + 3 - k):
+                assert seen.setdefault(("gram", f"^{w}$"[i : i + k]), own[i, langid.GRAMS.index(k)]) == own[i, langid.GRAMS.index(k)]
+        assert seen.setdefault(("word", w), own[0, -1]) == own[0, -1]
+    assert len(set(seen.values())) > 0.95 * len(seen)
+
+
+def test_gradient_like_plain_crf():
+    rng = np.random.default_rng(2)
+    model = langid.Model(["p", "q"], {"aba": [0], "bb": [0, 1]})
+    model.weights[:-1] = rng.normal(size=model.weights[:-1].shape)
+    model.transitions, model.start = rng.normal(size=(2, 2)), rng.normal(size=2)
+    words, ids, y, new = ["aba", "bb", "cab"], [0, 1, 2, 1, 0], [0, 1, 1, 0, 1], [1, 0, 0, 1, 0]
+
+    def score(labels):
+        grid, starts = langid.word_grid(words, len(model.weights) - 1)
+        total = 0.0
+        for i, (w, l) in enumerate(zip(ids, labels, strict=True)):
+            a, b = starts[w], [*starts[1:], len(grid)][w]
+            total += model.weights[grid[a:b].ravel(), l].sum(dtype=float) + sum(float(model.weights[langid.BUCKETS + x, l]) for x in model.lexicons.get(words[w], ()))
+            total += model.start[l] if new[i] else model.transitions[labels[i - 1], l]
+        return total
+
+    def likelihood():
+        every = [score(p) for p in np.ndindex(2, 2, 2, 2, 2)]
+        return score(y) - max(every) - np.log(np.exp(np.array(every) - max(every)).sum())
+
+    g, gt, gs = langid.gradient_of(model, words, np.array(ids), np.array(y), np.array(new, bool))()
+    grid, starts = langid.word_grid(words, len(model.weights) - 1)
+    places = [(model.weights, g, (int(grid[i, j]), l)) for i, j, l in ((0, 0, 0), (1, 1, 1), (starts[2], 3, 0))] + [(model.weights, g, (langid.BUCKETS, 1)), (model.transitions, gt, (0, 1)), (model.transitions, gt, (1, 1)), (model.start, gs, (0,))]
+    for of, got, at in places:
+        was = of[at]
+        of[at] = was + 0.01
+        up = likelihood()
+        of[at] = was - 0.01
+        down = likelihood()
+        of[at] = was
+        assert abs((up - down) / 0.02 - got[at]) < 2e-3
+
+
+def test_sample_is_bounded_and_whole(spark):
+    rows = [(i, "aa " * (i + 1), "xx") for i in range(60)] + [(0, "aa ", "xx")] * 3 + [(7, "twice", "xx"), (None, "no id", "xx")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    first, again = langid.sample(d, 5), langid.sample(d.repartition(7), 5)
+    assert sorted(first) == sorted(again) and len(first) == 5
+    assert {t for _, t in first} <= {t for _, t, _ in rows}
+
+
 def corpus(spark):
     words = {"xx": "kaza moru tiba sanu pelo gari", "yy": "strengh brught schlock wurdt", "zz": "ouilleau peaux tréau queôn"}
     rng = np.random.default_rng(1)
