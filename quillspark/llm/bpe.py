@@ -3,7 +3,7 @@
 A text is cut into segments before each space that a character other than white space follows. The pattern always has
 a match boundary there and never looks back, so each segment encodes by itself.
 
-1. Tasks read batches of documents (some BATCH_CHARS characters) and send each batch's distinct segments, a packed list for
+1. Tasks read batches of documents (some CORPUS_CHARS characters) and send each batch's distinct segments, a packed list for
    each shard (a hash of the segment; as many shards as shuffle partitions, so they grow only as far as those are set).
 2. A shard has a segment from all batches once. It splits its segments by the pattern into words and encodes all distinct
    words together: an inverted index leads from each mergeable pair's rank to the places of that pair in any of the words; a
@@ -42,18 +42,22 @@ from pyspark.sql.pandas.types import to_arrow_schema
 REST_ROWS = 40_000
 #: Documents whose texts are handled together hold about so many characters, besides the last of them.
 BATCH_CHARS = 4_000_000
+#: The batches whose segments are replayed together with all others'.
+CORPUS_CHARS = 8_000_000
 
 _cut = re.compile(r" (?=\S)")
+_odd = re.compile(r" (?:\s|\Z)")
+
+
+def pieces_of(text: str) -> list[str]:
+    """A text's segments, all but the first without their leading space."""
+    return _cut.split(text) if _odd.search(text) else text.split(" ")
 
 
 def segments(text: str, known: dict) -> tuple[list[str], set[str]]:
-    """A text's segments, all but the first without their leading space; those of them that aren't known."""
-    pieces = text.split(" ")
-    new = set(pieces[1:]).difference(known)
-    if any(not p or p[0].isspace() for p in new):
-        pieces = _cut.split(text)
-        new = set(pieces[1:]).difference(known)
-    return pieces, new
+    """A text's pieces; those behind the first that aren't known."""
+    pieces = pieces_of(text)
+    return pieces, set(pieces[1:]).difference(known)
 
 
 def forget(memory: dict, keep: int) -> None:
@@ -188,7 +192,7 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array,
         at = 0
         for i, t in enumerate(own):
             size += len(t)
-            if size >= BATCH_CHARS:
+            if size >= CORPUS_CHARS:
                 yield number, pa.concat_arrays([*ids, batch.column(0).slice(at, i + 1 - at)]), texts + own[at : i + 1]
                 ids, texts, size, number, at = [], [], 0, number + 1, i + 1
         if at < len(own):
@@ -198,17 +202,16 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array,
         yield number, pa.concat_arrays(ids), texts
 
 
-def _dealt(texts: list[str], shards: int) -> tuple[list[list[str]], dict[int, list[bytes]]]:
+def _dealt(texts: list[str], shards: int) -> tuple[list[list[str]], dict[int, list[str]]]:
     """The segments of each text, all but the first without their leading space, and the distinct whole ones by shard."""
-    pieces, later = [], set()
-    for t in texts:
-        ps, new = segments(t, {})
-        later |= new
-        pieces.append(ps)
-    found: dict[int, list[bytes]] = {}
-    for w in sorted({ps[0].encode() for ps in pieces} | {f" {p}".encode() for p in later}):
-        if w:
-            found.setdefault(zlib.crc32(w) % shards, []).append(w)
+    pieces, first, later = list(map(pieces_of, texts)), set(), set()
+    for ps in pieces:
+        rest = iter(ps)
+        first.add(next(rest))
+        later.update(rest)
+    found: dict[int, list[str]] = {}
+    for w in sorted({*first, *map(" ".__add__, later)}):
+        found.setdefault(zlib.crc32(w.encode()) % shards, []).append(w)
     return pieces, found
 
 
@@ -240,7 +243,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool =
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, _, texts in _batches(batches):
             found = _dealt(texts, shards)[1]
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([number] * len(found), pa.int64()), pa.array([_packed(ws) for ws in found.values()], pa.binary())], ["shard", "batch", "asked"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([number] * len(found), pa.int64()), pa.array([_packed([w.encode() for w in ws]) for ws in found.values()], pa.binary())], ["shard", "batch", "asked"])
 
     def answer(group: pa.Table) -> pa.Table:
         coder = encoder(path, pattern)
@@ -259,13 +262,12 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool =
         out = []
         for rows, blob in zip(sent.column("rows").combine_chunks(), sent.column("texts").to_pylist(), strict=True):
             pieces, found = _dealt([t.decode() for t in _unpacked(blob)], shards)
-            ids: dict[str, bytes] = {"": b""}
+            ids: dict[str, bytes] = {}
             for shard, ws in found.items():
                 digest, got = reply.get(shard, (None, b""))
-                texts = [w.decode() for w in ws]
-                ids.update(zip(texts, _unpacked(got) if digest == _digest(ws) else coder.encode(texts), strict=True))
+                ids.update(zip(ws, _unpacked(got) if digest == _digest([w.encode() for w in ws]) else coder.encode(ws), strict=True))
             later = {w[1:]: x for w, x in ids.items() if w[:1] == " "}.__getitem__
-            packed = [ids[ps[0]] + b"".join(map(later, ps[1:])) for ps in pieces]
+            packed = [b"".join([ids[ps[0]], *map(later, ps[1:])]) for ps in pieces]
             flat = rows.values.flatten()
             cols = [flat[0], pa.array([len(p) // 4 for p in packed], pa.int64()), *(pa.array([hashlib.sha256(f(p)).hexdigest() for p in packed]) for f in (lambda p: p, coder.decode))]
             if with_ids:
