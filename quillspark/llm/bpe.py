@@ -38,6 +38,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from quillspark.llm.common import in_small_batches
+
 #: Segments that other operators remember when a task ends, since its worker goes on with other work.
 REST_ROWS = 40_000
 #: Documents whose texts are handled together hold about so many characters, besides the last of them.
@@ -238,7 +240,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool =
     kind, kinds = dict(docs.dtypes)["doc_id"], dict(docs.dtypes)
     carried = F.struct(F.col("doc_id"), *(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)))
     carried_kind = f"struct<doc_id:{kind}" + "".join(f",k{i}:{kinds[c]}" for i, c in enumerate(keep)) + ">"
-    own = docs.select(carried.alias("row"), "text")
+    own = in_small_batches(docs).select(carried.alias("row"), "text")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, _, texts in _batches(batches):

@@ -20,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quillspark.llm.common import in_small_batches
+
 _markup = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(/?)([a-z][a-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+|[^<>]*)>"
@@ -330,4 +332,4 @@ def extract(pages: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kinds = dict(pages.dtypes)
-    return pages.select("page_id", "url", "html").mapInArrow(apply, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
+    return in_small_batches(pages).select("page_id", "url", "html").mapInArrow(apply, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")

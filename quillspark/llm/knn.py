@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import written
+from quillspark.llm.common import in_small_batches, written
 
 K = 10
 SCALE = 1024
@@ -81,7 +81,7 @@ def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
 def search(embeddings: DataFrame, every: int = 100, k: int = K, pivots: int = PIVOTS) -> DataFrame:
     """query_id, rank, vec_id, score: the top k of each row whose vec_id is divisible by every."""
     spark = embeddings.sparkSession
-    rows = written(quantised(embeddings))
+    rows = written(quantised(in_small_batches(embeddings)))
     first = F.row_number().over(W.partitionBy("q").orderBy("vec_id"))
     data = written(rows.withColumn("r", first).filter(F.col("r") <= k + 1).drop("r"))
     queries = rows.filter(F.col("vec_id") % every == 0)

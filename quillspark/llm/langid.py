@@ -29,6 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.llm.bpe import runs
+from quillspark.llm.common import in_small_batches
 from quillspark.llm.shingles import mixed
 
 SAMPLE_ROWS = 100
@@ -249,6 +250,7 @@ def predict(docs: DataFrame, model: Model | None, *keep: str, names: tuple[str,
     """The columns keep, the language and its score for each row; text, and nothing else, decides."""
     if model is None:
         return docs.select(*keep, F.lit("und").alias(names[0]), F.lit(0.0).alias(names[1]))
+    docs = in_small_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # (BUCKETS + labels) x labels weights and LEXICON words a label
 
     # The text goes to Python once, whether it is among the columns kept or not.

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import bitmap, may_hold, written
+from quillspark.llm.common import bitmap, in_small_batches, may_hold, written
 from quillspark.llm.shingles import mixed
 
 MIN_EXACT, MIN_EDIT, SEGMENT = 10, 20, 16
@@ -168,29 +168,33 @@ def near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """docs with two more columns: n_lines, n_removed; text is what stays of it."""
-    narrow = docs.select("doc_id", "text")
+    """docs with two more columns: n_lines, n_removed (those of docs of these names are left out); text is what stays of it."""
+    narrow = in_small_batches(docs).select("doc_id", "text")
     places = written(_places(narrow))
     firsts = written(places.groupBy("line").agg(F.min(place()).alias("first"), F.count(F.lit(1)).alias("times"), F.first("n").alias("n"), F.first("anchors").alias("anchors")))
     near = written(near_lines(narrow, firsts)).withColumn("near", F.lit(True))
     verdicts = firsts.select("line", "first", "times").join(near, "line", "left").filter((F.col("times") > 1) | F.col("near"))
     gone = places.select("line", "doc_id", "copy", "no").join(verdicts, "line").filter(F.coalesce("near", F.lit(False)) | (place() > F.col("first")))
-    gone = gone.groupBy("doc_id", "copy").agg(F.collect_set("no").alias("_gone")).select(F.col("doc_id").alias("_d"), F.col("copy").alias("_c"), "_gone")
-    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_c")), "left").drop("_d", "_c")
-    others = [c for c in docs.columns if c != "text"]
+    gone = gone.groupBy("doc_id", "copy").agg(F.collect_set("no").alias("gone")).select(F.col("doc_id").alias("d"), F.col("copy").alias("c"), "gone")
+    others = [c for c in docs.columns if c.lower() not in ("text", "n_lines", "n_removed")]
+    kinds = dict(docs.dtypes)
+    row = F.struct(*(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(others)))
+    rows = docs.select(row.alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("copy"), "text")
+    joined = rows.join(gone, F.col("id").eqNullSafe(F.col("d")) & (F.col("copy") == F.col("c")), "left")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, lines, removed = [], [], []
-            for t, g in zip(b.column("text").to_pylist(), b.column("_gone").to_pylist(), strict=True):
+            for t, g in zip(b.column("text").to_pylist(), b.column("gone").to_pylist(), strict=True):
                 all_, g = (t or "").split("\n"), set(g or ())
                 texts.append(t if not g else "\n".join([s for i, s in enumerate(all_) if i not in g]))
                 lines.append(len(all_) if t else 0), removed.append(len(g))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in others), pa.array(texts, pa.string()), pa.array(lines, pa.int64()), pa.array(removed, pa.int64())], [*others, "text", "n_lines", "n_removed"])
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(texts, pa.string()), pa.array(lines, pa.int64()), pa.array(removed, pa.int64())], ["row", "text", "n_lines", "n_removed"])
 
-    kinds = dict(docs.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in others) + ", text string, n_lines long, n_removed long"
-    return joined.select(*others, "text", "_gone").mapInArrow(apply, schema.removeprefix(", ")).select(*docs.columns, "n_lines", "n_removed")
+    schema = f"row struct<{', '.join(f'k{i}: {kinds[c]}' for i, c in enumerate(others))}>, text string, n_lines long, n_removed long"
+    done = joined.select("row", "text", "gone").mapInArrow(apply, schema)
+    own = {c: F.col(f"row.k{i}").alias(c) for i, c in enumerate(others)}
+    return done.select(*(own.get(c, "text") for c in docs.columns if c in own or c == "text"), "n_lines", "n_removed")
 
 
 def digest(deduped: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ Empty tables give empty results. Repeated rows are separate documents. Sources o
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -106,3 +107,12 @@ def mixed_documents(docs: DataFrame, schedule: DataFrame, share: float = 1.5, ma
     clear = docs.select(*[F.col(c).alias(f"_in_{c}") if c in keep else F.col(c) for c in docs.columns], "text" if "text" in keep else F.lit(None).alias("text"))
     order = training_order(assign_positions(clear, schedule, share, max_repeats, tuple(f"_in_{c}" for c in keep)))
     return order.filter(2 * F.col("take_words") >= F.col("size")).select(*[F.col(f"_in_{c}").alias(c) if c in keep else F.col(c) for c in docs.columns])
+
+
+def written_order(docs: DataFrame, names: tuple[str, str] = ("part", "row")) -> DataFrame:
+    """docs read from Parquet files that hold them in an order, with two more columns to sort by: the file's name (Spark numbers
+    the files of a range sort in its order) and the row's number within. Null and 0 for what isn't read from files."""
+    try:
+        return docs.select("*", F.col("_metadata.file_name").alias(names[0]), F.col("_metadata.row_index").alias(names[1]))
+    except AnalysisException:  # no files
+        return docs.select("*", F.lit(None).cast("string").alias(names[0]), F.lit(0).cast("long").alias(names[1]))

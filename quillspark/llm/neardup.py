@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import bitmap, may_hold, written
+from quillspark.llm.common import bitmap, in_small_batches, may_hold, written
 from quillspark.llm.graph import components
 from quillspark.llm.shingles import POSITIONS, alike, identity, mixed, shingle_set, signature
 
@@ -238,7 +238,7 @@ def _linked(candidates: DataFrame, sets: DataFrame, percent: int) -> tuple[DataF
 
 def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs."""
-    docs = docs.select("doc_id", "text")
+    docs = in_small_batches(docs).select("doc_id", "text")
     rows = written(classes_of(docs, size))
     classes = written(rows.filter(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature")))
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

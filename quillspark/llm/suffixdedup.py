@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import bitmap, may_hold, written
+from quillspark.llm.common import bitmap, in_small_batches, may_hold, written
 
 WINDOW, DIGIT = 50, 24
 #: Depths of the passes that only thin out; the first is the digit's, the last pass has the whole window.
@@ -44,7 +44,7 @@ BUCKETS_A_PARTITION = 1
 MAX_BITS = 1 << 28
 LAST = 2**63 - 1  # the place of a null doc_id
 #: Windows are hashed so many at a time, which fits a core's cache; so many keys are held before they are sent.
-CHUNK, HELD = 1 << 16, 3_000_000
+CHUNK, HELD = 1 << 16, 1_500_000
 _PAD = 64
 _SPAN = WINDOW - DIGIT + 1
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
@@ -401,7 +401,7 @@ def remove_repeats(docs: DataFrame, buckets: int | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    own = _documents(docs)
+    own = _documents(in_small_batches(docs))
     places = repeated_windows(own, buckets).groupBy("d", "t").agg(F.collect_list(F.struct("s", "n")).alias("places"))
     packed = own.select("doc_id", "d", "t", "text").mapInArrow(pack, f"doc_id {kind}, d long, t long, z binary")
     return packed.join(places, ["d", "t"], "left").select("doc_id", "z", "places").mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

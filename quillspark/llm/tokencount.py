@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.bpe import REST_ROWS, forget, runs, segments
-from quillspark.llm.common import written
+from quillspark.llm.common import in_small_batches, written
 
 CHUNK_CHARS = 32_768
 OVERLAP_CHARS = 1_024
@@ -142,7 +142,7 @@ def count_huge(texts: DataFrame, path: str, chunk: int = CHUNK_CHARS, overlap: i
     done: DataFrame | None = None
     while True:
         chunks = _chunks(texts, chunk, overlap).repartition(tasks, "key", "k")
-        counted = written(splice(_encoded(chunks, path, overlap)))
+        counted = written(splice(written(_encoded(chunks, path, overlap))))
         good = counted.filter(F.col("n_tokens").isNotNull())
         done = good if done is None else done.union(good)
         if good.count() == counted.count():
@@ -163,7 +163,7 @@ def count_tokens(docs: DataFrame, path: str, max_tokens: int = MAX_TOKENS, chunk
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(c.count(texts[a:b]), pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
         forget(c.first, REST_ROWS), forget(c.later, REST_ROWS)
 
-    d = docs.select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    d = in_small_batches(docs).select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     huge = F.coalesce(F.char_length("text") > chunk, F.lit(False))
     small = d.filter(~huge).mapInArrow(apply, f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, n_tokens long")
     long = d.filter(huge).withColumn("key", F.sha2("text", 256))

@@ -39,9 +39,10 @@ def test_like_brute_force(spark):
 
     rows = [(i, "\n".join(edit(rng.choice(base)) for _ in range(rng.randrange(1, 7)))) for i in range(80)]
     rows += [(200, None), (201, ""), (202, "\n\n"), (None, base[3] + "\nanother line of its own"), (None, base[5]), (3, rows[3][1]), (203, "x" * 500), (204, "x" * 499 + "\n" + "x" * 501)]
-    d = spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id long, text string, line string")
+    d = spark.createDataFrame([(i, t, "k", 1, 2, 3, 4, 5) for i, t in rows], "doc_id long, text string, line string, n_lines int, N_removed int, _gone int, _d int, copy int")
     got = linededup.dedup_lines(d)
-    assert got.columns == ["doc_id", "text", "line", "n_lines", "n_removed"]
+    assert got.columns == ["doc_id", "text", "line", "_gone", "_d", "copy", "n_lines", "n_removed"]
+    assert {tuple(r) for r in got.select("line", "_gone", "_d", "copy").distinct().collect()} == {("k", 3, 4, 5)}
     assert sorted(((str(r.doc_id), r.n_lines, r.n_removed, r.text) for r in got.collect()), key=str) == brute(rows)
 
 

@@ -46,6 +46,20 @@ def test_stages_one_by_one(spark):
     mixed = stages["mixing sources to target weights"](spark, single, "").cache()
     assert mixed.columns == docs.columns and {r.doc_id: r.text for r in mixed.collect()}.items() <= {r.doc_id: r.text for r in single.collect()}.items()
 
+    from pyspark.sql import functions as F
+
+    from quillspark.llm import mixing
+    from quillspark.llm.common import count_words, written
+
+    plan = mixing.assign_positions(single, mixing.ranked_schedule(single)).cache()
+    words = {r.source: (r.n, r.longest) for r in mixed.groupBy("source").agg(F.sum(count_words(F.col("text"))).alias("n"), F.max(count_words(F.col("text"))).alias("longest")).collect()}
+    for r in plan.select("source", "target").distinct().collect():
+        assert abs(words[r.source][0] - r.target) <= words[r.source][1] / 2 + 1
+    due = [(o.position, r.source is None, r.source or "", r.doc_id) for r in plan.collect() for o in r.occurrences if 2 * o.words >= r.size]
+    encoded = stages["byte-level BPE encoding and decoding"](spark, written(mixed.coalesce(2)), "").collect()
+    order = [r.doc_id for r in sorted(encoded, key=lambda r: (r.part, r.row))]
+    assert order == [r.doc_id for r in mixed.collect()] == [d for *_, d in sorted(due)]
+
     last = stages["byte-level BPE encoding and decoding"](spark, mixed, "").collect()
     texts = {r.doc_id: r.text for r in mixed.collect()}
     assert len(last) == mixed.count() and all(r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest() for r in last)
