@@ -6,11 +6,13 @@ trees grow by recursion: a node picks BRANCHES positions, and its classes are di
 class follows its own chosen paths. With two branches, a pair at 0.8 or more meets again in some child with a
 probability of at least 0.9375 however deep a tree grows, so five trees lose one such pair in a million.
 
-Nodes of up to SMALL classes are compared exhaustively; larger ones branch. Of one that is large after DEPTH levels,
-every class is compared with a hub (the class that agrees most with the tokens that prevail in the node). Pairs whose signatures agree in
+Nodes of up to SMALL classes are compared exhaustively; larger ones branch until they are small. Only where a large
+node's classes agree throughout (with the tokens that prevail in it, in AGREE of the positions on average) branching
+can't part them: there every class is compared with a hub, the class that agrees most with those tokens. The same is done
+with what is left after DEPTH levels, or once no more than FEW rows are left. Pairs whose signatures agree in
 fewer than 35 of 64 positions are dropped (one pair in a million at 0.8); the others are confirmed on the full sets,
-those that agree best first, and never within a component that is known already. What is large after DEPTH
-levels and then has several components is compared in blocks on the full sets: the classes outside its main component with
+those that agree best first, and never within a component that is known already. Nodes with a hub that then have
+several components are compared in blocks on the full sets: the classes outside the main component with
 all others. So a group of copies costs a comparison each, and no link between components is left out.
 
 A set holds the distinct shingles of so many words (all words, if fewer), a 64-bit hash each. Null texts and those
@@ -33,10 +35,11 @@ from quillspark.llm.graph import components
 from quillspark.llm.shingles import POSITIONS, alike, identity, mixed, shingle_set, signature
 
 SIZE, PERCENT = 5, 80
-TREES, BRANCHES, DEPTH, SMALL = 5, 2, 3, 32
+TREES, BRANCHES, DEPTH, SMALL = 5, 2, 12, 16
 #: Of POSITIONS; the binomial tail below it is 1e-6 at 0.8.
 AGREE = 35
 BLOCK = 500
+FEW = 2_000
 FIRST = 3
 
 
@@ -116,17 +119,21 @@ def _prevailing(rows: DataFrame) -> DataFrame:
     return blocks.groupBy("node").applyInArrow(of_node, "node long, prevailing binary")
 
 
-def _stars(rows: DataFrame) -> DataFrame:
-    """Every class of a node (rows with its number n of classes) with its hub."""
+def _judged(rows: DataFrame) -> DataFrame:
+    """node, class, signature, agree (with the tokens that prevail in the node) of the rows of large nodes."""
 
     def agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint32).reshape(-1, POSITIONS) for c in ("signature", "prevailing"))
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array((x == y).sum(1), pa.int32())], ["node", "class", "signature", "agree"])
 
-    agree = rows.join(_prevailing(rows), "node").select("node", "class", "signature", "prevailing").mapInArrow(agreeing, "node long, class binary, signature binary, agree int")
-    hubs = agree.groupBy("node").agg(F.max(F.struct("agree", "class", "signature")).alias("h")).select("node", F.col("h.class").alias("hub"), F.col("h.signature").alias("sb"))
-    pairs = rows.join(hubs, "node").filter(F.col("class") != F.col("hub"))
+    return rows.join(_prevailing(rows), "node").select("node", "class", "signature", "prevailing").mapInArrow(agreeing, "node long, class binary, signature binary, agree int")
+
+
+def _stars(judged: DataFrame) -> DataFrame:
+    """Every class of a node with its hub."""
+    hubs = judged.groupBy("node").agg(F.max(F.struct("agree", "class", "signature")).alias("h")).select("node", F.col("h.class").alias("hub"), F.col("h.signature").alias("sb"))
+    pairs = judged.join(hubs, "node").filter(F.col("class") != F.col("hub"))
     swap = F.col("class") > F.col("hub")
     return pairs.select(F.when(swap, F.col("hub")).otherwise(F.col("class")).alias("a"), F.when(swap, F.col("class")).otherwise(F.col("hub")).alias("b"), F.when(swap, F.col("sb")).otherwise(F.col("signature")).alias("sa"), F.when(swap, F.col("signature")).otherwise(F.col("sb")).alias("sb"))
 
@@ -244,22 +251,30 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     nodes = _descend(classes.select("class", "signature"), TREES)
     found: DataFrame | None = None
+    dense: DataFrame | None = None
     for level in range(DEPTH):
         crowd = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
         shared = written(nodes.join(crowd, "node"))
         large = shared.filter(F.col("n") > SMALL)
         pairs = _agreement(_pairs(shared.filter(F.col("n") <= SMALL).drop("n")))
         found = pairs if found is None else found.union(pairs)
-        if level == DEPTH - 1:
-            found = found.union(_agreement(_stars(large)))
-        else:
-            nodes = _descend(large.drop("n").repartition(tasks), TREES)
+        if not (left := large.count()):
+            break
+        last = level == DEPTH - 1 or left <= FEW
+        judged = written(_judged(large))
+        alike_ = judged.groupBy("node").agg((F.avg("agree") >= (0 if last else AGREE)).alias("dense"))
+        judged = judged.join(alike_, "node")
+        stuck = written(judged.filter("dense").drop("dense"))
+        found, dense = found.union(_agreement(_stars(stuck))), stuck if dense is None else dense.union(stuck)
+        if last:
+            break
+        nodes = _descend(judged.filter(~F.col("dense")).select("node", "class", "signature").repartition(tasks), TREES)
     found = written(found.distinct())
     between = lambda c: c.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     sets = written(_sets(docs, classes.select("doc_id", "class").join(between(found), "class"), size))
     links, roots = _linked(found, sets, percent)
-    crowds = written(_crowds(large, roots))
-    if not crowds.isEmpty():
+    crowds = None if dense is None else written(_crowds(dense, roots))
+    if crowds is not None and not crowds.isEmpty():
         more = crowds.select("class").distinct().join(sets.select("class"), "class", "left_anti")
         sets = sets.union(written(_sets(docs, classes.select("doc_id", "class").join(more, "class"), size)))
         inside = written(_crowd_links(crowds, sets, percent))

@@ -48,11 +48,14 @@ def edited(rng, ws, n):
 def test_like_brute_force(spark, monkeypatch):
     monkeypatch.setattr(neardup, "SMALL", 6)  # so that large nodes, hubs and blocks are met
     monkeypatch.setattr(neardup, "BLOCK", 10)
+    monkeypatch.setattr(neardup, "FEW", 0)
     rng = random.Random(4)
     rows = [(i, " ".join(words(rng, 60))) for i in range(60)]
     for g in range(3):
         base = words(rng, 160)
         rows += [(100 + 60 * g + i, " ".join(edited(rng, base, rng.randrange(8)))) for i in range(45)]
+    common = words(rng, 50)  # a passage that documents share which are not alike
+    rows += [(700 + i, " ".join(common + words(rng, 60))) for i in range(40)]
     chain = words(rng, 100)
     for i in range(12):
         chain = chain[3:] + words(rng, 3)
