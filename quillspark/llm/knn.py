@@ -1,18 +1,21 @@
 """Exact top-k search by a Voronoi join: the largest integer inner products for a stated set of queries.
 
 Vectors are quantised, x to floor(SCALE * x). PIVOTS vectors are drawn by hash; each vector belongs to the cell of its
-nearest pivot. Summaries: the k + 1 vectors nearest to each pivot (PIVOTS * (k + 1) rows at most) give every query a
-score that its k-th neighbour reaches for sure; for a cell's queries the least of these, and their largest distance r
-from the pivot p, are the group's summary. By Cauchy-Schwarz no query of the group scores more with o than
-<p, o> + r |o|. So only vectors with that bound at or above the group's least score are sent to the group, where they
-are scored in blocks of bounded size; the blocks' top k are merged.
+nearest pivot. A cell's summary is its number of vectors and their largest distance from the pivot. Each query is
+first solved in its own cell; its k-th score there is one that its k-th neighbour reaches for sure. By Cauchy-Schwarz a query
+q scores no more than <q, p> + |q| d with a vector at distance d from its pivot p. So a query goes on only to cells whose
+largest distance lets a vector reach that score, and there it meets only vectors that are far enough from the pivot.
+
+Queries are few and vectors many, so it is the queries that are copied: a vector is sent to its own cell, once for each of
+the two rounds, whatever the number of cells. Large cells are dealt to blocks of some DATA_BLOCK vectors. Where bounds
+can't prune (vectors without clusters), a query visits all cells: the work is that of comparing it with all vectors.
 
 Of vectors with equal components only the k + 1 smallest ids can be among anyone's top k (ties go to the smaller id,
 and one of them may be the query itself); the others are left out before anything is sent.
 
 Null vectors, and vectors with null or non-finite components, take no part; nor do rows with a null vec_id. Repeated
 equal rows count once. Shorter vectors count as ending in zeros. Scores beyond 64 bits stay at the limit. A query's
-candidates are all rows but those with its own vec_id.
+candidates are all rows but those with its own vec_id. An empty table has an empty result.
 """
 
 from __future__ import annotations
@@ -20,7 +23,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -31,8 +33,8 @@ from quillspark.llm.common import in_small_batches, written
 K = 10
 SCALE = 1024
 PIVOTS = 32
-#: Rows of data and of queries in one block.
-DATA_BLOCK, QUERY_BLOCK = 20_000, 2_000
+#: Vectors of a cell in one block.
+DATA_BLOCK = 20_000
 _LIMIT = 2**63 - 1
 
 
@@ -78,81 +80,96 @@ def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -scores[at].astype(float) if abs(scores[at]).max(initial=0) < 2**53 else -scores[at].astype(object)))][:k]
 
 
-def search(embeddings: DataFrame, every: int = 100, k: int = K, pivots: int = PIVOTS) -> DataFrame:
-    """query_id, rank, vec_id, score: the top k of each row whose vec_id is divisible by every."""
-    spark = embeddings.sparkSession
+class Cells:
+    """Pivots, and for each cell its number of vectors and their largest distance."""
+
+    def __init__(self, pivots: np.ndarray, sizes: dict[int, tuple[int, float]]):
+        self.pivots, self.ids = pivots, np.array(sorted(sizes), np.int64)
+        self.counts = np.array([sizes[c][0] for c in self.ids.tolist()], np.int64)
+        self.reach = np.array([sizes[c][1] for c in self.ids.tolist()])
+        self.blocks = {c: -(-n // DATA_BLOCK) for c, (n, _) in sizes.items()}
+
+    def needed(self, x: np.ndarray, least: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which query has to visit which cell besides its own, and from what distance on vectors can count there."""
+        f = x.astype(float)
+        near = f @ self.pivots[self.ids].T.astype(float)
+        length = np.linalg.norm(f, axis=1)[:, None]
+        slack = 1e-3 + 1e-6 * (np.abs(near) + length * self.reach)
+        i, j = np.nonzero((near + length * self.reach + slack >= least[:, None]) & (self.ids != home[:, None]))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            far = (least[:, None] - near - slack) / length
+        return i, self.ids[j], np.nan_to_num(far[i, j], nan=-1.0, neginf=-1.0)
+
+
+def _visits(asked: DataFrame, data: DataFrame, cells: Cells, k: int, dims: int) -> DataFrame:
+    """query_id, v, vec_id, score: each query's k best in each block of the cell it visits (asked: query_id, v, cell, need)."""
+    blocks = F.create_map(*(F.lit(int(x)) for c, n in cells.blocks.items() for x in (c, n)))
+    sent = asked.withColumn("block", F.explode(F.sequence(F.lit(0), blocks[F.col("cell")] - 1)))
+
+    def solve(qs: pa.Table, ds: pa.Table) -> pa.Table:
+        ids, x, far = ds.column("vec_id").to_numpy(), matrix(ds.column("v").to_pylist(), dims), ds.column("far").to_numpy()
+        order = np.argsort(-far)
+        ids, x, far = ids[order], x[order], far[order]
+        ask, need, packed = qs.column("query_id").to_numpy(), qs.column("need").to_numpy(), qs.column("v").to_pylist()
+        found: list[tuple[np.ndarray, ...]] = []
+        turn = np.argsort(-need)
+        for a in range(0, len(turn), 100):
+            some = turn[a : a + 100]
+            reach = int(np.searchsorted(-far, -need[some].min(), "right"))  # those beyond can't count for any of these
+            scores = products(matrix([packed[q] for q in some], dims), x[:reach])
+            for q, row in zip(some, scores, strict=True):
+                other = np.flatnonzero(ids[:reach] != ask[q])
+                top = other[best(ids[other], row[other], k)]
+                found.append((np.full(len(top), q), ids[top], row[top]))
+        of, vec, score = (np.concatenate([np.zeros(0, np.int64), *c]) for c in (zip(*found, strict=True) if found else [[]] * 3))
+        return pa.table({"query_id": pa.array(ask[of], pa.int64()), "v": qs.column("v").take(pa.array(of)), "vec_id": pa.array(vec, pa.int64()), "score": pa.array(score, pa.int64())})
+
+    return sent.groupBy("cell", "block").cogroup(data.groupBy("cell", "block")).applyInArrow(solve, "query_id long, v binary, vec_id long, score long")
+
+
+def plan(embeddings: DataFrame, every: int = 100, k: int = K, pivots: int = PIVOTS) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """The first round's results, what goes on to other cells (query_id, v, cell, need), and its results; None without vectors."""
     rows = written(quantised(in_small_batches(embeddings)))
     first = F.row_number().over(W.partitionBy("q").orderBy("vec_id"))
-    data = written(rows.withColumn("r", first).filter(F.col("r") <= k + 1).drop("r"))
-    queries = rows.filter(F.col("vec_id") % every == 0)
-    dims, n = data.agg(F.max(F.size("q")), F.count(F.lit(1))).first()
-    out = "query_id long, rank int, vec_id long, score long"
-    if not n or not dims:
-        dims = dims or 0
+    kept = rows.withColumn("r", first).filter(F.col("r") <= k + 1).drop("r")
+    dims, n = rows.agg(F.max(F.size("q")), F.count(F.lit(1))).first()
     if not n:
-        return spark.createDataFrame([], out)
-    drawn = [r.q for r in data.select("q").distinct().orderBy(F.xxhash64("q"), "q").limit(pivots).collect()]
-    centres = matrix(drawn, dims)
-
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            cell, far = nearest(matrix(b.column(1).to_pylist(), dims), centres)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cell, pa.int32()), pa.array(far)], ["vec_id", "q", "cell", "far"])
-
-    placed = data.mapInArrow(cells, "vec_id long, q array<long>, cell int, far double")
-    close = W.partitionBy("cell").orderBy("far", "vec_id")
-    kept = placed.withColumn("r", F.row_number().over(close)).filter(F.col("r") <= k + 1).select("vec_id", "q").collect()
-    kept_ids, kept_rows = np.array([r.vec_id for r in kept]), matrix([r.q for r in kept], dims)
+        return None
+    dims = dims or 0
+    centres = matrix([r.q for r in rows.select("q").distinct().orderBy(F.xxhash64("q"), "q").limit(pivots).collect()], dims)
 
-    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, ids = matrix(b.column(1).to_pylist(), dims), b.column(0).to_numpy()
+            x = matrix(b.column(1).to_pylist(), dims)
             cell, far = nearest(x, centres)
-            s = products(x, kept_rows).astype(float)
-            s[ids[:, None] == kept_ids] = -np.inf
-            least = -np.partition(-s, k - 1, axis=1)[:, k - 1] if s.shape[1] >= k else np.full(len(x), -np.inf)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cell, pa.int32()), pa.array(far), pa.array(least)], ["query_id", "q", "cell", "far", "least"])
-
-    asked = written(queries.mapInArrow(groups, "query_id long, q array<long>, cell int, far double, least double"))
-    summary = asked.groupBy("cell").agg(F.max("far").alias("far"), F.min("least").alias("least"), F.count(F.lit(1)).alias("n")).collect()  # a row a pivot
-    if not summary:
-        return spark.createDataFrame([], out)
-    parts = -(-n // DATA_BLOCK)
-    plan = [(r.cell, r.far, r.least, -(-r.n // QUERY_BLOCK)) for r in sorted(summary)]
-    at, reach, floor_ = (np.array(c) for c in list(zip(*plan, strict=True))[:3])
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in x.astype("<i8")], pa.binary()), pa.array(cell, pa.int32()), pa.array(far)], ["vec_id", "v", "cell", "far"])
+
+    kind = "vec_id long, v binary, cell int, far double"
+    data = written(kept.mapInArrow(placed, kind))
+    summary = data.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).collect()  # a row a pivot
+    cells = Cells(centres, {r.cell: (r.n, r.far) for r in summary})
+    blocks = F.create_map(*(F.lit(int(x)) for c, m in cells.blocks.items() for x in (c, m)))
+    data = data.withColumn("block", F.pmod(F.hash("vec_id"), blocks[F.col("cell")]).cast("int"))
+    asked = written(rows.filter(F.col("vec_id") % every == 0).mapInArrow(placed, kind).select(F.col("vec_id").alias("query_id"), "v", "cell", F.lit(-1.0).alias("need")))
+    home = written(_visits(asked, data, cells, k, dims))
+    order = W.partitionBy("query_id", "v").orderBy(F.desc("score"), "vec_id")
+    kth = home.withColumn("r", F.row_number().over(order)).filter(F.col("r") == k).select("query_id", "v", F.col("score").alias("least"))
+
+    def onward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, ids = matrix(b.column(1).to_pylist(), dims), b.column(0)
-            f = x.astype(float)
-            bound = f @ centres[at].T.astype(float) + np.linalg.norm(f, axis=1)[:, None] * reach
-            need = bound + 1e-6 * np.abs(bound) + 1e-3 >= floor_
-            packed = pa.array([r.tobytes() for r in x.astype("<i8")], pa.binary())
-            part = np.array([hash(i) % parts for i in ids.to_pylist()])
-            for g, (cell, _, _, blocks) in enumerate(plan):
-                own = np.flatnonzero(need[:, g])
-                if len(own):
-                    i = pa.array(own)
-                    for q in range(blocks):
-                        yield pa.RecordBatch.from_arrays([ids.take(i), packed.take(i), pa.array(np.full(len(own), cell), pa.int32()), pa.array(np.full(len(own), q), pa.int32()), pa.array(part[own], pa.int32())], ["vec_id", "v", "cell", "qb", "db"])
-
-    sent = data.mapInArrow(send, "vec_id long, v binary, cell int, qb int, db int")
-    counts = F.create_map(*(F.lit(int(x)) for cell, _, _, blocks in plan for x in (cell, blocks)))
-    asking = asked.withColumn("qb", F.pmod(F.hash("query_id"), counts[F.col("cell")]).cast("int")).withColumn("db", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select("query_id", "q", "cell", "qb", "db")
-
-    def solve(qs: pd.DataFrame, ds: pd.DataFrame) -> pd.DataFrame:
-        ids, x = ds["vec_id"].to_numpy(), matrix(ds["v"].tolist(), dims)
-        found = []
-        qx = matrix(qs["q"].tolist(), dims)
-        for a in range(0, len(qs), 100):
-            scores = products(qx[a : a + 100], x)
-            for i, (query, q) in enumerate(zip(qs["query_id"][a : a + 100], qs["q"][a : a + 100], strict=True)):
-                other = np.flatnonzero(ids != query)
-                top = other[best(ids[other], scores[i][other], k)]
-                found.append(pd.DataFrame({"query_id": query, "q": [q] * len(top), "vec_id": ids[top], "score": scores[i][top]}))
-        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "q": [], "vec_id": [], "score": []})
-
-    block = ["cell", "qb", "db"]
-    local = asking.groupBy(*block).cogroup(sent.groupBy(*block)).applyInPandas(solve, "query_id long, q array<long>, vec_id long, score long")
-    order = W.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id")
-    return local.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            x, least = matrix(b.column(1).to_pylist(), dims), b.column(3).to_numpy(zero_copy_only=False).astype(float)
+            i, cell, far = cells.needed(x, np.where(np.isnan(least), -np.inf, least), b.column(2).to_numpy())
+            at = pa.array(i)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(cell, pa.int32()), pa.array(far)], ["query_id", "v", "cell", "need"])
+
+    more = written(asked.join(kth, ["query_id", "v"], "left").select("query_id", "v", "cell", "least").mapInArrow(onward, "query_id long, v binary, cell int, need double"))
+    return home, more, _visits(more, data, cells, k, dims)
+
+
+def search(embeddings: DataFrame, every: int = 100, k: int = K, pivots: int = PIVOTS) -> DataFrame:
+    """query_id, rank, vec_id, score: the top k of each row whose vec_id is divisible by every."""
+    planned = plan(embeddings, every, k, pivots)
+    if planned is None:
+        return embeddings.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    order = W.partitionBy("query_id", "v").orderBy(F.desc("score"), "vec_id")
+    return planned[0].union(planned[2]).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -15,7 +15,6 @@ def brute(rows, every, k):
 
 def test_like_brute_force(spark, monkeypatch):
     monkeypatch.setattr(knn, "DATA_BLOCK", 60)
-    monkeypatch.setattr(knn, "QUERY_BLOCK", 4)
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(6, 8))
     rows = [(i, (centres[i % 6] + 0.1 * rng.normal(size=8)).tolist()) for i in range(300)]
@@ -35,3 +34,15 @@ def test_small_and_empty(spark):
 def test_large_components():
     a = np.array([[2**40, 5], [-3, 2**62]])
     assert knn.products(a, a).tolist() == [[2**63 - 1, -3 * 2**40 + 5 * 2**62 if -3 * 2**40 + 5 * 2**62 < 2**63 else 2**63 - 1], [2**63 - 1, 2**63 - 1]]
+
+
+def test_few_cells_are_visited(spark):
+    """Clustered vectors: queries go to few cells besides their own, and no vector is sent to a cell that isn't its own."""
+    rng = np.random.default_rng(9)
+    centres = np.eye(16)
+    rows = [(i, (centres[i % 16] + 0.02 * rng.normal(size=16)).tolist()) for i in range(1600)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    _, more, _ = knn.plan(d, every=10, pivots=48)
+    cells = more.select("cell").distinct().count()
+    assert more.count() < 0.2 * 160 * 48 and cells <= 48
+    assert set(tuple(r) for r in knn.search(d, every=10, pivots=48).collect()) == brute(rows, 10, 10)
