@@ -10,7 +10,8 @@ the cosine of two sketches estimates the share of common paragraphs; cut to 0..1
 counters the standard error for unlike texts is 1 / sqrt(63 * SKETCHES), 0.089.
 
 Null texts count as empty: no paragraph, a vector of zeros; two empty texts are alike (1), an empty and another not (0).
-Documents follow each other by descending doc_id, null last. Rows that share a doc_id have the same next document:
+A fingerprint is the whole vector as a string, so likenesses follow from fingerprints alone.
+doc_ids are integers. Documents follow each other by descending doc_id, null last. Rows that share a doc_id have the same next document:
 of the next id's rows that with the least hash of its text. Every row gives a row.
 """
 
@@ -50,7 +51,8 @@ def vector(text: Column) -> Column:
 
 
 def _vector(paragraphs: Column) -> Column:
-    seeded = lambda k: F.transform(paragraphs, lambda p: F.xxhash64(p, F.lit(k)))
+    # The number comes first: it is the seed of the paragraph's hash, so that paragraphs that collide in one lane don't in the others.
+    seeded = lambda k: F.transform(paragraphs, lambda p: F.xxhash64(F.lit(k), p))
     hashes = F.array(*map(seeded, range(SEEDS)))
     return F.transform(F.array(hashes), _lanes)[0]
 
@@ -78,8 +80,16 @@ def removed(a: Column, b: Column) -> Column:
 
 
 def digest(v: Column) -> Column:
-    """The exact lanes and the number of paragraphs as a string."""
-    return F.concat(*(F.lpad(F.lower(F.hex(F.get(v, F.lit(i)))), 8, "0") for i in range(EXACT)), F.lit("-"), F.get(v, F.lit(EXACT)).cast("string"))
+    """The whole vector as a string: the exact lanes, the number of paragraphs, the sketch lanes; vector_of gives it back."""
+    hexed = lambda a, n: F.array_join(F.transform(a, lambda x: F.lpad(F.lower(F.hex(x)), n, "0")), "")
+    return F.concat_ws("-", hexed(F.slice(v, 1, EXACT), 8), F.get(v, F.lit(EXACT)).cast("string"), hexed(F.slice(v, EXACT + 2, SKETCH), 16))
+
+
+def vector_of(fingerprint: Column) -> Column:
+    """The vector of a digest, for likeness, added and removed."""
+    parts = F.split(fingerprint, "-")
+    lanes = lambda part, n, count: F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.conv(F.substring(part, i * n + 1, F.lit(n)), 16, 10).cast("long"))
+    return F.concat(lanes(F.get(parts, F.lit(0)), 8, EXACT), F.array(F.get(parts, F.lit(1)).cast("long")), lanes(F.get(parts, F.lit(2)), 16, SKETCH))
 
 
 def _counters(v: Column) -> Column:

@@ -68,3 +68,42 @@ def test_vectors_survive_the_shuffle(spark):
     assert len(got) == len(texts)
     for r in got:
         assert r.vector == want[r.doc_id] and r.next_sketch == want[(r.doc_id - 1) % len(texts)][fp.EXACT :]
+
+
+def plain(text):
+    """The fingerprint in plain Python: exact lanes, number of paragraphs, counters of hash bits."""
+    import re
+    import struct
+
+    import xxhash
+
+    own = [p for p in re.split(fp.PARAGRAPH_END, text) if p]
+    hashes = [[xxhash.xxh64_intdigest(p.encode(), seed=xxhash.xxh64_intdigest(struct.pack("<i", k), seed=42)) for p in own] for k in range(fp.SEEDS)]
+    exact = [sum(half(h) for h in hs) % 2**32 for hs in hashes for half in (lambda h: h % 2**32, lambda h: h >> 32)]
+    counters = [[sum(h >> (j + 21 * f) & 1 for h in hashes[k]) for f in range(3)] for k in range(fp.SKETCHES) for j in range(21)]
+    string = "".join(f"{x:08x}" for x in exact) + f"-{len(own)}-" + "".join(f"{a + (b << 21) + (c << 42):016x}" for a, b, c in counters)
+    return string, [2 * c - len(own) for f in range(3) for c in (x[f] for x in counters)]
+
+
+def cosine(x, y):
+    dot = lambda a, b: sum(p * q for p, q in zip(a, b, strict=True))
+    norm = (dot(x, x) * dot(y, y)) ** 0.5
+    return min(1.0, max(0.0, dot(x, y) / norm)) if norm else 0.0
+
+
+def test_query_like_plain_python(spark, tmp_path):
+    from quillspark.llm.queries import op3_fingerprints
+
+    texts = ["One here. Two, three; four.\nFive", None, "", "Two, three; four. And six. " * 200, "One here. Two, three; four.\nFive", "é. ü. \r\n x"]
+    rows = list(enumerate(texts))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in op3_fingerprints(spark, str(tmp_path)).collect()}
+    for i, t in rows:
+        t, after = t or "", texts[(i - 1) % len(texts)] or ""
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        (own, x), (changed, y), (then, z) = plain(t), plain(edited), plain(after)
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == (own, changed)
+        assert abs(got[i].near_edited - (1.0 if own == changed else cosine(x, y))) < 1e-9
+        assert abs(got[i].near_next - (1.0 if own == then else cosine(x, z))) < 1e-9
+    both = spark.createDataFrame([(got[0].fingerprint, got[0].edited_fingerprint)], "a string, b string").select(fp.likeness(fp.vector_of(F.col("a")), fp.vector_of(F.col("b"))).alias("x"), fp.digest(fp.vector_of(F.col("a"))).alias("a")).first()
+    assert abs(both.x - got[0].near_edited) < 1e-9 and both.a == got[0].fingerprint
