@@ -30,7 +30,10 @@ _markup = re.compile(
 )
 _named = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _hidden = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", re.I)
-_chrome_name = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|contentinfo|disqus|footer|header|menu|modal|nav\w*|newsletter|notices?|popup|promo\w*|related|repl(?:y|ies)|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widgets?)(?:$|[\s_-])", re.I)
+#: What a class, id or role says an element is for, as a whole (sidebar), with something behind it (cookie-banner), or behind a word
+#: of OWNERS (site-footer). So has-sidebar and post-header say nothing.
+PURPOSES = set("ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies contentinfo disqus footer header menu modal nav navbar navigation newsletter notice notices popup promo promoted promotion related reply replies share sharing sidebar social sponsor sponsored subscribe subscription toolbar widget widgets".split())
+OWNERS = set("bottom global google left main mobile page primary reader right secondary site sticky top user".split())
 
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -42,6 +45,8 @@ UNREAD = {"noscript", "template", "svg", "iframe", "select", "button", "option",
 NESTED = {"svg", "template"}
 #: Tags that leave a head open.
 IN_HEAD = {"head", "title", "meta", "link", "base", "script", "style", "noscript", "template"}
+#: What holds a page as a whole; a class there says nothing of its text.
+WHOLE = {"html", "body"}
 HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _tags = {t: re.compile(rf"<(/?){t}(?![a-z0-9:-])((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+|[^<>]*)>", re.I) for t in UNREAD | {"head"}}
 _raw_ends = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
@@ -144,6 +149,63 @@ main p 7,85 0 1
 main,chrome li 3,9,2,30 1 0
 named p 28,4,60,7 0 0
 
+- div 4 4 0
+- div 9 9 0
+- li 3,2,6 3 0
+- h1 5 0 1
+- p 6 0 1
+- p 40 2 1
+- p 3,8 0 1
+- p 22 1 1
+- p 5 1 1
+- p 31 0 1
+- div 25 22 0
+- div 14,3,8 14 0
+
+- p 30 28 0
+- div 18,6,2 18 0
+- h1 7 0 1
+- p 4,50,2,9,70,5 0 1
+- p 28 6 1
+- p 7,3,33 1 1
+- li 12,20,15 12 0
+- p 45 40 0
+- div 11,2,7 11 0
+
+- li 2,5,3,1 5 0
+- p 60 5 1
+- p 2,4,6,3 0 1
+- p 90 8 1
+- p 8 0 1
+- p 35 3 1
+- li 16,24,9,30 30 0
+- p 40 37 0
+
+- h1 4 0 1
+- p 12,50,7 0 1
+
+- p 9 0 1
+
+- li 4,4,3 4 0
+- p 30,2 1 1
+
+main h1 5 0 1
+main p 3,40,8,66 0 1
+main li 6,3,9,4,25,31,2 31 1
+main p 12,1,44 44 1
+main p 1,20 0 1
+
+main p 2,7,1 0 1
+main li 4,4,40,8,2,12,6,3 40 1
+main h2 3 3 1
+main li 10,2,5,5,18,7 18 1
+main div 6,33,2 33 1
+
+chrome li 3,1 3 0
+main li 5,22,9,4,30,2,2,6 30 1
+main p 15,3,70 2 1
+main li 1,4,8 8 1
+
 chrome h1 4 0 0
 chrome p 12 0 0
 - h1 6 0 1
@@ -211,6 +273,16 @@ def fitted() -> Tree:
     return Tree(np.vstack(xs), np.array(ys))
 
 
+def for_chrome(attributes: str) -> bool:
+    """Whether an element's class, id or role says that it is no main text."""
+    for names in _named.findall(attributes):
+        for name in names.strip("\"'").lower().split():
+            first, *rest = re.split("[-_]+", name.strip("-_"))
+            if first in PURPOSES or first in OWNERS and rest and rest[0] in PURPOSES:
+                return True
+    return False
+
+
 def ends_of(page: str, tag: str) -> dict[int, int]:
     """Where the elements of a tag end, by where their start tags end; those without an end tag are left out."""
     ends: dict[int, int] = {}
@@ -306,7 +378,7 @@ def blocks_of(page: str) -> tuple[list[str], list[tuple[int, int, bool, bool, bo
                 what = "chrome"
             elif tag in MAIN:
                 what = "main"
-            elif m[3] and ((_hidden.search(m[3])) or any(_chrome_name.search(n.strip("\"'")) for n in _named.findall(m[3]))):
+            elif m[3] and tag not in WHOLE and (_hidden.search(m[3]) or for_chrome(m[3])):
                 what = "named"
             if what or any(p[0] == tag for p in places):
                 places.append((tag, what))

@@ -63,3 +63,32 @@ def test_missing_end_tags_are_linear():
     for tag in ("head", "title", "option", "svg", "svg/", "select", "template", "button", "head><title", "script"):
         htmltext.blocks_of(f"<{tag}>" * 20000)
     assert time.time() - t < 20
+
+
+def main_text(page):
+    texts, known = htmltext.blocks_of(page)
+    return [t for t, k in zip(texts, htmltext.fitted().predict(htmltext.features(known)), strict=True) if k]
+
+
+def test_word_count_and_link_density_decide():
+    used = {f for f, *_ in htmltext.fitted().nodes}
+    assert {0, 1} <= used and used & {2, 3, 4, 5}  # own words and density, and neighbours'
+
+
+def test_page_without_article():
+    link = lambda n: "".join(f"<li><a href='/{i}'>Some place {i}</a></li>" for i in range(n))
+    page = f"<body><ul>{link(4)}</ul><h1>Title of it all</h1><p>{'A long paragraph with <a href=x>one</a> link. ' * 8}</p><p>Short one here.</p><p>{'More words of the text. ' * 10}</p><div><a href=y>{'Read this too, and that. ' * 5}</a></div><ul>{link(5)}</ul>"
+    got = main_text(page)
+    assert got[0] == "Title of it all" and len(got) == 4 and not any("Some place" in t or "Read this" in t for t in got)
+
+
+def test_classes_are_whole_purposes():
+    rest = "<article><div class='post-header'><h1>Title</h1></div><p>The text of it.</p></article>"
+    assert main_text(f"<body class='has-sidebar no-footer'>{rest}") == ["Title", "The text of it."]
+    for name in ("sidebar", "site-footer", "cookie-banner", "left_nav", "x reader-comments y", "Ad-Slot"):
+        assert main_text(f"<div class='{name}'><p>{'Buy this thing now. ' * 9}</p></div>{rest}") == ["Title", "The text of it."]
+    assert main_text(f"<html><head><title>t</title><body>{rest}") == ["Title", "The text of it."]
+
+
+def test_very_long_text():
+    assert main_text(f"<article><p>{'word ' * 300000}</p><p>end</p></article>")[1] == "end"
