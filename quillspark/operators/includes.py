@@ -40,7 +40,11 @@ def expanded(documents: DataFrame, files: DataFrame, root: str) -> DataFrame:
     name (or of the name with - for /) with the shortest path, then the first.
     """
     near = posixpath.dirname(root.rstrip("/")) + "/"
-    resolve = F.udf(lambda uri, target: posixpath.normpath(posixpath.join(posixpath.dirname(uri), target)))  # a path each
+
+    @F.arrow_udf("string")
+    def resolve(uri: pa.Array, target: pa.Array) -> pa.Array:
+        return pa.array([posixpath.normpath(posixpath.join(posixpath.dirname(u), t)) for u, t in zip(uri.to_pylist(), target.to_pylist(), strict=True)], pa.string())
+
     asked = documents.select("uri", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(INCLUDE), F.lit(1)))).alias("name"))
     included = asked.withColumn("path", resolve("uri", "name")).filter(F.startswith("path", F.lit(near))).join(files, "path").select("uri", "name", "path", F.col("content").alias("file"), F.lit(False).alias("example"))
     wanted = documents.select("uri", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(EXAMPLE), F.lit(1)))).alias("name"))

@@ -22,6 +22,8 @@ from quillspark.operators.embedding import Embedder, embedded
 from quillspark.operators.evaluate import haystack, matches, report
 from quillspark.sources import files, web
 
+TABLES = ("documents", "chunks", "postings", "lengths")
+SETTING = "mode string, updated_at double"
 MODES = ("hybrid", "keyword", "vector")
 SOURCE = "source_id string, kind string, name string, version string, location string, status string, document_count long, chunk_count long, provider string, model string, error string, created_at double, updated_at double, deleted boolean"
 JOB = "job_id string, source_id string, status string, message string, progress_current long, progress_total long, created_at double, updated_at double"
@@ -30,7 +32,8 @@ JOB = "job_id string, source_id string, status string, message string, progress_
 class Engine:
     def __init__(self, spark: SparkSession, root: str, embedder: Embedder | None = None):
         self.spark, self.root, self.embedder = spark, root.rstrip("/"), embedder or Embedder()
-        self.mode = "hybrid"
+        kept = self._log("settings", SETTING).orderBy(F.desc("updated_at")).first()
+        self.mode = kept.mode if kept else "hybrid"
 
     # --- catalog ---
 
@@ -48,7 +51,14 @@ class Engine:
         return K.latest(self._log("sources", SOURCE), "source_id", "updated_at").filter(~F.coalesce("deleted", F.lit(False))).orderBy(F.desc("updated_at"))
 
     def jobs(self, limit: int = 50) -> DataFrame:
-        return K.latest(self._log("jobs", JOB), "job_id", "updated_at").orderBy(F.desc("created_at")).limit(limit)
+        return self._jobs().orderBy(F.desc("created_at")).limit(limit)
+
+    def _jobs(self) -> DataFrame:
+        return K.latest(self._log("jobs", JOB), "job_id", "updated_at")
+
+    def job_log(self, job_id: str) -> DataFrame:
+        """All that was said of a job, in order."""
+        return self._log("jobs", JOB).filter(F.col("job_id") == job_id).orderBy("updated_at")
 
     def register(self, kind: str, name: str, location: str, version: str = "latest") -> str:
         """A new source; names are unique, whatever their case."""
@@ -74,7 +84,7 @@ class Engine:
             row = self._update(source_id, deleted=True)
         except KeyError:
             return None
-        for table in ("documents", "chunks", "postings", "lengths"):
+        for table in TABLES:
             self._drop(table, source_id)
         return row
 
@@ -86,7 +96,7 @@ class Engine:
     # --- indexing ---
 
     def index_local(self, source_id: str, *paths: str) -> str:
-        """Indexes folders: a job, whose id it returns."""
+        """Indexes folders: a job, whose id it returns. What stood in the source before goes; without documents the job fails."""
         return self._index(source_id, lambda: functools.reduce(DataFrame.union, (files.documents(self.spark, p, source_id) for p in paths)))
 
     def index_pages(self, source_id: str, pages: DataFrame, include: list[str] | None = None, exclude: list[str] | None = None) -> str:
@@ -96,15 +106,20 @@ class Engine:
         return self._index(source_id, lambda: d.select(F.lit(source_id).alias("source_id"), F.col("url").alias("uri"), "title", "content", F.sha2("content", 256).alias("content_hash")))
 
     def _index(self, source_id: str, documents) -> str:
-        if not self.jobs().filter((F.col("source_id") == source_id) & F.col("status").isin(*K.ACTIVE)).isEmpty():
+        if not self._active(source_id).isEmpty():
             raise ValueError(f"source {source_id} is being indexed")
         began, job = time.time(), uuid.uuid4().hex
         say = lambda status, message, n=0: self._say("jobs", JOB, job_id=job, source_id=source_id, status=status, message=message, progress_current=n, progress_total=n or None, created_at=began, updated_at=time.time())
-        self._update(source_id, status="indexing", error=None)
+        self._update(source_id, status="indexing", error=None, document_count=0, chunk_count=0)
         say("running", "indexing")
+        self.spark.addTag(job)
         try:
+            for table in TABLES:  # what an earlier run left is no part of this one
+                self._drop(table, source_id)
             d = documents().withColumn("document_id", F.xxhash64("source_id", "uri"))
             self._write(d, "documents")
+            if not self._has(source_id):
+                raise ValueError("no documents")
             d = self._table("documents").filter(F.col("source_id") == source_id)
             c = chunked(d.select("document_id", "source_id", "uri", "title", "content"))
             c = c.withColumn("chunk_id", F.xxhash64("source_id", "uri", "ordinal")).withColumn("embedding_text", F.concat_ws("\n", "title", "content"))
@@ -113,16 +128,44 @@ class Engine:
             self._write(S.postings(c).repartitionByRange("term").sortWithinPartitions("term"), "postings")
             self._write(S.lengths(c).withColumn("source_id", F.lit(source_id)), "lengths")
             n = K.counts(d, c).first()
-            if n is None or not n.document_count:
-                raise ValueError("no documents")
+            if self._cancelling(job):
+                raise InterruptedError("cancelled")
             self._update(source_id, status="indexed", document_count=n.document_count, chunk_count=n.chunk_count, provider=self.embedder.provider, model=self.embedder.model)
             say("succeeded", "indexed", n.document_count)
         except Exception as error:
-            self._update(source_id, status="failed", error=str(error)[:500])
-            say("failed", str(error)[:500])
-            raise
+            stopped = self._cancelling(job)
+            self._update(source_id, status="registered" if stopped else "failed", error="cancelled" if stopped else str(error)[:500])
+            say("cancelled" if stopped else "failed", "cancelled" if stopped else str(error)[:500])
+            if not stopped:
+                raise
+        finally:
+            self.spark.removeTag(job)
         return job
 
+    def _active(self, source_id: str) -> DataFrame:
+        return self._jobs().filter((F.col("source_id") == source_id) & F.col("status").isin(*K.ACTIVE))
+
+    def _cancelling(self, job: str) -> bool:
+        last = self._jobs().filter(F.col("job_id") == job).first()
+        return last is not None and last.status == "cancelling"
+
+    def _has(self, source_id: str) -> bool:
+        try:
+            return not self._table("documents").filter(F.col("source_id") == source_id).isEmpty()
+        except AnalysisException:  # nothing was ever written
+            return False
+
+    def cancel(self, source_id: str, stale: bool = False) -> list[str]:
+        """Stops a source's jobs, whose ids it returns: what runs in this session is interrupted and says that it is cancelled;
+        stale jobs (of a session that is gone) are cancelled at once."""
+        jobs = self._active(source_id).collect()
+        for j in jobs:
+            self._say("jobs", JOB, **{**j.asDict(), "status": "cancelled" if stale else "cancelling", "message": "cancelled" if stale else "cancelling", "updated_at": time.time()})
+            self.spark.interruptTag(j.job_id)
+        if jobs and stale:
+            self._update(source_id, status="registered", error="cancelled")
+        return [j.job_id for j in jobs]
+
     def _write(self, rows: DataFrame, table: str) -> None:
         K.write_sources(rows, f"{self.root}/{table}")
 
@@ -149,8 +192,9 @@ class Engine:
         return out.orderBy(F.desc("score"), F.desc("keyword_score"), F.desc("vector_score"), "chunk_id").select("source_id", "source_name", "title", "uri", F.col("excerpt").alias("content"), "summary", "code", "section_path", score("score"), score("keyword_score"), score("vector_score"))
 
     def set_mode(self, mode: str) -> None:
-        """The default search mode; anything unknown is hybrid."""
+        """The default search mode, kept with the store; anything unknown is hybrid."""
         self.mode = mode if mode in MODES else "hybrid"
+        self._say("settings", SETTING, mode=self.mode, updated_at=time.time())
 
     # --- evaluation ---
 

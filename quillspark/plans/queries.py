@@ -75,7 +75,8 @@ vr as (select *, row_number() over (order by vector_score desc, distance, chunk_
 
 
 def index_of(c: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return S.postings(c.select("chunk_id", "source_id", "content")), S.lengths(c.select("chunk_id", "content"))
+    """Postings of QUERY's terms, and lengths."""
+    return S.postings(c.select("chunk_id", "source_id", "content"), S.query_terms(QUERY)), S.lengths(c.select("chunk_id", "content"))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

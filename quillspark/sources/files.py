@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
+from quillspark.operators.includes import EXAMPLE, INCLUDE, expanded
 
 # Fixed values that results depend on.
 SUFFIXES = ["md", "mdx", "txt", "rst", "html", "htm", "json", "yaml", "yml", "toml"]
@@ -14,7 +18,11 @@ SKIP_DIRS = [".cache", ".codex", ".git", ".hg", ".idea", ".mypy_cache", ".next",
 
 def wanted(path: Column) -> Column:
     """Whether a path has a suffix that is read and no folder that is skipped."""
-    return F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1)).isin(SUFFIXES) & ~F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, SKIP_DIRS)))
+    return F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1)).isin(SUFFIXES) & not_skipped(path)
+
+
+def not_skipped(path: Column) -> Column:
+    return ~F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, SKIP_DIRS)))
 
 
 def normalized(text: Column, suffix: Column) -> Column:
@@ -28,14 +36,26 @@ def fallback_title(path: Column) -> Column:
     return F.coalesce(F.nullif(T.strip(T.capitalised(name)), F.lit("")), F.lit("Untitled"))
 
 
-def scan(spark: SparkSession, root: str) -> DataFrame:
-    """uri, content of the files below a folder; bad bytes are replaced. A file is one row, so tasks follow file counts."""
+def suffix_of(uri: Column) -> Column:
+    return F.lower(F.regexp_extract(uri, r"\.([^./]+)$", 1))
+
+
+def readable(content: Column, suffix: Column) -> Column:
+    """A file's text as documents have it, in batches and streams alike: HTML as Markdown, anything else normalized."""
+    from quillspark.sources.web import markdown
+
+    return T.compact(F.when(suffix.isin("html", "htm"), markdown(content)).otherwise(normalized(content, suffix)))
+
+
+def scan(spark: SparkSession, root: str, every: bool = False) -> DataFrame:
+    """uri, content of the files below a folder that are read (or of every file but those in skipped folders); bad bytes are
+    replaced. A file is one row, so tasks follow file counts."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    uri = F.regexp_replace("path", r"^[a-z]+:/*(?=/)", "")
-    return _decoded(files.select(uri.alias("uri"), "content").filter(wanted(F.col("uri"))))
+    files = files.select(F.regexp_replace("path", r"^[a-z]+:/*(?=/)", "").alias("uri"), "content")
+    return decoded(files.filter(not_skipped(F.col("uri")) if every else wanted(F.col("uri"))))
 
 
-def _decoded(files: DataFrame) -> DataFrame:
+def decoded(files: DataFrame) -> DataFrame:
     import pyarrow as pa
 
     def apply(batches):
@@ -45,14 +65,19 @@ def _decoded(files: DataFrame) -> DataFrame:
     return files.mapInArrow(apply, "uri string, content string")
 
 
-def documents(spark: SparkSession, root: str, source_id: str) -> DataFrame:
-    """source_id, uri, title, content, content_hash of a folder's files that aren't blank."""
-    suffix = F.lower(F.regexp_extract("uri", r"\.([^./]+)$", 1))
-    d = scan(spark, root)
-    html = suffix.isin("html", "htm")
-    from quillspark.sources.web import markdown
+def documents(spark: SparkSession, root: str, source_id: str, beside: tuple[str, ...] = ()) -> DataFrame:
+    """source_id, uri, title, content, content_hash of a folder's files that aren't blank.
 
-    d = d.withColumn("content", T.compact(F.when(html, markdown(F.col("content"))).otherwise(normalized(F.col("content"), suffix)))).filter(F.col("content") != "")
+    Includes and examples of Markdown files are filled in from the folder's other files, and includes from the folders
+    named in beside, which have to lie next to it.
+    """
+    suffix = suffix_of(F.col("uri"))
+    d = scan(spark, root).withColumn("content", readable(F.col("content"), suffix))
+    marked = suffix.isin("md", "mdx") & (F.col("content").rlike(INCLUDE) | F.col("content").rlike(EXAMPLE))
+    own = re.sub(r"^[a-z]+:/*(?=/)", "", root.rstrip("/"))
+    others = functools.reduce(DataFrame.union, (scan(spark, f, every=True) for f in (root, *beside)))
+    filled = expanded(d.filter(marked), others.withColumnRenamed("uri", "path"), own).withColumn("content", T.compact(F.col("content")))
+    d = d.filter(~F.coalesce(marked, F.lit(False))).unionByName(filled).filter(F.col("content") != "")
     return d.select(F.lit(source_id).alias("source_id"), "uri", F.coalesce(T.title(F.col("content")), fallback_title(F.col("uri"))).alias("title"), "content", F.sha2("content", 256).alias("content_hash"))
 
 

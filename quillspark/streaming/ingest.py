@@ -13,18 +13,16 @@ from pyspark.sql.streaming import StreamingQuery
 from quillspark.functions import text as T
 from quillspark.operators.chunking import chunked
 from quillspark.operators.embedding import Embedder, embedded
-from quillspark.sources.files import fallback_title, normalized, wanted
+from quillspark.sources.files import decoded, fallback_title, readable, suffix_of, wanted
 
 FILES_PER_BATCH = 64
 
 
 def document_stream(spark: SparkSession, root: str, source_id: str) -> DataFrame:
     """document_id, source_id, uri, title, content of files as they arrive."""
-    raw = spark.readStream.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("maxFilesPerTrigger", FILES_PER_BATCH).load(root)
-    uri = F.regexp_replace("_metadata.file_path", r"^[a-z]+:/*(?=/)", "")
-    d = raw.select(uri.alias("uri"), F.col("value").alias("content")).filter(wanted(F.col("uri")))
-    suffix = F.lower(F.regexp_extract("uri", r"\.([^./]+)$", 1))
-    d = d.withColumn("content", T.compact(normalized(F.col("content"), suffix))).filter(F.col("content") != "")
+    raw = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).option("maxFilesPerTrigger", FILES_PER_BATCH).load(root)
+    d = decoded(raw.select(F.regexp_replace("path", r"^[a-z]+:/*(?=/)", "").alias("uri"), "content").filter(wanted(F.col("uri"))))
+    d = d.withColumn("content", readable(F.col("content"), suffix_of(F.col("uri")))).filter(F.col("content") != "")
     return d.select(F.xxhash64(F.lit(source_id), "uri").alias("document_id"), F.lit(source_id).alias("source_id"), "uri", F.coalesce(T.title(F.col("content")), fallback_title(F.col("uri"))).alias("title"), "content")
 
 
@@ -32,7 +30,8 @@ def ingest(spark: SparkSession, root: str, source_id: str, table: str, checkpoin
     """Starts a job that takes what is in the folder and ends; run it again for what is new."""
 
     def write(batch: DataFrame, number: int) -> None:
-        rows = embedded(chunked(batch), "content", embedder).withColumn("batch", F.lit(number))
+        # Vectors are those of the batch engine: of title and content.
+        rows = embedded(chunked(batch).withColumn("_embedded", F.concat_ws("\n", "title", "content")), "_embedded", embedder).drop("_embedded").withColumn("batch", F.lit(number))
         # A batch that is tried again replaces what it wrote the first time.
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source_id", "batch").parquet(table)
 

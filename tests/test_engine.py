@@ -3,7 +3,9 @@ import json
 import pytest
 
 from quillspark.operators.includes import expanded, line_numbers
-from quillspark.plans.engine import Engine
+from quillspark.plans.engine import JOB, Engine
+from quillspark.sources import files
+from quillspark.streaming.ingest import document_stream
 
 
 def test_engine(spark, tmp_path):
@@ -44,3 +46,41 @@ def test_includes(spark):
     text = rows["/r/docs/p.md"].content
     assert "```py\ntwo\nthree\n```" in text and "{* ../../x/secret.py *}" in text and "Example: group/tabs\n\n```tsx\n<T/>\n```" in text and text.endswith("Example: gone")
     assert rows["/r/docs/q.md"].content is None and rows["/r/docs/q.md"].extra == 2
+
+
+def test_index_again_and_includes(spark, tmp_path):
+    root, code = tmp_path / "docs", tmp_path / "code"
+    root.mkdir(), code.mkdir()
+    (code / "a.py").write_text("one\ntwo\nthree\n")
+    (root / "p.md").write_text("# Page\n\nSee {* ../code/a.py hl[2:3] *} and {* ../gone.py *}\n")
+    (root / "q.html").write_text("<article><h1>Other</h1><p>About quokkas only.</p></article>")
+    e = Engine(spark, str(tmp_path / "store"))
+    s = e.register("local", "Docs", str(root))
+    d = {r.uri.rpartition("/")[2]: r for r in files.documents(spark, str(root), s, (str(code),)).collect()}
+    assert "```py\ntwo\nthree\n```" in d["p.md"].content and "{* ../gone.py *}" in d["p.md"].content and d["q.html"].title == "Other"
+    stream = document_stream(spark, str(root), s)
+    assert stream.isStreaming and stream.columns == ["document_id", "source_id", "uri", "title", "content"]
+    e.index_local(s, str(root))
+    assert e.sources().first().document_count == 2
+    (root / "q.html").unlink()
+    e.index_local(s, str(root))
+    assert e.sources().first().document_count == 1 and e.search("quokkas", mode="keyword").count() == 0
+    (root / "p.md").unlink()
+    with pytest.raises(ValueError, match="no documents"):
+        e.index_local(s, str(root))
+    row = e.sources().first()
+    assert (row.status, row.document_count) == ("failed", 0)
+
+
+def test_guard_cancel_and_settings(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "store"))
+    s = e.register("local", "Docs", "x")
+    e._say("jobs", JOB, job_id="old", source_id=s, status="running", message="indexing", progress_current=0, created_at=1.0, updated_at=1.0)
+    later = [(f"j{i}", "other", "succeeded", "", 0, None, 2.0 + i, 2.0 + i) for i in range(60)]
+    spark.createDataFrame(later, JOB).coalesce(1).write.mode("append").parquet(f"{tmp_path}/store/jobs")
+    with pytest.raises(ValueError, match="being indexed"):
+        e.index_local(s, "x")
+    assert e.cancel(s, stale=True) == ["old"] and e.cancel(s) == []
+    assert [r.status for r in e.job_log("old").collect()] == ["running", "cancelled"] and e.sources().first().error == "cancelled"
+    e.set_mode("keyword")
+    assert Engine(spark, str(tmp_path / "store")).mode == "keyword"
