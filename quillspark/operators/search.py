@@ -18,13 +18,23 @@ from quillspark.functions import text as T
 RRF_K, KEYWORD_WEIGHT, VECTOR_WEIGHT = 60, 1.0, 1.0
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
+#: Sums of doubles differ in their last bits with the order of the rows; equal texts are to have equal scores.
+DIGITS = 10
 OVERFETCH = 6
 FIELDS = ("title", "uri", "content")
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """A row for each chunk, field and term with the term's positions. Write it partitioned or sorted by term."""
-    one = lambda f: chunks.select("chunk_id", "source_id", F.lit(f).alias("field"), F.posexplode(T.terms(F.col(f))).alias("position", "term"))
+def postings(chunks: DataFrame, only: list[str] | None = None) -> DataFrame:
+    """A row for each chunk, field and term with the term's positions. Write it partitioned or sorted by term.
+
+    only: the terms of a query that has no written index; the others are left out before rows are made of them.
+    """
+
+    def one(f: str) -> DataFrame:
+        placed = F.transform(T.terms(F.col(f)), lambda t, i: F.struct(i.alias("position"), t.alias("term")))
+        wanted = placed if only is None else F.filter(placed, lambda p: p["term"].isin(only))
+        return chunks.select("chunk_id", "source_id", F.lit(f).alias("field"), F.explode(wanted).alias("p")).select("chunk_id", "source_id", "field", "p.position", "p.term")
+
     rows = one(FIELDS[0]).union(one(FIELDS[1])).union(one(FIELDS[2])) if set(FIELDS) <= set(chunks.columns) else one("content")
     return rows.groupBy("chunk_id", "source_id", "field", "term").agg(F.sort_array(F.collect_list("position")).alias("positions"))
 
@@ -40,6 +50,10 @@ def query_tokens(query: str) -> list[str]:
     return list(dict.fromkeys(t.lower() for t in re.findall(T.TOKEN, query)))
 
 
+def query_terms(query: str) -> list[str]:
+    return sorted({t for p in query_phrases(query) for t in p})
+
+
 def query_phrases(query: str) -> list[list[str]]:
     """The terms of each token: more than one where the token has inner punctuation."""
     fold = str.maketrans(T.ACCENTED, T.PLAIN)
@@ -66,7 +80,7 @@ def bm25(index: DataFrame, sizes: DataFrame, query: str) -> DataFrame:
     j = hits.join(spread, "phrase").join(sizes.select("chunk_id", "length"), "chunk_id").crossJoin(stats)
     idf = F.log((F.col("chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf) * F.col("hits") * (K1 + 1) / (F.col("hits") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    return j.groupBy("chunk_id", "source_id").agg((-F.sum(weight)).alias("bm25"))
+    return j.groupBy("chunk_id", "source_id").agg(F.round(-F.sum(weight), DIGITS).alias("bm25"))
 
 
 def allowed(frame: DataFrame, source_ids: list[str] | None) -> DataFrame:

@@ -59,8 +59,8 @@ h as (select o.doc_id, p.phrase, count(*) as hits from o join p on p.ws[1] = o.t
       where len(p.ws) = 1 or t.ts[o.i + 2] = p.ws[2] group by all),
 st as (select count(*)::double as n, avg(len(ts)) as mean from t),
 df as (select phrase, count(*) as df from h group by phrase),
-b as (select h.doc_id as chunk_id, -sum(case when ln((n - df + 0.5) / (df + 0.5)) <= 0 then 1e-6 else ln((n - df + 0.5) / (df + 0.5)) end
-             * hits * 2.2 / (hits + 1.2 * (1 - 0.75 + 0.75 * len(t.ts) / mean))) as bm25
+b as (select h.doc_id as chunk_id, round(-sum(case when ln((n - df + 0.5) / (df + 0.5)) <= 0 then 1e-6 else ln((n - df + 0.5) / (df + 0.5)) end
+             * hits * 2.2 / (hits + 1.2 * (1 - 0.75 + 0.75 * len(t.ts) / mean))), 10) as bm25
       from h join df using (phrase) join t on t.doc_id = h.doc_id, st group by h.doc_id)"""
 KEYWORD = """
 kc as (select * from b order by bm25, chunk_id limit 48),
@@ -75,7 +75,8 @@ vr as (select *, row_number() over (order by vector_score desc, distance, chunk_
 
 
 def index_of(c: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return S.postings(c.select("chunk_id", "source_id", "content")), S.lengths(c.select("chunk_id", "content"))
+    """Postings of QUERY's terms, and lengths."""
+    return S.postings(c.select("chunk_id", "source_id", "content"), S.query_terms(QUERY)), S.lengths(c.select("chunk_id", "content"))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
