@@ -1,10 +1,10 @@
 """Line dedup by a deletion-neighbourhood join.
 
 A line goes if an equal line, or one within an edit (a character replaced, inserted or left out), stands earlier in the
-corpus: in a document of a smaller doc_id, or above it in its own. Lines of MIN_EXACT characters or more are compared for
-equality, those of MIN_EDIT or more for edits too; shorter ones stay.
+corpus: in a document of a smaller doc_id, or above it in its own. Lines of min_exact characters or more are compared for
+equality, those of min_edit or more for edits too; shorter ones stay. With min_exact=1 every line that isn't empty is compared.
 
-Lines are known by hashes, each with its earliest place. Two lines within an edit share all deletion variants at the
+Lines are known by 128-bit hashes, each with its earliest place. Two lines within an edit share all deletion variants at the
 edit: the lines without the replaced character, or the longer line without the extra one and the shorter itself. Before
 variants are emitted two exact filters thin the lines out: within an edit, the first or the last part (a power of
 two, a quarter of the line at least) is the same, and all but one segment of SEGMENT characters and its surroundings is. So variants
@@ -35,8 +35,13 @@ _INVERSE = np.uint64(pow(_BASE, -1, 2**64))
 _powers = np.ones(1, np.uint64)
 
 
-def _line_hash(line: str) -> int:
-    return xxhash.xxh64_intdigest(line.encode()) - 2**63
+def _line_hash(line: str) -> bytes:
+    return xxhash.xxh3_128_digest(line.encode())
+
+
+def _bits(hashes: list[bytes]) -> np.ndarray:
+    """xxhash64 of line hashes, as Spark has it."""
+    return np.array([xxhash.xxh64_intdigest(h, seed=42) for h in hashes], np.uint64).view(np.int64)
 
 
 def _anchors(line: str) -> list[int]:
@@ -94,19 +99,19 @@ def variants(line: str, regions: set[tuple[int, int]]) -> list[tuple[int, str]]:
     return [(k, kind) for keys, kind in ((replaced, "S"), (itself, "A"), (shorter, "B")) for k in keys.view(np.int64).tolist()]
 
 
-def _places(docs: DataFrame) -> DataFrame:
-    """A row for each line of MIN_EXACT characters or more: line (its hash), n, anchors, place."""
-    kind = pa.schema([("line", pa.int64()), ("n", pa.int64()), ("anchors", pa.list_(pa.int64())), ("at", pa.int64()), ("no", pa.int64())])
+def _places(docs: DataFrame, min_exact: int, min_edit: int) -> DataFrame:
+    """A row for each line of min_exact characters or more: line (its hash), n, anchors, place."""
+    kind = pa.schema([("line", pa.binary()), ("n", pa.int64()), ("anchors", pa.list_(pa.int64())), ("at", pa.int64()), ("no", pa.int64())])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for a in range(0, b.num_rows, 500):
                 part = b.slice(a, 500)
-                rows = [(_line_hash(s), len(s), _anchors(s) if len(s) >= MIN_EDIT else None, i, no) for i, t in enumerate(part.column(2).to_pylist()) if t for no, s in enumerate(t.split("\n")) if len(s) >= MIN_EXACT]
+                rows = [(_line_hash(s), len(s), _anchors(s) if len(s) >= min_edit else None, i, no) for i, t in enumerate(part.column(2).to_pylist()) if t for no, s in enumerate(t.split("\n")) if len(s) >= min_exact]
                 cols = [pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 5, kind, strict=True)]
                 yield pa.RecordBatch.from_arrays([*cols[:3], part.column(0).take(cols[3]), part.column(1).take(cols[3]), cols[4]], ["line", "n", "anchors", "doc_id", "copy", "no"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("copy"), "text").mapInArrow(apply, f"line long, n long, anchors array<long>, doc_id {dict(docs.dtypes)['doc_id']}, copy long, no long")
+    return docs.select("doc_id", F.xxhash64("text").alias("copy"), "text").mapInArrow(apply, f"line binary, n long, anchors array<long>, doc_id {dict(docs.dtypes)['doc_id']}, copy long, no long")
 
 
 def place() -> Column:
@@ -114,19 +119,19 @@ def place() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("d"), F.col("no").alias("no"))
 
 
-def _texts(docs: DataFrame, lines: DataFrame) -> DataFrame:
+def _texts(docs: DataFrame, lines: DataFrame, min_edit: int) -> DataFrame:
     """line, first, text of the lines (line, first)."""
-    map_ = bitmap(lines.select("line"))
+    map_ = bitmap(lines.select(F.xxhash64("line").alias("line")))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for a in range(0, b.num_rows, 500):
-                found = list({s for t in b.column(0).slice(a, 500).to_pylist() if t for s in t.split("\n") if len(s) >= MIN_EDIT})
-                hashes = np.array([_line_hash(s) for s in found], np.int64)
-                keep = np.flatnonzero(may_hold(map_, hashes))
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[keep]), pa.array([found[k] for k in keep], pa.string())], ["line", "text"])
+                found = list({s for t in b.column(0).slice(a, 500).to_pylist() if t for s in t.split("\n") if len(s) >= min_edit})
+                hashes = [_line_hash(s) for s in found]
+                keep = np.flatnonzero(may_hold(map_, _bits(hashes)))
+                yield pa.RecordBatch.from_arrays([pa.array([hashes[k] for k in keep], pa.binary()), pa.array([found[k] for k in keep], pa.string())], ["line", "text"])
 
-    return docs.select("text").mapInArrow(apply, "line long, text string").dropDuplicates(["line"]).join(lines, "line")
+    return docs.select("text").mapInArrow(apply, "line binary, text string").dropDuplicates(["line"]).join(lines, "line")
 
 
 def _shared(rows: DataFrame, key: str) -> DataFrame:
@@ -134,19 +139,19 @@ def _shared(rows: DataFrame, key: str) -> DataFrame:
     return rows.join(rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1).drop("_n"), key)
 
 
-def near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
+def near_lines(docs: DataFrame, firsts: DataFrame, min_edit: int) -> DataFrame:
     """line: the hashes of lines with an earlier line within an edit, not equal."""
-    anchored = firsts.filter(F.col("n") >= MIN_EDIT).select("line", F.explode("anchors").alias("key")).distinct()
+    anchored = firsts.filter(F.col("n") >= min_edit).select("line", F.explode("anchors").alias("key")).distinct()
     likely = written(_shared(anchored, "key").select("line").distinct().join(firsts.select("line", "first"), "line"))
-    texts = written(_texts(docs, likely))
+    texts = written(_texts(docs, likely, min_edit))
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for line, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 key, less, segment = zip(*segment_keys(text), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array([line] * len(key), pa.int64()), pa.array(key, pa.int64()), pa.array(less, pa.int32()), pa.array(segment, pa.int32())], ["line", "key", "less", "segment"])
+                yield pa.RecordBatch.from_arrays([pa.array([line] * len(key), pa.binary()), pa.array(key, pa.int64()), pa.array(less, pa.int32()), pa.array(segment, pa.int32())], ["line", "key", "less", "segment"])
 
-    surrounded = _shared(texts.select("line", "text").mapInArrow(segments, "line long, key long, less int, segment int"), "key")
+    surrounded = _shared(texts.select("line", "text").mapInArrow(segments, "line binary, key long, less int, segment int"), "key")
     regions = surrounded.groupBy("line").agg(F.collect_set(F.struct("less", "segment")).alias("regions"))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +162,7 @@ def near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(2).take(same), b.column(3).take(same), pa.array(key, pa.int64()), pa.array(kind)], ["line", "first", "key", "kind"])
 
     kinds = dict(texts.dtypes)
-    keyed = written(_shared(texts.join(regions, "line").select("text", "regions", "line", "first").mapInArrow(emit, f"line long, first {kinds['first']}, key long, kind string"), "key"))
+    keyed = written(_shared(texts.join(regions, "line").select("text", "regions", "line", "first").mapInArrow(emit, f"line binary, first {kinds['first']}, key long, kind string"), "key"))
     whole, other = F.col("kind") == "A", F.col("kind") != "A"
     least = keyed.groupBy("key").agg(F.min(F.when(other, F.struct("first", "line"))).alias("other"), F.min(F.when(whole, F.struct("first", "line"))).alias("whole"))
     meets = keyed.join(least, "key").withColumn("w", F.when(F.col("kind") == "B", F.col("whole")).otherwise(F.col("other"))).filter(F.col("w.first") < F.col("first"))
@@ -167,12 +172,17 @@ def near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     return checked.filter(F.levenshtein("x", "y", 1).between(0, 1)).select("line").distinct()
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """docs with two more columns: n_lines, n_removed (those of docs of these names are left out); text is what stays of it."""
+def dedup_lines(docs: DataFrame, min_exact: int = MIN_EXACT, min_edit: int = MIN_EDIT) -> DataFrame:
+    """docs with two more columns: n_lines, n_removed (those of docs of these names are left out); text is what stays of it.
+
+    min_exact and min_edit are the fewest characters of lines that are compared for equality, and for edits (4 at least).
+    """
+    if min_edit < 4:
+        raise ValueError("min_edit must be 4 at least")
     narrow = in_small_batches(docs).select("doc_id", "text")
-    places = written(_places(narrow))
+    places = written(_places(narrow, max(1, min_exact), min_edit))
     firsts = written(places.groupBy("line").agg(F.min(place()).alias("first"), F.count(F.lit(1)).alias("times"), F.first("n").alias("n"), F.first("anchors").alias("anchors")))
-    near = written(near_lines(narrow, firsts)).withColumn("near", F.lit(True))
+    near = written(near_lines(narrow, firsts, min_edit)).withColumn("near", F.lit(True))
     verdicts = firsts.select("line", "first", "times").join(near, "line", "left").filter((F.col("times") > 1) | F.col("near"))
     gone = places.select("line", "doc_id", "copy", "no").join(verdicts, "line").filter(F.coalesce("near", F.lit(False)) | (place() > F.col("first")))
     gone = gone.groupBy("doc_id", "copy").agg(F.collect_set("no").alias("gone")).select(F.col("doc_id").alias("d"), F.col("copy").alias("c"), "gone")

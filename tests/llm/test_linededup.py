@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from quillspark.llm import linededup
 
 
@@ -14,7 +16,7 @@ def within_one(a, b):
     return a[i + (len(a) == len(b)) :] == b[i + 1 :]
 
 
-def brute(rows):
+def brute(rows, exact=10, edit=20):
     places = [((d is None, d or 0, no), s) for d, t in rows for no, s in enumerate((t or "").split("\n"))]
     out = []
     for d, t in rows:
@@ -22,7 +24,7 @@ def brute(rows):
         lines = (t or "").split("\n")
         for no, s in enumerate(lines):
             at = (d is None, d or 0, no)
-            same = lambda o: o == s and len(s) >= 10 or len(s) >= 20 and len(o) >= 20 and within_one(o, s)  # noqa: B023, E731
+            same = lambda o: o == s and len(s) >= exact or len(s) >= edit and len(o) >= edit and within_one(o, s)  # noqa: B023, E731
             if not any(p < at and same(o) for p, o in places):
                 kept.append(s)
         out.append((str(d), len(lines) if t else 0, (len(lines) if t else 0) - len(kept) if t else 0, "\n".join(kept) if t is not None and len(kept) < len(lines) else t))
@@ -46,6 +48,15 @@ def test_like_brute_force(spark):
     assert sorted(((str(r.doc_id), r.n_lines, r.n_removed, r.text) for r in got.collect()), key=str) == brute(rows)
 
 
+def test_floors(spark):
+    rng = random.Random(5)
+    rows = [(i, "\n".join("".join(rng.choice("ab") for _ in range(rng.randrange(0, 9))) for _ in range(rng.randrange(1, 6)))) for i in range(40)]
+    got = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), min_exact=1, min_edit=4)
+    assert sorted(((str(r.doc_id), r.n_lines, r.n_removed, r.text) for r in got.collect()), key=str) == brute(rows, 1, 4)
+    with pytest.raises(ValueError, match="min_edit"):
+        linededup.dedup_lines(got, min_edit=3)
+
+
 def test_empty(spark):
     d = spark.createDataFrame([], "doc_id long, text string")
     assert linededup.dedup_lines(d).count() == 0
