@@ -30,6 +30,8 @@ from quillspark.llm.common import bitmap, in_small_batches, may_hold, written
 from quillspark.llm.shingles import mixed
 
 MIN_EXACT, MIN_EDIT, SEGMENT = 10, 20, 16
+#: Characters that are hashed at once.
+PART_CHARS = 1 << 17
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = np.uint64(pow(_BASE, -1, 2**64))
 _powers = np.ones(1, np.uint64)
@@ -50,16 +52,22 @@ def _anchors(line: str) -> list[int]:
     return [xxhash.xxh64_intdigest(part.encode(), seed=2 * a + k) - 2**63 for a in sorted(lengths) for k, part in ((0, line[:a]), (1, line[-a:]))]
 
 
-def prefix_hashes(line: str) -> tuple[np.ndarray, np.ndarray]:
-    """Polynomial hashes modulo 2 ** 64 of all prefixes, and of all suffixes from the end."""
+def _powers_to(n: int) -> np.ndarray:
+    """Powers of the base, n at least."""
     global _powers
-    n = len(line)
     if len(_powers) < n:
         _powers = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(2 * n, _BASE, np.uint64)]))
+    return _powers
+
+
+def prefix_hashes(line: str) -> tuple[np.ndarray, np.ndarray]:
+    """Polynomial hashes modulo 2 ** 64 of all prefixes, and of all suffixes from the end."""
+    n = len(line)
+    powers = _powers_to(n)
     c = mixed(np.frombuffer(line.encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1))
     out = np.zeros((2, n + 1), np.uint64)
-    np.cumsum(c * _powers[:n], out=out[0, 1:])
-    np.cumsum(c[::-1] * _powers[:n], out=out[1, 1:])
+    np.cumsum(c * powers[:n], out=out[0, 1:])
+    np.cumsum(c[::-1] * powers[:n], out=out[1, 1:])
     return out[0], out[1]
 
 
@@ -70,17 +78,38 @@ def _key(*parts) -> np.ndarray:
     return h
 
 
-def segment_keys(line: str) -> list[tuple[int, int, int]]:
-    """(key, less, segment): hashes of what surrounds each segment, as a line of its length and of one less."""
-    first, last = prefix_hashes(line)
+def segment_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, key, less, segment) arrays: hashes of what surrounds each segment of lines[row], as a line of its length and of one less."""
+    sizes = np.array([len(s) for s in lines], np.int64)
+    start, n = np.cumsum(sizes) - sizes, int(sizes.sum())
+    powers = _powers_to(int(sizes.max(initial=0)))
+    c = mixed(np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1))
+    at = np.arange(n) - np.repeat(start, sizes)
+    # Sums over the whole batch; those within a line are differences, since arithmetic is modulo 2 ** 64.
+    first, last = np.zeros(n + 1, np.uint64), np.zeros(n + 1, np.uint64)
+    np.cumsum(c * powers[at], out=first[1:])
+    np.cumsum(c * powers[np.repeat(sizes, sizes) - 1 - at], out=last[1:])
     out = []
     for less in (0, 1):
-        n = len(line) - less
-        j = np.arange(-(-n // SEGMENT))
-        tail = np.maximum(0, n - (j + 1) * SEGMENT)
-        keys = _key(np.full(len(j), n), j, first[j * SEGMENT], last[tail])
-        out += [(k, less, s) for k, s in zip(keys.view(np.int64).tolist(), j.tolist(), strict=True)]
-    return out
+        count = -(-(sizes - less) // SEGMENT)
+        row = np.repeat(np.arange(len(lines)), count)
+        j = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        size, a = sizes[row] - less, start[row]
+        end = a + sizes[row]
+        tail = np.maximum(0, size - (j + 1) * SEGMENT)
+        keys = _key(size, j, first[a + j * SEGMENT] - first[a], last[end] - last[end - tail])
+        out.append((row, keys.view(np.int64), np.full(len(row), less, np.int32), j.astype(np.int32)))
+    return tuple(map(np.concatenate, zip(*out, strict=True)))
+
+
+def _parts(sizes: list[int]) -> Iterator[slice]:
+    """Slices of PART_CHARS characters or a little more, one line at least."""
+    a = total = 0
+    for i, size in enumerate(sizes):
+        total += size
+        if total >= PART_CHARS or i == len(sizes) - 1:
+            yield slice(a, i + 1)
+            a, total = i + 1, 0
 
 
 def variants(line: str, regions: set[tuple[int, int]]) -> list[tuple[int, str]]:
@@ -147,9 +176,10 @@ def near_lines(docs: DataFrame, firsts: DataFrame, min_edit: int) -> DataFrame:
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for line, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                key, less, segment = zip(*segment_keys(text), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array([line] * len(key), pa.binary()), pa.array(key, pa.int64()), pa.array(less, pa.int32()), pa.array(segment, pa.int32())], ["line", "key", "less", "segment"])
+            lines, texts_ = b.column(0), b.column(1).to_pylist()
+            for part in _parts([len(t) for t in texts_]):
+                row, key, less, segment = segment_keys(texts_[part])
+                yield pa.RecordBatch.from_arrays([lines.take(pa.array(row + part.start)), pa.array(key), pa.array(less), pa.array(segment)], ["line", "key", "less", "segment"])
 
     surrounded = _shared(texts.select("line", "text").mapInArrow(segments, "line binary, key long, less int, segment int"), "key")
     regions = surrounded.groupBy("line").agg(F.collect_set(F.struct("less", "segment")).alias("regions"))
