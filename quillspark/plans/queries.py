@@ -243,6 +243,19 @@ def neighbor_context(spark, sf_dir):
     return S.neighbour_context(c).select("chunk_id.conv_id", "chunk_id.turn", F.sha2("context", 256).alias("context_sha256"))
 
 
+@query("""with n as (select conv_id, turn, text, case turn % 3 when 0 then role || chr(10) || text when 1 then role end as parent,
+       list(text) over (partition by conv_id order by turn rows between 1 preceding and 1 following) as near from conversations),
+u as (select conv_id, turn, unnest(near) as t, unnest(range(len(near))) as i from n),
+f as (select conv_id, turn, t, min(i) as i from u where trim(t) <> '' group by all),
+c as (select conv_id, turn, string_agg(t, chr(10) || chr(10) order by i) as near from f group by all)
+select n.conv_id, n.turn, sha256(coalesce(case when contains(parent, regexp_replace(text, '^\\s+|\\s+$', '', 'g')) then regexp_replace(nullif(trim(parent), ''), '^\\s+|\\s+$', '', 'g') end,
+       c.near, text)) as context_sha256 from n left join c using (conv_id, turn)""")
+def context(spark, sf_dir):
+    parent = F.when(F.col("turn") % 3 == 0, F.concat("role", F.lit("\n"), "text")).when(F.col("turn") % 3 == 1, F.col("role"))
+    c = read(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("chunk_id"), F.col("conv_id").alias("document_id"), F.col("turn").alias("ordinal"), F.col("text").alias("content"), parent.alias("parent_context"))
+    return S.context(c).select("chunk_id.conv_id", "chunk_id.turn", F.sha2("context", 256).alias("context_sha256"))
+
+
 # --- result shaping --------------------------------------------------------------------------------------------------
 
 
@@ -537,6 +550,17 @@ def eval_match(spark, sf_dir):
     return passages_in(d, b).select(F.col("case_id").alias("item_id"), F.col("chunk_id").alias("doc_id"))
 
 
+@query("""with h as (select doc_id, lang, lower(concat_ws(chr(10), source, text)) as h from documents)
+select doc_id, (contains(h, 'src1') or contains(h, 'src2')) and coalesce(contains(h, 'oration') or contains(h, lower(lang)), true) and contains(h, 'a') and contains(h, 'the') as matches from h""")
+def case_match(spark, sf_dir):
+    from quillspark.operators.evaluate import haystack, matches
+
+    d = read(spark, sf_dir, "documents").select("doc_id", "lang", F.col("source").alias("title"), F.col("text").alias("content"))
+    words = lambda *w: F.array(*map(F.lit, w))
+    none = F.lit(None).cast("array<string>")
+    return d.select("doc_id", matches(haystack(d), [words("SRC1", "src2"), none, F.array(F.lit("Oration"), "lang")], words("a", "The")).alias("matches"))
+
+
 @query("""with r as (select item_id, (select min(k) from (values (1), (2), (3), (4), (5)) v(k) where (item_id * k) % 7 = 1) as rank, length(text) > 0 as asked from benchmark)
 select count(*) filter (where asked)::bigint as cases, count(rank) filter (where asked)::bigint as passed,
        round_even(count(rank) filter (where asked) / count(*) filter (where asked), 4) as pass_rate,
