@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, fingerprint, htmltext, knn, langid, linededup, mixing, neardup, suffixdedup, tokencount
+from quillspark.llm import bpe, clustering, fingerprint, htmltext, knn, langid, linededup, mixing, neardup, phrases, suffixdedup, tokencount
 from quillspark.llm.common import table
 
 
@@ -64,6 +64,14 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixdedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_topk_search": op2_topk_search,
@@ -75,6 +83,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_bpe_roundtrip": op9_bpe_roundtrip,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_phrases": op11_phrases,
+    "op12_clustering": op12_clustering,
 }
 
 ORACLE: dict[str, str] = {}
@@ -172,3 +182,47 @@ select d.doc_id, d.n as n_bytes, coalesce(removed, 0)::bigint as n_removed, coal
        sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) as kept_sha256
 from d left join c using (doc_id)
 """
+
+ORACLE["op11_phrases"] = r"""
+with p as (
+  select coalesce(lang, 'und') as lang, regexp_extract_all(unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') as ws
+  from documents),
+t as (select lang, sum(len(ws))::bigint as n from p group by lang),
+g as (select lang, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) as phrase from p, range(1, 5) s(k) where len(ws) >= k),
+f as (select lang, phrase, string_split(phrase, ' ') as ws, count(*)::bigint as a from g group by lang, phrase having count(*) >= 30),
+c as (select *, unnest(range(1, len(ws))) as k from f where len(ws) > 1),
+s as (select c.lang, c.phrase, c.ws, c.a, x.a as l, y.a as r, ((2000000 * c.a::hugeint) // (x.a + y.a))::bigint as score, k
+      from c join f x on x.lang = c.lang and x.phrase = array_to_string(c.ws[1:k], ' ') join f y on y.lang = c.lang and y.phrase = array_to_string(c.ws[k + 1:], ' ')),
+b as (select * from s qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+i as (select lang, a, len(ws) as m, ws, unnest(range(2, len(ws))) as k from f where len(ws) > 2),
+h as (select lang, max(a) as around, phrase from (
+        select lang, a, array_to_string(ws[j:j + k - 1], ' ') as phrase from (select *, unnest(range(1, m - k + 2)) as j from i)) group by lang, phrase),
+k as (select b.* from b left join h on h.lang = b.lang and h.phrase = b.phrase where h.around is null or 100 * h.around::hugeint < 80 * b.a::hugeint),
+r as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from k)
+select r.lang, rank, phrase, a, l, r, n, score from r join t on t.lang = r.lang where rank <= 2000
+"""
+_ROUND = """
+a{i} as materialized (
+  select v.r, v.vec_id, v.q, arg_min(c.c, struct_pack(d := list_sum(list_transform(list_zip(v.q, c.q), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint, c := c.c)) as c,
+         min(list_sum(list_transform(list_zip(v.q, c.q), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint) as d
+  from v, c{i} c group by v.r, v.vec_id, v.q),
+m{i} as (select c, j, sum(q[j]) as s, count(*) as n from a{i}, range(1, 65) t(j) group by c, j),
+n{i} as (select c, list(((s - ((s % n) + n) % n) // n)::bigint order by j) as q from m{i} group by c),
+c{k} as materialized (select c{i}.c, coalesce(n{i}.q, c{i}.q) as q from c{i} left join n{i} on n{i}.c = c{i}.c),"""
+ORACLE["op12_clustering"] = (
+    """
+with v as materialized (
+  select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as q
+  from embeddings where embedding is not null and len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+c0 as materialized (
+  select (row_number() over (order by sha256('3:' || vec_id::varchar) nulls last, q) - 1)::int as c, q from v
+  qualify row_number() over (order by sha256('3:' || vec_id::varchar) nulls last, q) <= 8),"""
+    + "".join(_ROUND.format(i=i, k=i + 1) for i in range(11))
+    + """
+t as (select c, sum(d)::bigint as s from a10 group by c)
+select a10.vec_id, a10.c as cluster, a10.d as distance, t.s as cluster_inertia, (select sum(s) from t)::bigint as inertia,
+       sha256(array_to_string(list_transform(c10.q, lambda x: x::varchar), ',')) as centroid_sha256
+from a10 join t on t.c = a10.c join c10 on c10.c = a10.c
+"""
+)
