@@ -19,9 +19,10 @@ def brute(rows, k, rounds, dims, seed=3):
             own = [q for (_, q), (_, c) in zip(kept, at, strict=True) if c == j]
             if own:
                 centres[j] = [sum(x) // len(own) for x in zip(*own, strict=True)]
-    at = assign()
+    most = lambda x: min(x, 2**63 - 1)
+    at = [(most(d), c) for d, c in assign()]
     sha = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in centres]
-    return sorted((str(i), c, d, sum(x for x, y in at if y == c), sum(x for x, _ in at), sha[c]) for (i, _), (d, c) in zip(kept, at, strict=True))
+    return sorted((str(i), c, d, most(sum(x for x, y in at if y == c)), most(sum(x for x, _ in at)), sha[c]) for (i, _), (d, c) in zip(kept, at, strict=True))
 
 
 def got(df):
