@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, clustering, fingerprint, htmltext, knn, langid, linededup, mixing, neardup, phrases, suffixdedup, tokencount
+from quillspark.llm import bpe, clustering, fingerprint, htmltext, knn, langid, linededup, mixing, neardup, phrases, sigtree, suffixdedup, tokencount
 from quillspark.llm.common import table
 
 
@@ -72,6 +72,10 @@ def op12_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.cluster(table(spark, sf_dir, "embeddings"))
 
 
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sigtree.jaccard_components(table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_topk_search": op2_topk_search,
@@ -85,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_phrases": op11_phrases,
     "op12_clustering": op12_clustering,
+    "op13_jaccard_join": op13_jaccard_join,
 }
 
 ORACLE: dict[str, str] = {}
@@ -226,3 +231,4 @@ select a10.vec_id, a10.c as cluster, a10.d as distance, t.s as cluster_inertia,
 from a10 join t on t.c = a10.c join c10 on c10.c = a10.c
 """
 )
+ORACLE["op13_jaccard_join"] = ORACLE["op5_near_duplicates"].replace("100 * common >= 80 *", "100 * common >= 85 *").replace(", n.doc_id = m.root as kept", "")
