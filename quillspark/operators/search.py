@@ -160,6 +160,134 @@ def search(chunks: DataFrame, index: DataFrame, sizes: DataFrame, vectors: DataF
     return diversified(ranked.join(chunks.select("chunk_id", "document_id"), "chunk_id"), limit)
 
 
+# --- many queries in one plan ---
+
+#: Vectors and queries of a block in which all are compared.
+VECTORS_A_BLOCK, QUERIES_A_BLOCK = 20_000, 500
+
+
+def asked_phrases(queries: DataFrame) -> DataFrame:
+    """query_id, phrase (its number), key, terms: the phrases of each query's tokens."""
+    found = F.filter(F.transform(F.array_distinct(T.tokens(F.col("query"))), T.terms), lambda p: F.size(p) > 0)
+    return queries.select("query_id", F.posexplode(found).alias("phrase", "terms")).withColumn("key", F.array_join("terms", " "))
+
+
+def hits_of(index: DataFrame, phrases: DataFrame) -> DataFrame:
+    """key, chunk_id, source_id, hits of distinct phrases (key, terms), which never cross fields.
+
+    A phrase of one term is counted from its postings as they are; only longer ones are matched place by place.
+    """
+    single = phrases.filter(F.size("terms") == 1).select("key", F.get("terms", F.lit(0)).alias("term"))
+    one = index.join(single, "term").groupBy("key", "chunk_id", "source_id").agg(F.sum(F.size("positions")).cast("long").alias("hits"))
+    longer = phrases.filter(F.size("terms") > 1).select("key", F.size("terms").alias("n"), F.posexplode("terms").alias("shift", "term"))
+    at = index.join(longer, "term").select("key", "n", "chunk_id", "source_id", "field", "shift", F.explode(F.transform("positions", lambda p: p - F.col("shift"))).alias("at"))
+    places = at.groupBy("key", "n", "chunk_id", "source_id", "field", "at").agg(F.countDistinct("shift").alias("have")).filter(F.col("have") == F.col("n"))
+    return one.union(places.groupBy("key", "chunk_id", "source_id").agg(F.count(F.lit(1)).alias("hits")))
+
+
+def bm25_many(index: DataFrame, sizes: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, chunk_id, source_id, bm25 for queries (query_id, query). A phrase that several queries ask for is looked up once."""
+    asked = asked_phrases(queries)
+    hits = hits_of(index, asked.select("key", "terms").distinct())
+    spread = hits.groupBy("key").agg(F.count(F.lit(1)).alias("df"))
+    stats = F.broadcast(sizes.agg(F.count(F.lit(1)).alias("chunks"), F.avg("length").alias("mean")))  # one row
+    j = hits.join(spread, "key").join(sizes.select("chunk_id", "length"), "chunk_id").crossJoin(stats)
+    idf = F.log((F.col("chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf) * F.col("hits") * (K1 + 1) / (F.col("hits") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+    weighed = j.select("key", "chunk_id", "source_id", weight.alias("weight"))
+    return asked.select("query_id", "key").join(weighed, "key").groupBy("query_id", "chunk_id", "source_id").agg(F.round(-F.sum("weight"), DIGITS).alias("bm25"))
+
+
+def _first(rows: DataFrame, limit: int | Column, *order: Column | str) -> DataFrame:
+    """The first rows of each query."""
+    return rows.withColumn("_r", F.row_number().over(W.partitionBy("query_id").orderBy(*order))).filter(F.col("_r") <= limit).drop("_r")
+
+
+def keyword_candidates_many(scores: DataFrame, limit: int | Column, monotone: bool = False) -> DataFrame:
+    """Each query's best by bm25 with keyword_score and keyword_rank, as keyword_candidates has them for one."""
+    top = _first(scores, limit, "bm25", "chunk_id")
+    most = F.coalesce(F.nullif(F.max(F.abs("bm25")).over(W.partitionBy("query_id")), F.lit(0.0)), F.lit(1.0))
+    score = F.abs("bm25") / (most + 1)
+    top = top.withColumn("keyword_score", score if monotone else 1 - score)
+    return top.withColumn("keyword_rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("keyword_score"), "bm25", "chunk_id")))
+
+
+def vector_candidates_many(vectors: DataFrame, queries: DataFrame, most: int) -> DataFrame:
+    """query_id, chunk_id, vector_score, vector_rank: the `most` nearest vectors (chunk_id, source_id, embedding) of each query
+    (query_id, q, source_ids: null for all) among those of its length.
+
+    Queries and vectors meet in blocks: a block of queries is copied to all blocks of vectors, a vector to as many as there are
+    blocks of queries, one for up to QUERIES_A_BLOCK. A block answers with `most` vectors a query.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    vs, qs = vectors.count(), queries.count()
+    blocks = lambda n, size: max(1, -(-n // size))
+    nv, nq = blocks(vs, VECTORS_A_BLOCK), blocks(qs, QUERIES_A_BLOCK)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    v = vectors.select("chunk_id", "source_id", "embedding", own("chunk_id", nv).alias("i")).withColumn("j", every(nq))
+    q = queries.select("query_id", "q", "source_ids", own("query_id", nq).alias("j")).withColumn("i", every(nv))
+    kinds = {**dict(vectors.dtypes), **dict(queries.dtypes)}
+
+    def near(asked: pa.Table, held: pa.Table) -> pa.Table:
+        out: dict[str, list] = {"query": [], "vector": [], "distance": []}
+        ids, source = held.column("chunk_id").to_pylist(), np.array(held.column("source_id").to_pylist(), object)
+        order = np.argsort(np.argsort(np.array(ids)) if ids else np.zeros(0, np.int64))
+        rank = np.argsort(order)
+        points = [None if x is None else np.asarray(x, np.float64) for x in held.column("embedding").to_pylist()]
+        sizes = np.array([-1 if x is None else len(x) for x in points])
+        matrices = {n: np.array([points[k] for k in np.flatnonzero(sizes == n)]) for n in set(sizes.tolist()) - {-1}}
+        for k, (at, only) in enumerate(zip(asked.column("q").to_pylist(), asked.column("source_ids").to_pylist(), strict=True)):
+            if at is None or len(at) not in matrices:
+                continue
+            here = np.flatnonzero(sizes == len(at))
+            apart = matrices[len(at)] - np.asarray(at, np.float64)
+            d = np.sqrt((apart * apart).sum(1)) if len(at) else np.zeros(len(here))
+            if only is not None:
+                keep = np.isin(source[here], np.array(only, object))
+                here, d = here[keep], d[keep]
+            for x in np.lexsort((rank[here], d))[:most].tolist():
+                out["query"].append(k), out["vector"].append(int(here[x])), out["distance"].append(float(d[x]))
+        return pa.table({"query_id": asked.column("query_id").take(pa.array(out["query"], pa.int64())), "chunk_id": held.column("chunk_id").take(pa.array(out["vector"], pa.int64())), "distance": pa.array(out["distance"], pa.float64())})
+
+    found = q.groupBy("i", "j").cogroup(v.groupBy("i", "j")).applyInArrow(near, f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, distance double")
+    top = _first(found, most, "distance", "chunk_id").withColumn("vector_score", similarity(F.col("distance")))
+    return top.withColumn("vector_rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("vector_score"), "distance", "chunk_id")))
+
+
+def search_many(chunks: DataFrame, index: DataFrame, sizes: DataFrame, vectors: DataFrame | None, queries: DataFrame, most: int = 50) -> DataFrame:
+    """query_id, rank, chunk_id, document_id, score, keyword_score, vector_score: what search gives for each query, all in one plan.
+
+    queries: query_id, query, q (vector; null for none), mode, limit (at most `most`), source_ids (null for all).
+    """
+    meant = queries.filter((T.strip(F.coalesce("query", F.lit(""))) != "") & (F.size(T.tokens(F.col("query"))) > 0))
+    n = F.col("limit") * OVERFETCH
+    words = meant.filter("mode <> 'vector'")
+    scores = bm25_many(index, sizes, words).join(words.select("query_id", "limit", "source_ids"), "query_id")
+    scores = scores.filter(F.col("source_ids").isNull() | F.array_contains("source_ids", F.col("source_id")))
+    found = keyword_candidates_many(scores, n).select("query_id", "chunk_id", "keyword_score", "keyword_rank")
+    if vectors is None:
+        none = lambda kind: F.lit(None).cast(kind)
+        found = found.withColumns({"vector_score": none("double"), "vector_rank": none("int")})
+    else:
+        near = vector_candidates_many(vectors, meant.filter("mode <> 'keyword'").select("query_id", "q", "source_ids"), most * OVERFETCH)
+        near = near.join(meant.select("query_id", "limit"), "query_id").filter(F.col("vector_rank") <= n)
+        found = found.join(near.select("query_id", "chunk_id", "vector_score", "vector_rank"), ["query_id", "chunk_id"], "full_outer")
+    part = lambda c, w: F.coalesce(w / (RRF_K + F.col(c)), F.lit(0.0))
+    zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
+    found = found.join(meant.select("query_id", "mode", "limit", F.col("q").isNotNull().alias("placed")), "query_id")
+    both = part("keyword_rank", KEYWORD_WEIGHT) + part("vector_rank", VECTOR_WEIGHT)
+    alone = F.coalesce("keyword_score", "vector_score")
+    score = F.when((F.col("mode") == "hybrid") & F.col("placed") & F.lit(vectors is not None), both).otherwise(alone)
+    ranked = found.select("query_id", "chunk_id", "limit", zero("keyword_score"), zero("vector_score"), score.alias("score")).join(chunks.select("chunk_id", "document_id"), "chunk_id")
+    order = [F.desc("score"), F.desc("keyword_score"), F.desc("vector_score"), F.col("chunk_id")]
+    ranked = ranked.withColumn("_again", F.row_number().over(W.partitionBy("query_id", "document_id").orderBy(*order)) > 1)
+    ranked = ranked.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("_again", *order))).filter(F.col("rank") <= F.col("limit"))
+    return ranked.select("query_id", "rank", "chunk_id", "document_id", "score", "keyword_score", "vector_score")
+
+
 def neighbour_context(chunks: DataFrame, window: int = 1) -> DataFrame:
     """chunk_id, context: the texts of a chunk and its neighbours, equal ones once, blank lines between."""
     near = W.partitionBy("document_id").orderBy("ordinal").rowsBetween(-window, window)
@@ -174,9 +302,9 @@ def context(chunks: DataFrame) -> DataFrame:
     return chunks.join(near, "chunk_id").select("chunk_id", F.coalesce(own, F.nullif("context", F.lit("")), "content").alias("context"))
 
 
-def shaped(results: DataFrame, query: str) -> DataFrame:
-    """results (content, section_path, title) with summary, excerpt and code."""
-    wanted = F.array(*(F.lit(t) for t in query_tokens(query) if t not in T.STOP_TERMS)).cast("array<string>")
+def shaped(results: DataFrame, query: str | Column) -> DataFrame:
+    """results (content, section_path, title) with summary, excerpt and code for a query, or that of each row."""
+    wanted = T.meaningful(query) if isinstance(query, Column) else F.array(*(F.lit(t) for t in query_tokens(query) if t not in T.STOP_TERMS)).cast("array<string>")
     text = T.strip(F.regexp_replace("content", r"\r\n?", "\n"))
     out = results.withColumn("excerpt", T.excerpt(text, wanted))
     out = out.withColumn("summary", T.summary(F.coalesce(F.nullif("excerpt", F.lit("")), text), wanted)).withColumn("code", T.code(text, wanted))

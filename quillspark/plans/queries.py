@@ -451,6 +451,25 @@ def chunk_pipeline(spark, sf_dir):
     return chunked(d.select(F.col("doc_id").alias("document_id"), F.col("source").alias("source_id"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("uri"), F.col("source").alias("title"), F.col("text").alias("content")))
 
 
+@query("""with w as (select doc_id, trim(text, ' ' || chr(9) || chr(10) || chr(13)) as p from documents where text is not null),
+d as (select *, trim(substr(p, (doc_id * 7919) % greatest(length(p), 1) + 1, 300), ' ' || chr(9) || chr(10) || chr(13)) as c from w),
+a as (select *, length(p) as n, case when c = '' then -1 else instr(p, left(c, 200)) - 1 end as pos from d),
+l as (select *, least(greatest(pos - 2400, 0), greatest(n - 4800, 0)) as low from a),
+x as (select *, least(n, low + 4800) as high, substr(p, low + 1, 4800) as t from l),
+f as (select *, greatest(instr(t, chr(10) || chr(10)), instr(t, '. ')) - 1 as f from x),
+b as (select *, case when low > 0 and f >= 0 and f < (high - low) // 3 then f + 1 else 0 end as skip from f),
+u as (select *, ltrim(substr(t, skip + 1), ' ' || chr(9) || chr(10) || chr(13)) as u from b),
+z as (select *, length(u) - 1 - greatest(coalesce(nullif(instr(reverse(u), chr(10) || chr(10)), 0), length(u) + 2), 0) as za, length(u) - 1 - coalesce(nullif(instr(reverse(u), ' .'), 0), length(u) + 2) as zb from u),
+e as (select *, greatest(case when instr(u, chr(10) || chr(10)) > 0 then za else -1 end, case when instr(u, '. ') > 0 then zb else -1 end) as cut from z)
+select doc_id, case when high = n then u when cut < length(u) // 2 then rtrim(u, ' ' || chr(9) || chr(10) || chr(13)) else rtrim(left(u, cut), ' .') || '.' end as context from e""")
+def parent_context(spark, sf_dir):
+    from quillspark.operators.chunking import with_parent_context
+
+    d = read(spark, sf_dir, "documents").filter("text is not null").select("doc_id", T.strip(F.col("text")).alias("parent"))
+    child = F.substring(F.col("parent"), (F.col("doc_id") * 7919 % F.greatest(F.char_length("parent"), F.lit(1)) + 1).cast("int"), F.lit(300))
+    return with_parent_context(d.withColumn("child", child), "parent", "child", "context").select("doc_id", "context")
+
+
 @query(None)
 def hash_embed(spark, sf_dir):
     from quillspark.operators.embedding import embedded
@@ -571,3 +590,50 @@ def eval_mrr(spark, sf_dir):
     b = read(spark, sf_dir, "benchmark").select("item_id", (F.char_length("text") > 0).alias("asked"))
     found = b.select("item_id", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("rank")).withColumn("matches", (F.col("item_id") * F.col("rank")) % 7 == 1)
     return report(b.select(F.col("item_id").alias("case_id"), "asked"), found.withColumnRenamed("item_id", "case_id"), 5)
+
+
+#: Every benchmark text as a query to the documents, all in one plan.
+MANY = f"""
+t as (select doc_id, source, {TERMS} as ts from documents),
+q as (select item_id, list_filter(list_transform(list_distinct({TOKENS}), lambda k: regexp_extract_all(translate(k, '{T.ACCENTED}', '{T.PLAIN}'), '[\\p{{L}}\\p{{N}}]+')), lambda p: len(p) > 0) as ps from benchmark),
+p as (select item_id, unnest(ps) as ws from q),
+d as (select distinct ws from p),
+o as (select doc_id, unnest(ts) as term, unnest(range(len(ts))) as i from t),
+h as (select d.ws, o.doc_id, count(*) as hits from d join o on o.term = d.ws[1] join t on t.doc_id = o.doc_id where len(d.ws) = 1 or t.ts[o.i + 1:o.i + len(d.ws)] = d.ws group by all),
+st as (select count(*)::double as n, avg(len(ts)) as mean from t),
+w as (select h.ws, h.doc_id, case when ln((n - df + 0.5) / (df + 0.5)) <= 0 then 1e-6 else ln((n - df + 0.5) / (df + 0.5)) end * hits * 2.2 / (hits + 1.2 * (1 - 0.75 + 0.75 * len(t.ts) / mean)) as weight
+      from h join (select ws, count(*) as df from h group by ws) f on f.ws = h.ws join t on t.doc_id = h.doc_id, st),
+b as (select item_id, doc_id, round(-sum(weight), 10) as bm25 from p join w on w.ws = p.ws group by all),
+kc as (select * from b qualify row_number() over (partition by item_id order by bm25, doc_id) <= 48),
+k as (select *, 1 - abs(bm25) / (coalesce(nullif(max(abs(bm25)) over (partition by item_id), 0), 1) + 1) as score from kc),
+r as (select item_id, doc_id, score, row_number() over (partition by item_id order by score desc, doc_id)::int as rank from k qualify rank <= 8)"""
+
+
+def _asked(spark, sf_dir):
+    return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.lit(None).cast("array<float>").alias("q"), F.lit("keyword").alias("mode"), F.lit(LIMIT).alias("limit"), F.lit(None).cast("array<string>").alias("source_ids"))
+
+
+def _many(spark, sf_dir):
+    """The searches of all benchmark texts; postings are made of their terms only."""
+    asked, c = _asked(spark, sf_dir), chunks(spark, sf_dir)
+    wanted = S.asked_phrases(asked).select(F.explode("terms").alias("term")).distinct()
+    return S.search_many(c, S.postings(c).join(wanted, "term", "left_semi"), S.lengths(c), None, asked)
+
+
+@query(f"with {MANY} select item_id, rank, doc_id, round_even(score, 6) as score from r")
+def search_many(spark, sf_dir):
+    return _many(spark, sf_dir).select(F.col("query_id").alias("item_id"), "rank", F.col("chunk_id").alias("doc_id"), r6("score"))
+
+
+@query(f"""with {MANY}, m as (select r.item_id, min(rank) as rank from r join documents on documents.doc_id = r.doc_id join benchmark using (item_id)
+  where contains(lower(documents.text), lower(left(benchmark.text, 40))) group by r.item_id),
+e as (select benchmark.item_id, m.rank from benchmark left join m using (item_id) where trim(benchmark.text) <> '')
+select count(*)::bigint as cases, count(rank)::bigint as passed, round_even(count(rank) / count(*), 4) as pass_rate, round_even(avg(coalesce(1.0::double / rank, 0)), 4) as mrr from e""")
+def evaluate_many(spark, sf_dir):
+    from quillspark.operators.evaluate import haystack, matches, report
+
+    cases = _asked(spark, sf_dir).withColumn("expected", F.array(F.left(F.col("query"), F.lit(40))))
+    texts = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+    found = _many(spark, sf_dir).join(texts, "chunk_id").join(cases.select("query_id", "expected"), "query_id")
+    found = found.select(F.col("query_id").alias("case_id"), "rank", matches(haystack(found), [F.col("expected")]).alias("matches"))
+    return report(cases.select(F.col("query_id").alias("case_id"), (T.strip(F.coalesce("query", F.lit(""))) != "").alias("asked")), found, LIMIT)
