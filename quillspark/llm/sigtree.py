@@ -2,10 +2,10 @@
 
 Documents with equal sets of shingles are one class. A first pass over all texts counts shingles in a table of COUNTERS
 hashed counters, a size that doesn't follow the data; it gives every shingle a place in one order for the whole corpus, the
-rarer first. Two sets of a Jaccard similarity of percent share a shingle among the first n - ceil(percent * n / 100) + 1 of
-either, n its size. Any order is right; this one keeps passages that many documents share behind, so that what classes
-share in front is mostly what makes them alike. Classes that share none have no links; chains of shared front shingles
-make components, and every link lies within one.
+rarer first. Two sets of a Jaccard similarity of percent share e shingles among the first n - ceil(percent * n / 100) + e of
+either, n its size, whatever e; it is a tenth of the set here. So classes that share less than that with all others have no
+links, and of the m shingles that one shares with others m - e + 1 are enough to meet those it is alike. Any order is right; this one keeps
+passages that many documents share behind. Chains of such shingles make components, and every link lies within one.
 
 Each component is a forest of signature trees. In a task, the sets of like size are the leaves of a binary tree, sorted
 so that likely partners stand side by side; a node holds the OR of its sets' token bitmaps (BITS a shingle), the range of
@@ -45,6 +45,8 @@ SIZE, PERCENT = 5, 80
 COUNTERS, CHUNK = 1 << 20, 1 << 12
 #: Shingles of a block, children of a node, bits a shingle in a task's trees.
 CAP, FANOUT, BITS = 1 << 19, 16, 16
+#: A set's front shares one in so many of its shingles with that of a set that is alike.
+EVIDENCE = 10
 SEEN = 1_000_000
 #: Pairs of nodes whose bitmaps are compared at once, in 64-bit words.
 WORDS_AT_ONCE = 1 << 21
@@ -98,10 +100,15 @@ def _counters(rows: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
+def evidence(n, percent: int):
+    """Of how many elements of its front a set of n shares at least with that of any set that is percent alike."""
+    return max(1, -(-percent * n // 100) // EVIDENCE)
+
+
 def front(shingles: np.ndarray, counters: np.ndarray, percent: int) -> np.ndarray:
-    """The first shingles of a set in the corpus's order, of which any two sets that are percent alike share one."""
+    """The first shingles of a set in the corpus's order: so many that sets that are percent alike share one in EVIDENCE of the smaller."""
     n = len(shingles)
-    k = n + percent * n // -100 + 1
+    k = n + percent * n // -100 + max(1, n // EVIDENCE)
     return shingles[np.lexsort((shingles, counters[(shingles & np.uint64(COUNTERS - 1)).astype(np.int64)]))[:k]]
 
 
@@ -127,6 +134,23 @@ def _postings(docs: DataFrame, counters: np.ndarray, size: int, percent: int) ->
     return docs.select("text").mapInArrow(apply, "token long, c long")
 
 
+def _shared(postings: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """token, c: front shingles that several classes have, of the classes (c, n) that share enough of theirs; of the others, links have none.
+
+    Of m shared shingles a class keeps the first m - e + 1, the more frequent first, e what it shares at least with a set that is alike.
+    """
+    token = W.partitionBy("token")
+    several = lambda rows: rows.select("token", "c", F.min("c").over(token).alias("low"), F.max("c").over(token).alias("high")).filter("low < high").select("token", "c")
+    least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / 100) / EVIDENCE))
+    found = written(several(postings).distinct())
+    enough = found.groupBy("c").agg(F.count(F.lit(1)).alias("m")).join(classes.select("c", "n"), "c").filter(F.col("m") >= least).select("c")
+    rows = several(found.join(enough, "c", "left_semi")).withColumn("df", F.count(F.lit(1)).over(token)).join(classes.select("c", "n"), "c")
+    own = W.partitionBy("c")
+    place, m = F.row_number().over(own.orderBy(F.desc("df"), "token")), F.count(F.lit(1)).over(own)
+    rows = rows.withColumn("place", place).withColumn("m", m).filter((F.col("m") >= least) & (F.col("place") <= F.col("m") - least + 1))
+    return written(several(rows))
+
+
 def _members(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """The wanted rows (doc_id, class and more) with the shingles of their class."""
     kind, columns = dict(docs.dtypes)["doc_id"], [c for c in wanted.columns if c != "doc_id"]
@@ -356,11 +380,10 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
     counters = _counters(told)
     first = F.conv(F.substring(F.hex("class"), 1, 16), 16, -10).cast("long").alias("c")
     classes = written(rows.filter(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")).select("class", first, "doc_id", "n"))
-    least = F.min("c").over(W.partitionBy("token"))
-    most = F.max("c").over(W.partitionBy("token"))
-    shared = written(_postings(docs, counters, size, percent).select("token", "c", least.alias("least"), most.alias("most")).filter("least < most").select("token", "c", "least"))
-    parts = written(components(shared.select(F.col("c").alias("a"), F.col("least").alias("b")).filter("a <> b").distinct()).select(F.col("node").alias("c"), "root"))
-    links = _links(docs, classes.join(parts, "c").select("doc_id", "class", "c", "root", "n"), shared.select("token", "c").distinct(), size, percent)
+    shared = _shared(_postings(docs, counters, size, percent), classes, percent)
+    edges = shared.select(F.col("c").alias("a"), F.min("c").over(W.partitionBy("token")).alias("b")).filter("a <> b").distinct()
+    parts = written(components(edges).select(F.col("node").alias("c"), "root"))
+    links = _links(docs, classes.join(parts, "c").select("doc_id", "class", "c", "root", "n"), shared, size, percent)
     roots = written(components(links).select(F.col("node").alias("class"), F.col("root").alias("own")))
     named = classes.select("class", "doc_id").join(roots, "class", "left").withColumn("own", F.coalesce("own", "class"))
     named = named.join(named.groupBy("own").agg(F.min("doc_id").alias("least")), "own").select("class", F.col("least").alias("component_id"))
