@@ -2,12 +2,13 @@
 
 A page is read as a flat row of text blocks: block-level tags separate them, inline tags don't. Each block has its
 word count, its link density, those of its neighbours, and where it stands (in an article; in navigation, header,
-footer, aside or form; in an element whose class or id names such a thing; a heading). A decision tree, fitted to the
+footer, aside or form, but not in one around the whole article; in an element whose class or id names such a thing; a heading). A decision tree, fitted to the
 small labelled table LAYOUTS, says which blocks are main text. Scripts, styles, comments and heads are no blocks.
 
 Null and empty html give an empty text. Unclosed tags, broken attributes and unfinished character references are read
 as far as they go: of what isn't read, only a script, style or textarea without an end tag lasts to the end of the page; a head
-ends at the first tag of a body, an option at a tag that isn't inline. Repeated rows are read each; other columns are not read.
+ends at the first tag of a body, an option at a tag that isn't inline, and a nav, footer, aside or form without an end tag is no place
+at all. Repeated rows are read each; other columns are not read. An empty table has an empty result; pages of any length are read whole.
 """
 
 from __future__ import annotations
@@ -29,26 +30,31 @@ _markup = re.compile(
     re.I | re.S,
 )
 _named = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+_camel = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _hidden = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", re.I)
-#: What a class, id or role says an element is for, as a whole (sidebar), with something behind it (cookie-banner), or behind a word
-#: of OWNERS (site-footer). So has-sidebar and post-header say nothing.
+#: What a class, id or role says an element is for: alone (sidebar), last (site-footer, article-comments), or first before one of PARTS
+#: (cookie-banner, commentSection). Behind one of DENIED it says nothing (has-sidebar), and neither does a header of one of TEXTS (post-header).
 PURPOSES = set("ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies contentinfo disqus footer header menu modal nav navbar navigation newsletter notice notices popup promo promoted promotion related reply replies share sharing sidebar social sponsor sponsored subscribe subscription toolbar widget widgets".split())
-OWNERS = set("bottom global google left main mobile page primary reader right secondary site sticky top user".split())
+PARTS = set("area articles bar block blocks bottom box button buttons center column container content form group icons inner item items left line links list main menu message notice outer overlay panel posts right section signup slot stories thread top unit widget wrap wrapper".split())
+DENIED = set("has is no non not with without".split())
+TEXTS = set("article blog content entry main news page post section story text".split())
 
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 CHROME = {"nav", "footer", "aside", "form", "menu", "dialog", "header"}
+#: Of these an article within is an article nevertheless: some pages are one form, some navigation is not ended where it ends.
+AROUND = {"nav", "form", "header"}
 MAIN = {"article", "main"}
 #: No text of a page: RAW up to its end tag or that of the page; UNREAD only with an end tag of its own (those of NESTED pair up).
 RAW = {"script", "style", "textarea"}
 UNREAD = {"noscript", "template", "svg", "iframe", "select", "button", "option", "title"}
-NESTED = {"svg", "template"}
+NESTED = {"svg", "template"} | CHROME
 #: Tags that leave a head open.
 IN_HEAD = {"head", "title", "meta", "link", "base", "script", "style", "noscript", "template"}
 #: What holds a page as a whole; a class there says nothing of its text.
 WHOLE = {"html", "body"}
 HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
-_tags = {t: re.compile(rf"<(/?){t}(?![a-z0-9:-])((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+|[^<>]*)>", re.I) for t in UNREAD | {"head"}}
+_tags = {t: re.compile(rf"<(/?){t}(?![a-z0-9:-])((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+|[^<>]*)>", re.I) for t in UNREAD | {"head"} | CHROME}
 _raw_ends = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 #: An option without an end tag: text and inline tags.
 _option = re.compile(rf"(?:[^<]|<(?![a-z/!?])|<(?=/?(?:{'|'.join(sorted(INLINE))})(?![a-z0-9:-])))*+", re.I)
@@ -186,6 +192,34 @@ named p 28,4,60,7 0 0
 
 - p 9 0 1
 
+- p 4 0 1
+
+- p 2 0 1
+
+- h1 6 0 1
+- p 20 0 1
+- h3 5 0 1
+- p 24 0 1
+- div 22 21 0
+- h3 4 0 0
+- div 26 26 0
+- h3 6 0 0
+- div 21 20 0
+
+- li 3,2,3 3 0
+- h1 5 0 1
+- p 64 8 1
+- p 3 0 1
+- p 50 0 1
+- div 25 25 0
+
+- h1 7 0 1
+- p 22 0 1
+- h3 4 0 1
+- p 26 1 1
+- h3 6 0 1
+- p 21 0 1
+
 - li 4,4,3 4 0
 - p 30,2 1 1
 
@@ -276,9 +310,11 @@ def fitted() -> Tree:
 def for_chrome(attributes: str) -> bool:
     """Whether an element's class, id or role says that it is no main text."""
     for names in _named.findall(attributes):
-        for name in names.strip("\"'").lower().split():
-            first, *rest = re.split("[-_]+", name.strip("-_"))
-            if first in PURPOSES or first in OWNERS and rest and rest[0] in PURPOSES:
+        for name in names.strip("\"'").split():
+            words = [w for w in re.split("[-_]+", _camel.sub("-", name).lower()) if w]
+            if not words or words[0] in DENIED or len(words) > 1 and words[-1] == "header" and words[-2] in TEXTS:
+                continue
+            if words[-1] in PURPOSES or words[0] in PURPOSES and words[-1] in PARTS:
                 return True
     return False
 
@@ -305,7 +341,8 @@ def blocks_of(page: str) -> tuple[list[str], list[tuple[int, int, bool, bool, bo
     parts: list[str] = []
     linked, link, heading = 0, False, False
     places: list[tuple[str, str]] = []  # open elements that count: tag, what for
-    depth: dict[str, int] = {"main": 0, "chrome": 0, "named": 0}
+    depth: dict[str, int] = {"main": 0, "chrome": 0, "around": 0, "named": 0}
+    out: list[int] = []  # for each open article, what was open around it
 
     def end() -> None:
         nonlocal linked
@@ -313,7 +350,7 @@ def blocks_of(page: str) -> tuple[list[str], list[tuple[int, int, bool, bool, bo
             if text := " ".join("".join(parts).split()):
                 n = text.count(" ") + 1
                 texts.append(text)
-                known.append((n, min(n, linked), depth["main"] > 0, depth["chrome"] > 0, depth["named"] > 0, heading))
+                known.append((n, min(n, linked), depth["main"] > 0, depth["chrome"] + depth["around"] - (out[-1] if out else 0) > 0, depth["named"] > 0, heading))
             parts.clear()
         linked = 0
 
@@ -369,13 +406,18 @@ def blocks_of(page: str) -> tuple[list[str], list[tuple[int, int, bool, bool, bo
                     was, what = places.pop()
                     if what:
                         depth[what] -= 1
+                    if what == "main":
+                        out.pop()
                     if was == tag:
                         break
             link = link and tag not in PLACES
         elif tag not in VOID:
             what = ""
             if tag in CHROME and not (tag == "header" and depth["main"]):
-                what = "chrome"
+                if tag not in found:
+                    found[tag] = ends_of(page, tag)
+                if at in found[tag]:  # one without an end has no known extent
+                    what = "around" if tag in AROUND else "chrome"
             elif tag in MAIN:
                 what = "main"
             elif m[3] and tag not in WHOLE and (_hidden.search(m[3]) or for_chrome(m[3])):
@@ -384,6 +426,8 @@ def blocks_of(page: str) -> tuple[list[str], list[tuple[int, int, bool, bool, bo
                 places.append((tag, what))
                 if what:
                     depth[what] += 1
+                if what == "main":
+                    out.append(depth["around"])
     if at < len(page):
         say(page[at:])
     end()

@@ -72,7 +72,7 @@ def main_text(page):
 
 def test_word_count_and_link_density_decide():
     used = {f for f, *_ in htmltext.fitted().nodes}
-    assert {0, 1} <= used and used & {2, 3, 4, 5}  # own words and density, and neighbours'
+    assert {0, 1} <= used and used & {2, 4} and used & {3, 5}  # own words and density, and neighbours' of both
 
 
 def test_page_without_article():
@@ -90,5 +90,33 @@ def test_classes_are_whole_purposes():
     assert main_text(f"<html><head><title>t</title><body>{rest}") == ["Title", "The text of it."]
 
 
+def test_articles_in_forms_and_open_navigation():
+    rest = f"<article><h1>Title</h1><p>{'Words of the text. ' * 12}</p></article>"
+    own = ["Title", ("Words of the text. " * 12).strip()]
+    links = "<ul><li><a href=a>One</a></li><li><a href=b>Two</a></li></ul>"
+    assert main_text(f"<form id='aspnetForm'>{rest}<aside>Not this one here</aside></form>") == own
+    assert main_text(f"<form><nav>{links}</nav>{rest}<footer><p>Of the site, all rights.</p></footer></form>") == own
+    assert main_text(f"<nav>{links}{rest}") == main_text(f"<header>{links}{rest}") == own
+    assert main_text(f"<nav>{links}<h1>Title</h1><p>{own[1]}</p>") == own
+    assert main_text(f"<aside><article><p>{'Read this other one. ' * 9}</p></article></aside>{rest}") == own
+    assert main_text(f"{rest}<form><p>Your mail address, please, for our letter.</p></form>") == own
+    assert main_text("<p>One short paragraph here.</p>") == ["One short paragraph here."]
+
+
+def test_purposes_stand_at_either_end_of_a_name():
+    rest = lambda name: f"<article><p>The text of it all.</p><div class='{name}'><p>{'More words for you. ' * 6}</p></div></article>"
+    for name in ("share-price", "reply-letter", "widget-factory-story", "post-header", "has-sidebar", "adstock", "headerless"):
+        assert len(main_text(rest(name))) == 2
+    for name in ("article-comments", "post-comments", "commentSection", "in-article-ad", "comment-list", "shareButtons", "related_posts"):
+        assert main_text(rest(name)) == ["The text of it all."]
+
+
+def test_headings_between_links_go():
+    block = lambda words: f"<div><a href=x>{'word ' * words}</a></div>"
+    text = f"<h1>Title of it all</h1><p>{'More words of the text. ' * 6}</p>"
+    got = main_text(f"{text}{block(20)}<h3>Read these other ones</h3>{block(23)}")
+    assert got[0] == "Title of it all" and "Read these other ones" not in got
+
+
 def test_very_long_text():
     assert main_text(f"<article><p>{'word ' * 300000}</p><p>end</p></article>")[1] == "end"
