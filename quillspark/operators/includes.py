@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Fixed values that results depend on.
 INCLUDE = r"\{\*\s+([^\s*]+)([^*]*)\*\}"
@@ -33,26 +34,40 @@ def selected(text: str, options: str) -> str:
     return "\n".join(rows[n - 1] for n in wanted if 1 <= n <= len(rows)) or text
 
 
+@F.arrow_udf(StringType())
+def _resolved(uri: pa.Array, target: pa.Array) -> pa.Array:
+    return pa.array([posixpath.normpath(posixpath.join(posixpath.dirname(u), t)) for u, t in zip(uri.to_pylist(), target.to_pylist(), strict=True)], pa.string())
+
+
+def included(documents: DataFrame, root: str) -> DataFrame:
+    """uri, name, path of the includes in documents (uri, content) that lead into root or beside it."""
+    near = posixpath.dirname(root.rstrip("/")).rstrip("/") + "/"
+    asked = documents.select("uri", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(INCLUDE), F.lit(1)))).alias("name"))
+    return asked.withColumn("path", _resolved("uri", "name")).filter(F.startswith("path", F.lit(near)))
+
+
+def exampled(documents: DataFrame) -> DataFrame:
+    """uri, name, stem of the examples in documents: the file names, without suffix, that stand for each."""
+    asked = documents.select("uri", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(EXAMPLE), F.lit(1)))).alias("name"))
+    return asked.select("uri", "name", F.explode(F.array_distinct(F.array(F.element_at(F.split("name", "/"), -1), F.regexp_replace("name", r"[/\\]", "-")))).alias("stem"))
+
+
+def examples_among(files: DataFrame, root: str) -> DataFrame:
+    """The files (path) below root that may be examples, with stem."""
+    own = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(EXAMPLE_SUFFIXES) & F.startswith("path", F.lit(root.rstrip("/") + "/"))
+    return files.filter(own).withColumn("stem", F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1))
+
+
 def expanded(documents: DataFrame, files: DataFrame, root: str) -> DataFrame:
     """documents (uri, content) with includes and examples below root replaced by fenced files; others stay, or their names.
 
     An include is a path from its document's folder, and must lie in root or beside it. An example is the file of its
     name (or of the name with - for /) with the shortest path, then the first.
     """
-    near = posixpath.dirname(root.rstrip("/")) + "/"
-
-    @F.arrow_udf("string")
-    def resolve(uri: pa.Array, target: pa.Array) -> pa.Array:
-        return pa.array([posixpath.normpath(posixpath.join(posixpath.dirname(u), t)) for u, t in zip(uri.to_pylist(), target.to_pylist(), strict=True)], pa.string())
-
-    asked = documents.select("uri", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(INCLUDE), F.lit(1)))).alias("name"))
-    included = asked.withColumn("path", resolve("uri", "name")).filter(F.startswith("path", F.lit(near))).join(files, "path").select("uri", "name", "path", F.col("content").alias("file"), F.lit(False).alias("example"))
-    wanted = documents.select("uri", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(EXAMPLE), F.lit(1)))).alias("name"))
-    stems = wanted.select("uri", "name", F.explode(F.array_distinct(F.array(F.element_at(F.split("name", "/"), -1), F.regexp_replace("name", r"[/\\]", "-")))).alias("stem"))
-    named = files.filter(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(EXAMPLE_SUFFIXES) & F.startswith("path", F.lit(root.rstrip("/") + "/"))).withColumn("stem", F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1))
+    found = included(documents, root).join(files, "path").select("uri", "name", "path", F.col("content").alias("file"), F.lit(False).alias("example"))
     order = W.partitionBy("uri", "name").orderBy(F.size(F.split("path", "/")), "path")
-    examples = stems.join(named, "stem").withColumn("r", F.row_number().over(order)).filter("r = 1").select("uri", "name", "path", F.col("content").alias("file"), F.lit(True).alias("example"))
-    parts = included.union(examples).groupBy("uri").agg(F.collect_list(F.struct("name", "path", "file", "example")).alias("_parts"))
+    examples = exampled(documents).join(examples_among(files, root), "stem").withColumn("r", F.row_number().over(order)).filter("r = 1").select("uri", "name", "path", F.col("content").alias("file"), F.lit(True).alias("example"))
+    parts = found.union(examples).groupBy("uri").agg(F.collect_list(F.struct("name", "path", "file", "example")).alias("_parts"))
     joined = documents.join(parts, "uri", "left")
     others = [c for c in documents.columns if c != "content"]
     kinds = dict(documents.dtypes)

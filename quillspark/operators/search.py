@@ -83,12 +83,14 @@ def bm25(index: DataFrame, sizes: DataFrame, query: str) -> DataFrame:
     return j.groupBy("chunk_id", "source_id").agg(F.round(-F.sum(weight), DIGITS).alias("bm25"))
 
 
-def allowed(frame: DataFrame, source_ids: list[str] | None) -> DataFrame:
-    """No filter for None, nothing for an empty list."""
+def allowed(frame: DataFrame, source_ids: list[str] | DataFrame | None) -> DataFrame:
+    """No filter for None, nothing for an empty list; a frame has a row for each source (source_id)."""
+    if isinstance(source_ids, DataFrame):
+        return frame.join(source_ids.select("source_id"), "source_id", "left_semi")
     return frame if source_ids is None else frame.filter(F.col("source_id").isin(source_ids))
 
 
-def keyword_candidates(scores: DataFrame, limit: int, source_ids: list[str] | None = None, monotone: bool = False) -> DataFrame:
+def keyword_candidates(scores: DataFrame, limit: int, source_ids: list[str] | DataFrame | None = None, monotone: bool = False) -> DataFrame:
     """The best by bm25 with keyword_score and keyword_rank.
 
     The score falls as the match gets better, 1 - |bm25| / (max + 1), and ranks go by it; monotone turns that round.
@@ -114,7 +116,7 @@ def similarity(distance: Column) -> Column:
     return F.when(distance < 0, F.lit(0.0)).otherwise(1 / (1 + distance))
 
 
-def vector_candidates(vectors: DataFrame, query: Column | DataFrame, limit: int, source_ids: list[str] | None = None) -> DataFrame:
+def vector_candidates(vectors: DataFrame, query: Column | DataFrame, limit: int, source_ids: list[str] | DataFrame | None = None) -> DataFrame:
     """The nearest vectors of the query's length with vector_score and vector_rank; query: a column, or a frame of one row (q)."""
     v = allowed(vectors, source_ids)
     v = v.crossJoin(F.broadcast(query)) if isinstance(query, DataFrame) else v.withColumn("q", query)
@@ -139,7 +141,7 @@ def diversified(ranked: DataFrame, limit: int) -> DataFrame:
     return ranked.withColumn("_again", again).orderBy("_again", *order).limit(limit).drop("_again")
 
 
-def search(chunks: DataFrame, index: DataFrame, sizes: DataFrame, vectors: DataFrame, query: str, query_vector: Column | DataFrame | None, limit: int = 8, mode: str = "hybrid", source_ids: list[str] | None = None, monotone: bool = False) -> DataFrame:
+def search(chunks: DataFrame, index: DataFrame, sizes: DataFrame, vectors: DataFrame, query: str, query_vector: Column | DataFrame | None, limit: int = 8, mode: str = "hybrid", source_ids: list[str] | DataFrame | None = None, monotone: bool = False) -> DataFrame:
     """chunk_id, document_id, score, keyword_score, vector_score of the best chunks, in their order.
 
     mode: keyword, vector or hybrid. A query without tokens finds nothing. Candidates come first, chunks are joined last.
@@ -147,7 +149,7 @@ def search(chunks: DataFrame, index: DataFrame, sizes: DataFrame, vectors: DataF
     if mode not in ("keyword", "vector", "hybrid"):
         raise ValueError(f"unknown mode: {mode}")
     n = limit * OVERFETCH
-    none = not query.strip() or source_ids == [] or not query_tokens(query)
+    none = not query.strip() or isinstance(source_ids, list) and not source_ids or not query_tokens(query)
     kw = None if mode == "vector" else keyword_candidates(bm25(index, sizes, query), 0 if none else n, source_ids, monotone)
     vec = None if mode == "keyword" or query_vector is None else vector_candidates(vectors, query_vector, 0 if none else n, source_ids)
     zero = F.lit(0.0)
@@ -257,22 +259,22 @@ def vector_candidates_many(vectors: DataFrame, queries: DataFrame, most: int) ->
     return top.withColumn("vector_rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("vector_score"), "distance", "chunk_id")))
 
 
-def search_many(chunks: DataFrame, index: DataFrame, sizes: DataFrame, vectors: DataFrame | None, queries: DataFrame, most: int = 50) -> DataFrame:
+def search_many(chunks: DataFrame, index: DataFrame, sizes: DataFrame, vectors: DataFrame | None, queries: DataFrame, most: int = 50, sources: DataFrame | None = None) -> DataFrame:
     """query_id, rank, chunk_id, document_id, score, keyword_score, vector_score: what search gives for each query, all in one plan.
 
-    queries: query_id, query, q (vector; null for none), mode, limit (at most `most`), source_ids (null for all).
+    queries: query_id, query, q (vector; null for none), mode, limit (at most `most`), source_ids (null for all of sources).
     """
     meant = queries.filter((T.strip(F.coalesce("query", F.lit(""))) != "") & (F.size(T.tokens(F.col("query"))) > 0))
     n = F.col("limit") * OVERFETCH
     words = meant.filter("mode <> 'vector'")
     scores = bm25_many(index, sizes, words).join(words.select("query_id", "limit", "source_ids"), "query_id")
-    scores = scores.filter(F.col("source_ids").isNull() | F.array_contains("source_ids", F.col("source_id")))
+    scores = allowed(scores, sources).filter(F.col("source_ids").isNull() | F.array_contains("source_ids", F.col("source_id")))
     found = keyword_candidates_many(scores, n).select("query_id", "chunk_id", "keyword_score", "keyword_rank")
     if vectors is None:
         none = lambda kind: F.lit(None).cast(kind)
         found = found.withColumns({"vector_score": none("double"), "vector_rank": none("int")})
     else:
-        near = vector_candidates_many(vectors, meant.filter("mode <> 'keyword'").select("query_id", "q", "source_ids"), most * OVERFETCH)
+        near = vector_candidates_many(allowed(vectors, sources), meant.filter("mode <> 'keyword'").select("query_id", "q", "source_ids"), most * OVERFETCH)
         near = near.join(meant.select("query_id", "limit"), "query_id").filter(F.col("vector_rank") <= n)
         found = found.join(near.select("query_id", "chunk_id", "vector_score", "vector_rank"), ["query_id", "chunk_id"], "full_outer")
     part = lambda c, w: F.coalesce(w / (RRF_K + F.col(c)), F.lit(0.0))

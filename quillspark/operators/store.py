@@ -82,6 +82,13 @@ def named(sources: DataFrame, provider: str, model: str, source_id: str | None =
     return [row.source_id]
 
 
+def usable(sources: DataFrame, provider: str, model: str, source_id: str | None = None, name: str | None = None) -> DataFrame | list[str]:
+    """What a search may use, as named has it; all that are queryable as a frame, so that a large catalog stays where it is."""
+    if source_id is None and name is None:
+        return queryable(sources, provider, model).select("source_id")
+    return named(sources, provider, model, source_id, name) or []
+
+
 def running_jobs(jobs: DataFrame) -> DataFrame:
     """The newest active job of each source."""
     return latest(jobs.filter(F.col("status").isin(*ACTIVE)), "source_id", "created_at", "job_id")

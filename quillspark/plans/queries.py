@@ -637,3 +637,23 @@ def evaluate_many(spark, sf_dir):
     found = _many(spark, sf_dir).join(texts, "chunk_id").join(cases.select("query_id", "expected"), "query_id")
     found = found.select(F.col("query_id").alias("case_id"), "rank", matches(haystack(found), [F.col("expected")]).alias("matches"))
     return report(cases.select(F.col("query_id").alias("case_id"), (T.strip(F.coalesce("query", F.lit(""))) != "").alias("asked")), found, LIMIT)
+
+
+@query("""with s as (select source as key, case when source like '%5' then 'shared' else upper(source) end as name, row_number() over (order by source) - 1 as number from (select distinct source from documents where source is not null)),
+a as (select key as alias, number, key from s union select name, number, key from s),
+k as (select alias, count(distinct number) as n, min(key) as key from a group by alias),
+d as (select doc_id, case doc_id % 5 when 0 then null when 1 then 'nowhere' when 2 then upper(source) else source end as alias from documents),
+p as (select d.doc_id, d.alias, k.key from d left join k on k.alias = d.alias)
+select 'placed' as problem, doc_id::varchar as place, key from p where key is not null
+union all select case when alias is null then 'names none of several sources' else 'unknown source' end, concat_ws(' ', doc_id::varchar, alias), null from p where key is null
+union all select 'duplicate source alias', alias, null from k where n > 1""")
+def resolve_aliases(spark, sf_dir):
+    from quillspark.sources.files import resolved
+
+    d = read(spark, sf_dir, "documents")
+    names = d.filter("source is not null").select("source").distinct()
+    sources = names.select((F.row_number().over(W.orderBy("source")) - 1).alias("number"), F.col("source").alias("key"), F.col("source").alias("id"), F.when(F.col("source").endswith("5"), "shared").otherwise(F.upper("source")).alias("name"))
+    which = F.col("doc_id") % 5
+    asked = F.when(which == 1, "nowhere").when(which == 2, F.upper("source")).when(which > 2, F.col("source"))
+    placed, problems = resolved(sources, d.select(F.col("doc_id").cast("string").alias("place"), asked.alias("source_id"), F.lit(None).cast("string").alias("source")))
+    return placed.filter("key is not null").select(F.lit("placed").alias("problem"), "place", "key").union(problems.select("problem", "place", F.lit(None).cast("string")))

@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from quillspark.functions import text as T
 from quillspark.operators.chunking import chunked
 from quillspark.operators.embedding import Embedder, embedded
-from quillspark.sources.files import decoded, fallback_title, readable, suffix_of, wanted
+from quillspark.sources.files import decoded, fallback_title, plain_path, readable, wanted
 
 FILES_PER_BATCH = 64
 
@@ -21,8 +21,8 @@ FILES_PER_BATCH = 64
 def document_stream(spark: SparkSession, root: str, source_id: str) -> DataFrame:
     """document_id, source_id, uri, title, content of files as they arrive."""
     raw = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).option("maxFilesPerTrigger", FILES_PER_BATCH).load(root)
-    d = decoded(raw.select(F.regexp_replace("path", r"^[a-z]+:/*(?=/)", "").alias("uri"), "content").filter(wanted(F.col("uri"))))
-    d = d.withColumn("content", readable(F.col("content"), suffix_of(F.col("uri")))).filter(F.col("content") != "")
+    d = decoded(raw.select(plain_path(F.col("path")).alias("uri"), "content").filter(wanted(F.col("uri"))))
+    d = readable(d).filter(F.col("content") != "")
     return d.select(F.xxhash64(F.lit(source_id), "uri").alias("document_id"), F.lit(source_id).alias("source_id"), "uri", F.coalesce(T.title(F.col("content")), fallback_title(F.col("uri"))).alias("title"), "content")
 
 

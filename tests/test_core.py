@@ -55,7 +55,10 @@ def test_sections_and_chunks(spark):
     rows = C.chunked(docs).orderBy("document_id", "ordinal").collect()
     assert [(r.document_id, r.chunk_kind) for r in rows][-1] == (3, "table") and all(r.document_id != 2 for r in rows)
     assert any("small one" in r.content and "small two" in r.content and r.section_path == ["P", "X"] for r in rows)
-    assert C.parent_context("x. " * 3000 + "CHILD here. " + "y. " * 3000, "CHILD here").count("CHILD") == 1
+    own = C.Section("x. " * 3000 + "CHILD here. " + "y. " * 3000)
+    assert own.around("CHILD here").count("CHILD") == 1 and own.around("absent") == own.text[:4798].rstrip(" .") + "." and C.Section(" a ").around("x") == "a"
+    low, high = own.bounds("CHILD here")
+    assert high - low == C.PARENT_CHARS and C.Section("z" * 5000).around("z" * 300) == "z" * 4800
 
 
 def test_bm25_like_fts5(spark):

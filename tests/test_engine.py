@@ -56,7 +56,7 @@ def test_index_again_and_includes(spark, tmp_path):
     (root / "q.html").write_text("<article><h1>Other</h1><p>About quokkas only.</p></article>")
     e = Engine(spark, str(tmp_path / "store"))
     s = e.register("local", "Docs", str(root))
-    d = {r.uri.rpartition("/")[2]: r for r in files.documents(spark, str(root), s, (str(code),)).collect()}
+    d = {r.uri.rpartition("/")[2]: r for r in files.documents(spark, str(root), s).collect()}
     assert "```py\ntwo\nthree\n```" in d["p.md"].content and "{* ../gone.py *}" in d["p.md"].content and d["q.html"].title == "Other"
     stream = document_stream(spark, str(root), s)
     assert stream.isStreaming and stream.columns == ["document_id", "source_id", "uri", "title", "content"]
