@@ -186,7 +186,7 @@ class Engine:
         # A source that shows a run goes on showing it.
         before = self._update(source_id, **({} if shown else {"status": "indexing", "error": None, "document_count": 0, "chunk_count": 0}), **values)
         say("running", "indexing")
-        self.spark.addTag(job)
+        self.spark.sparkContext.addJobTag(job)  # a tag of the session is not seen on jobs of other threads
         try:
             d = documents(job).withColumn("document_id", F.xxhash64("source_id", "uri"))
             self._write(d, "documents", job)
@@ -215,7 +215,7 @@ class Engine:
                 say("failed", str(error)[:500])
                 raise
         finally:
-            self.spark.removeTag(job)
+            self.spark.sparkContext.removeJobTag(job)
         return job
 
     def _active(self, source_id: str) -> DataFrame:
@@ -231,7 +231,7 @@ class Engine:
         jobs = self._active(source_id).collect()
         for j in jobs:
             self._say("jobs", JOB, **{**j.asDict(), "status": "cancelled" if stale else "cancelling", "message": "cancelled" if stale else "cancelling", "updated_at": time.time()})
-            self.spark.interruptTag(j.job_id)
+            self.spark.sparkContext.cancelJobsWithTag(j.job_id)
         if jobs and stale:
             shown = not self.current().filter(F.col("source_id") == source_id).isEmpty()
             self._update(source_id, **({} if shown else {"status": "registered"}), error="cancelled")
