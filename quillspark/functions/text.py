@@ -5,6 +5,8 @@ White space and letters are Unicode's here, which Java's regular expressions nee
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,8 +22,23 @@ LOW_VALUE_WEB_LINE = r"^(?:ask ai|copy page|search(?:\.\.\.)?(?:\s*[⌘/]?\s*k)?
 FENCED = r"(?s)```[\w.+-]*[^\n]*\n.*?(?:\n```|$)"
 CLOSED_FENCE = r"(?s)```.*?```"
 FENCED_BODY = r"(?s)```[\w.+-]*[^\n]*\n(.*?)(?:\n```|$)"
-#: Letters that lose their mark when terms are compared, and what becomes of them.
-ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+#: Lower-case letters that count as others (long s, final sigma and the like), and these.
+VARIANTS, VARIED = "\u017f\u03c2\u03d0\u03d1\u03d5\u03d6\u03f0\u03f1\u03f5\u1e9b\u1fbe", "s\u03c3\u03b2\u03b8\u03c6\u03c0\u03ba\u03c1\u03b5s\u03b9"
+
+
+def _folding() -> tuple[str, str]:
+    """Letters that change when terms are compared and what becomes of them; marks at the end of the first have no partner and go.
+
+    A Latin letter with one mark loses it, one with several keeps them, as do other scripts' letters; the marks are those of
+    Latin letters, so that decomposed texts are folded alike.
+    """
+    parts = {chr(c): unicodedata.normalize("NFD", chr(c)) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))}
+    single = {c: p[0] for c, p in parts.items() if c.islower() and len(p) == 2 and p[0].isascii()}
+    marks = sorted({m for p in parts.values() if p[0].isascii() for m in p[1:] if unicodedata.combining(m)})
+    return "".join(single) + VARIANTS + "".join(marks), "".join(single.values()) + VARIED
+
+
+ACCENTED, PLAIN = _folding()
 
 LINE_END = r"\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085\u2028\u2029]"
 
@@ -42,7 +59,7 @@ def meaningful(text: Column) -> Column:
 
 
 def terms(text: Column) -> Column:
-    """Index terms: runs of letters and digits, lower-case, without accents."""
+    """Index terms: runs of letters and digits, lower-case, without accents, composed or not."""
     return F.regexp_extract_all(F.translate(F.lower(F.coalesce(text, F.lit(""))), ACCENTED, PLAIN), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 

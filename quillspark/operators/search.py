@@ -56,7 +56,7 @@ def query_terms(query: str) -> list[str]:
 
 def query_phrases(query: str) -> list[list[str]]:
     """The terms of each token: more than one where the token has inner punctuation."""
-    fold = str.maketrans(T.ACCENTED, T.PLAIN)
+    fold = str.maketrans(T.ACCENTED[: len(T.PLAIN)], T.PLAIN, T.ACCENTED[len(T.PLAIN) :])
     return [p for t in query_tokens(query) if (p := re.findall(r"[^\W_]+", t.translate(fold)))]
 
 

@@ -72,6 +72,20 @@ def test_bm25_like_fts5(spark):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
 
 
+def test_terms_like_fts5(spark):
+    texts = ["Zażółć gęślą jaźń, ŁÓDŹ", "Tiếng Việt: đường phố Hà Nội", "Ελληνικά κείμενα ΣΊΣΥΦΟΣ", "cafe\u0301 nai\u0308ve o\u031b", "Ünïcödé ǅ ſ ß ﬁ", "Привет, Ёлка ЙОД", "x_y a1b2 ǽ ǿ ḗ"]
+    texts += ["a" + chr(c) + "b" for c in (*range(0xC0, 0x370), *range(0x1E00, 0x1F00)) if chr(c).isalpha() and chr(c) != "\u0130"]
+    db = sqlite3.connect(":memory:")
+    db.execute("create virtual table f using fts5(c)")
+    db.execute("create virtual table v using fts5vocab(f, instance)")
+    db.executemany("insert into f(rowid, c) values (?, ?)", enumerate(texts))
+    want = {}
+    for term, i, at in db.execute("select term, doc, offset from v order by doc, offset"):
+        want.setdefault(i, []).append(term)
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, t string").select("i", T.terms(F.col("t")).alias("ts")).collect()
+    assert {r.i: r.ts for r in rows} == want
+
+
 def test_search_modes(spark):
     c = spark.createDataFrame([(i, f"s{i % 2}", i // 2, f"word{i} shared text") for i in range(8)], "chunk_id long, source_id string, document_id long, content string")
     v = spark.createDataFrame([(i, f"s{i % 2}", [float(i), 0.0]) for i in range(8)] + [(99, "s0", [1.0])], "chunk_id long, source_id string, embedding array<float>")
