@@ -5,6 +5,8 @@ Tables are Parquet folders partitioned by source_id; a writer replaces or append
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -41,6 +43,15 @@ def write_sources(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
     rows.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("source_id").parquet(path)
 
 
+def kept(rows: DataFrame) -> DataFrame:
+    """The same rows, written once into the folder that all executors share: spark.checkpoint.dir, else the warehouse."""
+    spark = rows.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def counts(documents: DataFrame, chunks: DataFrame) -> DataFrame:
     """source_id, document_count, chunk_count; sources of either table."""
     d = documents.groupBy("source_id").agg(F.count(F.lit(1)).alias("document_count"))

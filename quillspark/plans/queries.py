@@ -657,3 +657,26 @@ def resolve_aliases(spark, sf_dir):
     asked = F.when(which == 1, "nowhere").when(which == 2, F.upper("source")).when(which > 2, F.col("source"))
     placed, problems = resolved(sources, d.select(F.col("doc_id").cast("string").alias("place"), asked.alias("source_id"), F.lit(None).cast("string").alias("source")))
     return placed.filter("key is not null").select(F.lit("placed").alias("problem"), "place", "key").union(problems.select("problem", "place", F.lit(None).cast("string")))
+
+
+#: QUERY without its phrase of two terms.
+WORDS = "where that with by oration where"
+
+
+@query(f"with {BM25.replace("(2, ['of', 'the']), ", "")} select chunk_id, source as source_id, round_even(bm25, 6) as bm25 from (select * from b order by bm25, chunk_id limit 48) join documents on doc_id = chunk_id")
+def block_max_topk(spark, sf_dir):
+    from quillspark.operators import blockmax
+
+    c = chunks(spark, sf_dir)
+    index = S.postings(c.select("chunk_id", "source_id", "content"), S.query_terms(WORDS))
+    blocks = blockmax.blocked(index, K.kept(S.lengths(c.select("chunk_id", "content"))))
+    return blockmax.top(blockmax.Blocks(K.kept(blocks.rows), blocks.chunks), WORDS, 48).select("chunk_id", "source_id", r6("bm25"))
+
+
+@query(f"with {VECTOR} select chunk_id, round_even(distance, 6) as distance, vector_rank::int as vector_rank from vr")
+def cell_knn(spark, sf_dir):
+    from quillspark.operators import cells
+
+    v, q = vectors(spark, sf_dir)
+    own = cells.celled(v)
+    return cells.nearest(cells.Cells(K.kept(own.rows), own.centres, own.radii, own.sizes), q.first().q, 48).select("chunk_id", r6("distance"), "vector_rank")
