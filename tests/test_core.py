@@ -146,6 +146,16 @@ def test_evaluation(spark, tmp_path):
     assert (case.mode, case.limit, case.max_rank) == ("hybrid", 5, 5)
 
 
+def test_passages_of_any_length(spark):
+    texts = ["So the quick brown fox jumps over a lazy dog in the sun today ok", "Nothing to see  here\tat all", "x y z", "", None, "the the THE the", "one two three four five six seven eight nine ten eleven", "\u00c9t\u00e9 en \u00e9t\u00e9"]
+    asked = ["quick brown FOX jumps over a lazy dog in the su", "oth", "ing to", "o", " ", "  ", "see  here", "see here", "the the", "e t", "o see  h", "wn fox jumps ov", "absent word here", "two three four", "ten", "\t", "\u00c9T", "to see", "z", "ight nine ten el", "the quick absent fox"]
+    d = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, content string")
+    c = spark.createDataFrame(list(enumerate(asked)), "case_id long, text string")
+    found = passages_in(d, c)
+    assert sorted((r.case_id, r.chunk_id) for r in found.collect()) == sorted((i, k) for i, a in enumerate(asked) for k, t in enumerate(texts) if t is not None and a.lower() in t.lower())
+    assert "NestedLoop" not in found._jdf.queryExecution().toString()
+
+
 def test_files_and_stream(spark, tmp_path):
     root = tmp_path / "docs"
     for name, text in {"a.md": "---\nt: 1\n---\n# Guide\n\nBody text", "sub/my-page.html": "<nav>x</nav><main><h2>Hi</h2><p>There <a href='/u'>link</a></p></main>", "node_modules/x.md": "no", "img.png": "no", "blank.txt": " \n", "bad.txt": None}.items():
