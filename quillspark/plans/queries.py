@@ -680,3 +680,20 @@ def cell_knn(spark, sf_dir):
     v, q = vectors(spark, sf_dir)
     own = cells.celled(v)
     return cells.nearest(cells.Cells(K.kept(own.rows), own.centres, own.radii, own.sizes), q.first().q, 48).select("chunk_id", r6("distance"), "vector_rank")
+
+
+@query(r"""with t as (select doc_id, string_split_regex(text, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]') as ls from documents where text is not null),
+l as (select doc_id, unnest(case when ls[-1] = '' then ls[:-2] else ls end) as line, unnest(range(case when ls[-1] = '' then len(ls) - 1 else len(ls) end)) as pos from t),
+f as (select *, sum(regexp_matches(line, '^\s*```')::int) over w % 2 = 1 as fenced from l window w as (partition by doc_id order by pos)),
+h as (select *, not fenced and regexp_matches(line, '^#{1,6}\s+.+$') as head from f),
+n as (select *, case when head then length(regexp_extract(line, '^(#{1,6})', 1)) end as level, case when head then trim(regexp_replace(line, '^#{1,6}\s+', '')) end as title,
+      sum(head::int) over w as k, sum((head and pos > 0)::int) over w as section from h window w as (partition by doc_id order by pos)),
+d as (select *, case when head then k + least(0, min(level - k) over w) end as depth from n window w as (partition by doc_id order by pos)),
+p as (select *, case when head then list_transform(range(1, depth::bigint + 1), lambda x: list_filter(list(struct_pack(d := depth, t := title)) over w, lambda y: y.d = x)[-1].t) end as path
+      from d window w as (partition by doc_id order by pos)),
+g as (select doc_id, section::bigint as section, max(path) as path, regexp_replace(string_agg(line, chr(10) order by pos), '^\s+|\s+$', '', 'g') as text from p group by doc_id, section)
+select doc_id, section, coalesce(path, []) as path, text from g where text <> ''""")
+def section_index(spark, sf_dir):
+    from quillspark.operators.chunking import section_rows
+
+    return section_rows(read(spark, sf_dir, "documents"), "doc_id", "text")

@@ -146,6 +146,18 @@ def test_evaluation(spark, tmp_path):
     assert (case.mode, case.limit, case.max_rank) == ("hybrid", 5, 5)
 
 
+def test_section_rows_like_the_column(spark):
+    import random
+
+    rng = random.Random(8)
+    make = lambda: rng.choice(["#" * rng.randrange(1, 8) + " " + rng.choice("ABCDEF"), "text", "", "  ", "```py", "  ```", "#x", "# ", "more text"])
+    texts = [rng.choice(["\n", "\r\n", "\u2028"]).join(make() for _ in range(rng.randrange(0, 40))) + rng.choice(["", "\n"]) for _ in range(300)] + ["", None]
+    d = spark.createDataFrame(list(enumerate(texts)), "i long, t string").repartition(3)
+    want = [(r.i, list(s.path), s.text) for r in d.select("i", C.sections(F.col("t")).alias("ss")).collect() for s in r.ss or []]
+    rows = C.section_rows(d, "i", "t").orderBy("i", "section").collect()
+    assert [(r.i, list(r.path), r.text) for r in rows] == sorted(want, key=lambda x: x[0]) and len(rows) > 400
+
+
 def test_passages_of_any_length(spark):
     texts = ["So the quick brown fox jumps over a lazy dog in the sun today ok", "Nothing to see  here\tat all", "x y z", "", None, "the the THE the", "one two three four five six seven eight nine ten eleven", "\u00c9t\u00e9 en \u00e9t\u00e9"]
     asked = ["quick brown FOX jumps over a lazy dog in the su", "oth", "ing to", "o", " ", "  ", "see  here", "see here", "the the", "e t", "o see  h", "wn fox jumps ov", "absent word here", "two three four", "ten", "\t", "\u00c9T", "to see", "z", "ight nine ten el", "the quick absent fox"]
