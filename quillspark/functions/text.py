@@ -187,6 +187,23 @@ def web_chrome(text: Column) -> Column:
     return F.size(odd) >= 2
 
 
+#: A fixed value that results depend on: words that an extraction has at least.
+SUBSTANTIAL_WORDS = 25
+_MARKDOWN_LINK = r"\[([^\]]*)\]\([^)]*\)"
+
+
+def substantial(text: Column) -> Column:
+    """Whether a text has words enough to be a page's content; false for null."""
+    return F.coalesce(F.regexp_count(text, F.lit(r"(?U)\w+")) >= SUBSTANTIAL_WORDS, F.lit(False))
+
+
+def without_link_blocks(text: Column) -> Column:
+    """Markdown without the blocks, headings apart, of whose characters more than half are the words of links: menus and the like."""
+    words = lambda b: F.char_length(F.array_join(F.regexp_extract_all(b, F.lit(_MARKDOWN_LINK), F.lit(1)), ""))
+    plain = lambda b: F.char_length(F.regexp_replace(b, _MARKDOWN_LINK, "$1"))
+    return F.array_join(F.filter(F.split(text, "\n{2,}"), lambda b: b.startswith("#") | (words(b) * 2 <= plain(b))), "\n\n")
+
+
 def clean_web(text: Column) -> Column:
     """Web text without images, furniture lines and tables of contents (their blanks and bullets, up to a heading)."""
     acc = F.struct(F.lit(False).alias("skip"), F.array().cast("array<string>").alias("out"))

@@ -9,7 +9,8 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from quillspark.functions.text import TOKEN
 
@@ -40,6 +41,17 @@ class Embedder:
         object.__setattr__(self, "batch_size", min(256, max(1, int(self.batch_size))))
 
 
+# A fixed pattern: what counts as a number in a vector written as JSON.
+NUMBER = r"^\s*(?:-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|-?Infinity|NaN|true|false)\s*$"
+
+
+def parsed_vector(text: Column) -> Column:
+    """A JSON list of numbers as array<float>; null for an empty one and for anything else. Truth values count as 1 and 0."""
+    items = F.split(F.regexp_extract(text, r"(?s)^\s*\[(.*)\]\s*$", 1), ",")
+    number = lambda x: F.when(F.trim(x, F.lit(" \t\r\n")).isin("true", "false"), F.trim(x, F.lit(" \t\r\n")).cast("boolean").cast("float")).otherwise(F.trim(x, F.lit(" \t\r\n")).cast("float"))
+    return F.when(F.forall(items, lambda x: x.rlike(NUMBER)), F.transform(items, number))
+
+
 def embedded(rows: DataFrame, column: str, embedder: Embedder | None = None) -> DataFrame:
     """rows with embedding, embedding_provider, embedding_model, embedding_dimensions of a text column; other columns stay."""
     e = embedder or Embedder()

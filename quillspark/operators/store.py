@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -43,11 +43,15 @@ def write_sources(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
     rows.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("source_id").parquet(path)
 
 
-def kept(rows: DataFrame) -> DataFrame:
-    """The same rows, written once into the folder that all executors share: spark.checkpoint.dir, else the warehouse."""
-    spark = rows.sparkSession
+def kept_folder(spark: SparkSession) -> str:
+    """A new folder in the one that all executors share: spark.checkpoint.dir, else the warehouse."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def kept(rows: DataFrame) -> DataFrame:
+    """The same rows, written once into the folder that all executors share."""
+    spark, path = rows.sparkSession, kept_folder(rows.sparkSession)
     rows.write.parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
 

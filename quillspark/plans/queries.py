@@ -697,3 +697,78 @@ def section_index(spark, sf_dir):
     from quillspark.operators.chunking import section_rows
 
     return section_rows(read(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query("""with recursive e as (select distinct 's' || l_suppkey as url, 'p' || l_partkey as link from lineitem), links as (select url, link from e union all select link, url from e),
+b(url, depth) as (select 's1', 0 union select link, depth + 1 from b join links using (url) where depth < 3)
+select url, min(depth)::int as depth from b group by url order by depth, url limit 1500""")
+def bounded_frontier(spark, sf_dir):
+    """The first 1,500 suppliers and parts by steps from the first supplier, as crawls go over pages."""
+    from quillspark.sources.web import frontier
+
+    e = read(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("url"), F.concat(F.lit("p"), "l_partkey").alias("link")).distinct()
+    return frontier(K.kept(e.union(e.select("link", "url"))), "s1", 3, 1500)
+
+
+@query(r"""with a as (select page_id, unnest(list_distinct(regexp_extract_all(html, '(?is)<a\s[^>]*?href\s*=\s*["'']([^"''#>]+)', 1))) as href, url from pages)
+select distinct page_id, url, case when regexp_matches(href, '^(?i:https?)://') then href when href like '/%' then regexp_extract(url, '^(?i:https?)://[^/?#]+') || href
+  else regexp_extract(regexp_replace(url, '[?#].*$', ''), '^.*[^/]/') || href end as link from a""")
+def page_links(spark, sf_dir):
+    from quillspark.sources.web import page_links as links
+
+    pages = read(spark, sf_dir, "pages")
+    return pages.select("page_id", "url").join(links(pages), "url").distinct().select("page_id", "url", "link")
+
+
+_BLOCKS = [("(?is)<(script|style|nav|footer)\\b.*?</(script|style|nav|footer)>", ""), ("(?is)</?(p|div|h[1-6]|ul|li|article|body)\\b[^>]*>", "\n\n"), ("(?is)<a [^>]*?href=\"([^\"]*)\"[^>]*>(.*?)</a>", None), ("(?s)<[^>]+>", " "), ("[ \\t]+", " "), (" ?\n ?", "\n"), ("\n{2,}", "\n\n")]
+_FRAME = "On this page\nCopy page\n\n"
+
+
+def _sql_blocks(html: str, menus: bool) -> str:
+    for a, b in _BLOCKS:
+        a = a.replace("|nav", "") if menus else a
+        html = f"regexp_replace({html}, '{a}', '{'[\\2](\\1)' if b is None else b}', 'g')"
+    return f"trim({html}, ' \n')"
+
+
+def _blocks(html, menus: bool):
+    for a, b in _BLOCKS:
+        html = F.regexp_replace(html, a.replace("|nav", "") if menus else a, "[$2]($1)" if b is None else b)
+    return F.trim(html, F.lit(" \n"))
+
+
+@query(rf"""with c as (select page_id, {_sql_blocks("regexp_extract(html, '(?is)<article>.*?</article>')", False)} as article, {_sql_blocks("html", False)} as body, {_sql_blocks("html", True)} as whole from pages),
+t as (select page_id, case when page_id % 3 = 0 then null when page_id % 4 = 0 and article <> '' then '{_FRAME}' || article else article end as fit, case when page_id % 5 = 0 then '' when page_id % 2 = 0 then '{_FRAME}' || body else body end as cited,
+  case when page_id % 9 > 0 then body end as raw, list_filter(string_split_regex(whole, '\n{{2,}}'), lambda b: starts_with(b, '#') or length(array_to_string(regexp_extract_all(b, '\[([^\]]*)\]\([^)]*\)', 1), '')) * 2 <= length(regexp_replace(b, '\[([^\]]*)\]\([^)]*\)', '\1', 'g'))) as own, whole from c),
+f as (select page_id, case when coalesce(fit, '') <> '' then 'fit' when coalesce(cited, '') <> '' then 'cited' when coalesce(raw, '') <> '' then 'raw' end as which, coalesce(nullif(fit, ''), nullif(cited, ''), nullif(raw, '')) as first, array_to_string(own, chr(10) || chr(10)) as own, whole from t),
+h as (select *, first is null or len(list_filter(string_split(first, chr(10)), lambda l: lower(trim(l)) in ('contents', 'on this page', 'table of contents', 'copy page', 'ask ai', 'search'))) >= 2 as needed,
+  nullif(case when len(regexp_extract_all(own, '[\p{{L}}\p{{M}}\p{{N}}_]+')) >= 25 then own else whole end, '') as x from f)
+select page_id, case when needed and x is not null then 'html' else coalesce(which, 'none') end as choice, sha256(coalesce(case when needed then x end, first, '')) as content_sha256 from h""")
+def extraction_choice(spark, sf_dir):
+    """Candidates made of each page's whole html by patterns that SQL has too; the parser is tested apart."""
+    from quillspark.sources.web import chosen
+
+    n, html = F.col("page_id"), F.col("html")
+    article, body = _blocks(F.regexp_extract(html, "(?is)<article>.*?</article>", 0), False), _blocks(html, False)
+    framed = lambda c: F.concat(F.lit(_FRAME), c)
+    d = read(spark, sf_dir, "pages").select("page_id", "html", article.alias("article"), body.alias("body"))
+    fit = F.when(n % 3 == 0, None).when((n % 4 == 0) & (F.col("article") != ""), framed(F.col("article"))).otherwise(F.col("article"))
+    cited = F.when(n % 5 == 0, "").when(n % 2 == 0, framed(F.col("body"))).otherwise(F.col("body"))
+    d = d.withColumns({"fit": fit, "cited": cited, "raw": F.when(n % 9 > 0, F.col("body"))})
+    return chosen(d, lambda h: _blocks(h, True)).select("page_id", "choice", F.sha2("content", 256).alias("content_sha256"))
+
+
+_JSON_VECTOR = "case vec_id % 7 when 1 then '[]' when 2 then '{\"a\": 1}' when 3 then replace(t, ',', ', \"x\",') when 4 then ' [ 1e2, true ,-0.5] ' || chr(10) when 5 then '[1,,2]' else t end"
+
+
+@query(f"""with e as (select vec_id, '[' || array_to_string(list_transform(embedding, lambda x: floor(x::double * 1024)::bigint), ',') || ']' as t from embeddings), j as (select vec_id, {_JSON_VECTOR} as t from e),
+p as (select vec_id, case when regexp_matches(t, '^\\s*\\[') then list_transform(string_split(regexp_extract(t, '\\[(.*)\\]', 1), ','), lambda x: trim(x)) end as ts from j),
+v as (select vec_id, case when len(list_filter(ts, lambda x: not regexp_full_match(x, '-?[0-9.]+(e[0-9]+)?|true|false'))) = 0 then list_transform(ts, lambda x: case x when 'true' then 1 when 'false' then 0 else x::float end) end as v from p)
+select vec_id, len(v)::int as dimensions, list_sum(list_transform(v, lambda x: x::double)) as total from v""")
+def parse_vector(spark, sf_dir):
+    from quillspark.operators.embedding import parsed_vector
+
+    ints = F.array_join(F.transform("embedding", lambda x: F.floor(x.cast("double") * 1024).cast("string")), ",")
+    j = read(spark, sf_dir, "embeddings").select("vec_id", F.concat(F.lit("["), ints, F.lit("]")).alias("t")).select("vec_id", F.expr(_JSON_VECTOR).alias("t"))
+    v = j.select("vec_id", parsed_vector(F.col("t")).alias("v"))
+    return v.select("vec_id", F.when(F.col("v").isNotNull(), F.size("v")).alias("dimensions"), F.aggregate("v", F.lit(0.0), lambda a, x: a + x).alias("total"))
