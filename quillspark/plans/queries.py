@@ -699,15 +699,19 @@ def section_index(spark, sf_dir):
     return section_rows(read(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-@query("""with recursive e as (select distinct 's' || l_suppkey as url, 'p' || l_partkey as link from lineitem), links as (select url, link from e union all select link, url from e),
-b(url, depth) as (select 's1', 0 union select link, depth + 1 from b join links using (url) where depth < 3)
-select url, min(depth)::int as depth from b group by url order by depth, url limit 1500""")
+@query(r"""with recursive a as (select url, unnest(list_distinct(regexp_extract_all(html, '(?is)<a\s[^>]*?href\s*=\s*["'']([^"''#>]+)', 1))) as href from pages),
+e as (select distinct url, href as link from a where href like '/%'), links as (select url, link from e union all select link, url from e),
+b(url, depth) as (select min(url), 0 from e union select link, depth + 1 from b join links using (url) where depth < 6)
+select url, min(depth)::int as depth from b group by url order by depth, url limit 3000""")
 def bounded_frontier(spark, sf_dir):
-    """The first 1,500 suppliers and parts by steps from the first supplier, as crawls go over pages."""
-    from quillspark.sources.web import frontier
-
-    e = read(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("url"), F.concat(F.lit("p"), "l_partkey").alias("link")).distinct()
-    return frontier(K.kept(e.union(e.select("link", "url"))), "s1", 3, 1500)
+    """The first 3,000 by steps from the first page, over what pages link to and back to all pages that link to the same."""
+    from quillspark.sources.web import frontier, page_links
+
+    site = r"^(?i:https?)://[^/?#]+"
+    linked = page_links(read(spark, sf_dir, "pages")).filter(F.regexp_extract("url", site, 0) == F.regexp_extract("link", site, 0))
+    e = K.kept(linked.select("url", F.regexp_replace("link", site, "").alias("link")).filter(F.col("link").startswith("/")).distinct())
+    start = e.agg(F.min("url")).first()[0]
+    return frontier(e.union(e.select("link", "url")), start, 6, 3000)
 
 
 @query(r"""with a as (select page_id, unnest(list_distinct(regexp_extract_all(html, '(?is)<a\s[^>]*?href\s*=\s*["'']([^"''#>]+)', 1))) as href, url from pages)
