@@ -78,8 +78,11 @@ def in_scope(url: Column, start: str, scope: str = "host") -> Column:
     return F.coalesce(own(url) == own(F.lit(start)), F.lit(False))
 
 
-def page_links(pages: DataFrame) -> DataFrame:
-    """url, link: the distinct targets of a page's anchors as absolute http URLs without fragments, as far as they are written in its html."""
+def page_links(pages: DataFrame, *also: str) -> DataFrame:
+    """url, link: the distinct targets of a page's anchors as absolute http URLs without fragments, as far as they are written in its html.
+
+    also: columns that stay with the links, such as a page's id: several pages may have one URL, each with links of its own.
+    """
     url, href = F.col("url"), F.col("_href")
     site = F.regexp_extract(url, r"^(?i:https?)://[^/?#]+", 0)
     folder = F.regexp_replace(F.regexp_replace(url, r"[?#].*$", ""), r"(?<=[^/]/)(?!/)[^/]*$", "")
@@ -91,8 +94,8 @@ def page_links(pages: DataFrame) -> DataFrame:
         .when(~href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.concat(F.when(folder == site, F.concat(site, F.lit("/"))).otherwise(folder), F.regexp_replace(href, r"^(\./)+", "")))
     )
     hrefs = F.regexp_extract_all("html", F.lit(r"(?is)<a\s[^>]*?href\s*=\s*[\"']([^\"'#>]+)"), F.lit(1))
-    rows = pages.filter(site != "").select("url", F.explode(F.array_distinct(hrefs)).alias("_href")).withColumn("_href", F.trim(F.replace(href, F.lit("&amp;"), F.lit("&"))))
-    return rows.filter(href != "").select("url", link.alias("link")).filter(F.col("link").isNotNull()).distinct()
+    rows = pages.filter(site != "").select(*also, "url", F.explode(F.array_distinct(hrefs)).alias("_href")).withColumn("_href", F.trim(F.replace(href, F.lit("&amp;"), F.lit("&"))))
+    return rows.filter(href != "").select(*also, "url", link.alias("link")).filter(F.col("link").isNotNull()).distinct()
 
 
 def frontier(links: DataFrame, start: str, max_depth: int, max_pages: int) -> DataFrame:

@@ -101,3 +101,13 @@ def test_vectors_from_json(spark):
         want = plain(t)
         assert (out[i] is None) == (want is None), t
         assert want is None or all(math.isclose(a, b, rel_tol=1e-6) or (a != a and b != b) for a, b in zip(out[i], want, strict=True)), t
+
+
+def test_links_stay_with_their_page(spark, tmp_path):
+    """Two captures of one URL have links of their own."""
+    from quillspark.plans.queries import QUERIES
+
+    pages = [(1, "https://h.org/d", "<a href='/x'>1</a>"), (2, "https://h.org/d", "<a href='/y'>2</a><a href='/y'>2</a>"), (3, "https://h.org/e", "none")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    rows = sorted(tuple(r) for r in QUERIES["page_links"](spark, str(tmp_path)).collect())
+    assert rows == [(1, "https://h.org/d", "https://h.org/x"), (2, "https://h.org/d", "https://h.org/y")]
