@@ -11,11 +11,12 @@ rotation a pass would move a key for every byte of text.
 2. The windows in a row that share an anchor are a run. A run that stands in an earlier document too is done: all its
    windows go. Of each run the earliest goes deeper, if its digit has runs of another kind.
 3. Depth 37: each half of a run is known by the bytes that all its windows share; halves in one document drop out.
-4. Depth 50: what is left of the runs' windows is grouped by the windows themselves.
+4. Depth 50: what is left of the runs' windows is grouped by the windows themselves. Stretches of windows go as text, which is
+   shorter than a hash for each window, to the group of the core that all their windows share.
 
 Passes 1 and 3 only thin out: their keys are hashes, and what they find comes back to the texts as a bitmap of at most
 MAX_BITS bits, sized by the number of keys. Beyond that it fills up, lets more through, and loses nothing. Passes 2 and 4 decide, by
-128-bit hashes. Keys are dealt to BUCKETS_A_PARTITION groups for each shuffle partition, so groups grow with the data
+128-bit hashes (of a run: 32 bits of its digit, by which runs are dealt, and 96 of its bytes). Keys are dealt to BUCKETS_A_PARTITION groups for each shuffle partition, so groups grow with the data
 only as far as the partitions set do; a task sends a key once however often it has it (for its earliest document), so a
 hot passage costs a row a task. Matches never cross documents, overlaps count, and what is judged is the input.
 
@@ -266,10 +267,10 @@ def _has(map_: bytes, key: np.ndarray) -> np.ndarray:
 _GONE = "d long, t long, s int, n int"
 
 
-def _repeats(docs: DataFrame, rows_of: Callable[[Texts, np.ndarray, np.ndarray], list[np.ndarray]], buckets: int, kinds: bool = False) -> DataFrame:
-    """d, t, s, n: n windows from s on that an earlier document has too; rows_of: two keys, d, t, s, n (and a digit) of stretches
-    of windows, equal by both keys. With kinds also q, w: the digit of each kind of stretch, and who of its earliest document."""
-    types = ["<u8", "<u8", "<i8", "<u4", "<i4", "u1", *["<u8"] * kinds]
+def _repeated_runs(docs: DataFrame, rows_of: Callable[[Texts, np.ndarray, np.ndarray], list[np.ndarray]], buckets: int) -> DataFrame:
+    """d, t, s, n: runs of n windows from s on that an earlier document has too; and w: who of the earliest of each run whose digit has
+    runs of another kind. rows_of: two keys, d, t, s, n of runs, equal by both keys; the second begins with the digit."""
+    types = ["<u8", "<u8", "<i8", "<u4", "<i4", "u1"]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols in _held(batches, rows_of):
@@ -279,27 +280,101 @@ def _repeats(docs: DataFrame, rows_of: Callable[[Texts, np.ndarray, np.ndarray],
             # What goes for an earlier document of this task needs no company: it passes through, in buckets of its own.
             for at, sign in ((np.sort(away), -1), (stay, 1)):
                 if len(at):
-                    k = cols[0][at] % np.uint64(buckets) if sign > 0 else cols[2][at].astype(np.uint64) % np.uint64(buckets)
-                    yield _blobs((k.astype(np.int64) + (sign < 0)) * sign, [(c[at] if sign > 0 or 2 <= j <= 5 else np.zeros(len(at), c.dtype)).astype(x) for j, (c, x) in enumerate(zip(cols, types, strict=True))])
+                    k = (cols[1][at] >> _32) % np.uint64(buckets) if sign > 0 else cols[2][at].astype(np.uint64) % np.uint64(buckets)
+                    yield _blobs((k.astype(np.int64) + (sign < 0)) * sign, [(c[at] if sign > 0 or j > 1 else np.zeros(len(at), c.dtype)).astype(x) for j, (c, x) in enumerate(zip(cols, types, strict=True))])
 
     def meet(group: pa.Table) -> pa.Table:
         cols = [_column(group, i, x) for i, x in enumerate(types)]
         if group.column("bucket")[0].as_py() < 0:
-            away, known = np.arange(len(cols[0])), None
-        else:
+            away, w = np.arange(len(cols[0])), np.zeros(0, np.int64)
+        else:  # all runs of a digit are here
             order, new, least = _grouped(cols[:2], cols[2])
-            away, known = order[cols[2][order] != least], (order, new, least)
+            away, first = order[cols[2][order] != least], np.flatnonzero(new)
+            kind = order[first]
+            _, digit, kinds = np.unique(cols[1][kind] >> _32, return_inverse=True, return_counts=True)
+            several = kinds[digit] > 1
+            w = who(cols[0][kind[several]], least[first[several]]).astype(np.int64)
         out = {c: pa.array(cols[j][away].astype(x)) for c, j, x in (("d", 2, np.int64), ("t", 3, np.int64), ("s", 4, np.int32), ("n", 5, np.int32))}
-        if kinds:
-            first = np.flatnonzero(known[1]) if known else np.zeros(0, np.int64)
-            q = cols[6][known[0][first]].astype(np.int64) if known else first
-            w = who(cols[0][known[0][first]], known[2][first]).astype(np.int64) if known else first
-            blank = lambda n, kind: pa.nulls(n, kind)
-            out = {c: pa.concat_arrays([x, blank(len(first), x.type)]) for c, x in out.items()} | {c: pa.concat_arrays([blank(len(away), pa.int64()), pa.array(x)]) for c, x in (("q", q), ("w", w))}
-        return pa.table(out)
+        out = {c: pa.concat_arrays([x, pa.nulls(len(w), x.type)]) for c, x in out.items()}
+        return pa.table(out | {"w": pa.concat_arrays([pa.nulls(len(away), pa.int64()), pa.array(w)])})
 
     sent = docs.select("d", "t", "text").mapInArrow(send, "bucket int, " + ", ".join(f"c{i} binary" for i in range(len(types))))
-    return sent.groupBy("bucket").applyInArrow(meet, _GONE + ", q long, w long" * kinds)
+    return sent.groupBy("bucket").applyInArrow(meet, _GONE + ", w long")
+
+
+def _spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The n places from each first on, one behind the other."""
+    return np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
+def _unlike(k: np.ndarray, gone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where windows in a row change their stretch k or whether they are gone, and how many there are from each such place on."""
+    new = np.ones(len(k), bool)
+    new[1:] = (k[1:] != k[:-1]) | (gone[1:] != gone[:-1])
+    at = np.flatnonzero(new)
+    return at, np.diff(np.append(at, len(k)))
+
+
+def _repeated_windows(docs: DataFrame, left: Callable[[Texts, np.ndarray], tuple[np.ndarray, ...]], buckets: int) -> DataFrame:
+    """d, t, s, n: n windows from s on that an earlier document has too, of the stretches (document, first, end, anchor) that left gives.
+
+    Windows in a row share most of their bytes: what is sent is a stretch's text, not a hash for each window. Equal windows have
+    equal cores, by which stretches are dealt.
+    """
+    step, types = WINDOW - DEPTHS[-1] + 1, ["<i8", "<u4", "<i4", "u1"]
+
+    def rows(texts: Texts, d: np.ndarray, t: np.ndarray) -> list[np.ndarray]:
+        """Of windows: two hashes and d; of stretches: key, d, t, s, n; the stretches' bytes."""
+        i, s, e, at = left(texts, d)
+        n = e - s
+        w = _spread(s, n)
+        key = string_hash(texts.data, at - (at - s) // step * step, DEPTHS[-1], 7)
+        return [string_hash(texts.data, w, WINDOW, 1), string_hash(texts.data, w, WINDOW, 2), np.repeat(d[i], n), key, d[i], t[i], (s - texts.starts[i]).astype(np.int32), n, texts.data[_spread(s, n + WINDOW - 1)]]
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tight = zstandard.ZstdCompressor(3)
+        for h1, h2, wd, key, d, t, s, n, data in _held(batches, rows):
+            order, _, least = _grouped([h1, h2], wd)
+            gone = np.zeros(len(wd), bool)
+            gone[order[wd[order] != least]] = True
+            k = np.repeat(np.arange(len(n)), n)
+            at, size = _unlike(k, gone)
+            k, away = k[at], gone[at]
+            off = at - (np.cumsum(n) - n)[k]  # windows of the stretch before
+            begin = (np.cumsum(n + WINDOW - 1) - (n + WINDOW - 1))[k] + off
+            cols = [d[k], t[k], s[k] + off.astype(np.int32), size]
+            for own, sign in ((np.flatnonzero(away), -1), (np.flatnonzero(~away), 1)):
+                if not len(own):
+                    continue
+                deal = (d[k[own]].astype(np.uint64) if sign < 0 else key[k[own]]) % np.uint64(buckets)
+                bucket = (deal.astype(np.int64) + (sign < 0)) * sign
+                rows_ = _blobs(bucket, [c[own].astype(x) for c, x in zip(cols, types, strict=True)])
+                own = own[np.argsort(bucket, kind="stable")]  # as _blobs has them
+                texts = []
+                ends = np.cumsum(np.unique(bucket, return_counts=True)[1]) if sign > 0 else np.zeros(0, np.int64)
+                for lo, hi in zip(np.append(0, ends[:-1]), ends, strict=False):
+                    texts.append(tight.compress(data[_spread(begin[own[lo:hi]], size[own[lo:hi]] + WINDOW - 1)].tobytes()))
+                yield rows_.append_column("z", pa.array(texts, pa.binary()) if sign > 0 else pa.nulls(rows_.num_rows, pa.binary()))
+
+    def meet(group: pa.Table) -> pa.Table:
+        d, t, s, n = (_column(group, i, x) for i, x in enumerate(types))
+        n = n.astype(np.int64)
+        if group.column("bucket")[0].as_py() >= 0:
+            loose = zstandard.ZstdDecompressor()
+            data = np.frombuffer(b"".join([*(loose.decompress(z) for z in group.column("z").to_pylist()), bytes(_PAD)]), np.uint8)
+            size = n + WINDOW - 1
+            w, k = _spread(np.cumsum(size) - size, n), np.repeat(np.arange(len(n)), n)
+            order, _, least = _grouped([string_hash(data, w, WINDOW, 1), string_hash(data, w, WINDOW, 2)], d[k])
+            gone = np.zeros(len(w), bool)
+            gone[order[d[k][order] != least]] = True
+            at, many = _unlike(k, gone)
+            at, many = at[gone[at]], many[gone[at]]
+            k = k[at]
+            d, t, s, n = d[k], t[k], s[k] + at - (np.cumsum(n) - n)[k], many
+        return pa.table({"d": pa.array(d), "t": pa.array(t.astype(np.int64)), "s": pa.array(s.astype(np.int32)), "n": pa.array(n.astype(np.int32))})
+
+    sent = docs.select("d", "t", "text").mapInArrow(send, "bucket int, " + ", ".join(f"c{i} binary" for i in range(len(types))) + ", z binary")
+    return sent.groupBy("bucket").applyInArrow(meet, _GONE)
 
 
 def who(key: np.ndarray, d: np.ndarray) -> np.ndarray:
@@ -338,12 +413,10 @@ def repeated_windows(docs: DataFrame, buckets: int) -> DataFrame:
 
     def whole(texts: Texts, d: np.ndarray, t: np.ndarray) -> list[np.ndarray]:
         i, s, e, q, c1, c2 = likely(texts)
-        return [c1, c2, d[i], t[i], (s - texts.starts[i]).astype(np.int32), (e - s).astype(np.uint8), q]
+        return [c1, q >> _32 << _32 | c2 >> _32, d[i], t[i], (s - texts.starts[i]).astype(np.int32), (e - s).astype(np.uint8)]
 
-    second = written(_repeats(docs, whole, buckets, kinds=True))
-    kinds = second.filter(F.col("q").isNotNull()).select("q", "w")
-    several = kinds.groupBy("q").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("q")
-    deeper = _sized(written(kinds.join(several, "q").select(F.shiftrightunsigned("w", 24).alias("h"))))
+    second = written(_repeated_runs(docs, whole, buckets))
+    deeper = _sized(second.filter(F.col("w").isNotNull()).select(F.shiftrightunsigned("w", 24).alias("h")))
 
     def left(texts: Texts, d: np.ndarray, levels: int) -> tuple[np.ndarray, ...]:
         """What is left of the runs after so many levels: document, first, end of stretches, anchor."""
@@ -365,14 +438,8 @@ def repeated_windows(docs: DataFrame, buckets: int) -> DataFrame:
 
         maps.append(_shared_keys(docs, deeper_keys, buckets))
 
-    def windows(texts: Texts, d: np.ndarray, t: np.ndarray) -> list[np.ndarray]:
-        i, s, e, _ = left(texts, d, len(DEPTHS) - 1)
-        n = e - s
-        at = np.repeat(s, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        i = np.repeat(i, n)
-        return [string_hash(texts.data, at, WINDOW, 1), string_hash(texts.data, at, WINDOW, 2), d[i], t[i], (at - texts.starts[i]).astype(np.int32), np.ones(len(at), np.uint8)]
-
-    return second.filter(F.col("d").isNotNull()).select("d", "t", "s", "n").union(_repeats(docs, windows, buckets))
+    fourth = _repeated_windows(docs, lambda texts, d: left(texts, d, len(DEPTHS) - 1), buckets)
+    return second.filter(F.col("d").isNotNull()).select("d", "t", "s", "n").union(fourth)
 
 
 def remove_repeats(docs: DataFrame, buckets: int | None = None) -> DataFrame:

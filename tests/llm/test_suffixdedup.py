@@ -31,3 +31,17 @@ def test_like_brute_force(spark):
 
 def test_empty(spark):
     assert suffixdedup.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_windows_in_a_row_are_one_row(spark, monkeypatch):
+    """Pass 4 sends and returns stretches, not windows, also where the bitmaps are full."""
+    monkeypatch.setattr(suffixdedup, "MAX_BITS", 1 << 15)
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    passages = [" ".join(word() for _ in range(12)) for _ in range(20)]
+    rows = [(i, f"{word()} {passages[i % 20]} {word()} {passages[(i * 7 + i // 20) % 20]} {word()}") for i in range(80)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    found = suffixdedup.repeated_windows(suffixdedup._documents(d), 8).collect()
+    windows = [(r.d, k) for r in found for k in range(r.s, r.s + r.n)]
+    assert len(set(windows)) > 2000 and len(windows) > 5 * len(found)
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixdedup.remove_repeats(d, buckets=8).collect()) == brute(rows)
