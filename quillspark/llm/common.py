@@ -39,14 +39,19 @@ def in_small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def written(df: DataFrame) -> DataFrame:
+#: Parquet's writer looks at sizes after 100 rows only; where rows have megabytes, it is to look at each.
+LARGE_ROWS = {"parquet.block.size": str(16 << 20), "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "1", "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"}
+
+
+def written(df: DataFrame, large_rows: bool = False) -> DataFrame:
     """Writes a frame as Parquet into the shared folder and reads it again.
 
-    This cuts the lineage, and a lost executor costs no recomputation, since the files are in the store.
+    This cuts the lineage, and a lost executor costs no recomputation, since the files are in the store. large_rows: row groups of some
+    16 MB, which is what a task holds in memory, whatever the number of rows in its file.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(**(LARGE_ROWS if large_rows else {})).option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -276,7 +276,7 @@ def _unique(rows: DataFrame) -> bool:
 def frequent_phrases(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Words (lang, word, n, h), phrases (key: the words' hashes, n) of two to DEPTH words, both of `least` occurrences at least,
     and the number of word occurrences of each language (lang, n)."""
-    shards = written(shards_of(in_small_batches(docs), SHARD_WORDS))
+    shards = written(shards_of(in_small_batches(docs), SHARD_WORDS), large_rows=True)
     counted = written(_word_counts(shards).groupBy("lang", "word").agg(F.sum("n").alias("n")))
     often = counted.filter(F.col("n") >= least)
     many = lambda rows: rows.filter(F.col("n") >= least)

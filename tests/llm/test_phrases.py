@@ -73,3 +73,27 @@ def test_index_extends_both_ways():
             of, symbol, state = index.extend(state, side)
             found = [(int(c), *found[o]) if side == 0 else (*found[o], int(c)) for o, c in zip(of, symbol, strict=True)]
             assert dict(zip(found, state[2].tolist(), strict=True)) == dict(grams[k + 1])
+
+
+def test_shards_lie_in_small_row_groups(spark, monkeypatch):
+    """A task holds a row group of shards in memory, not all shards of a file."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from quillspark.llm import common, phrases
+
+    monkeypatch.setattr(phrases, "SHARD_WORDS", 2000)
+    monkeypatch.setitem(common.LARGE_ROWS, "parquet.block.size", "40000")
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(glob.glob(f"{folder}/*"))
+    docs = spark.createDataFrame([("x", " ".join(f"w{(i * k) % 997}" for k in range(400))) for i in range(100)], "lang string, text string").coalesce(1)
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(rows)
+    spark.conf.set(rows, "5")
+    phrases.frequent_phrases(docs)
+    spark.conf.set(rows, usual)
+    files = [pq.ParquetFile(f) for d in set(glob.glob(f"{folder}/*")) - before for f in glob.glob(f"{d}/*.parquet")]
+    shards = [f.metadata for f in files if "bwt" in f.schema.names]
+    assert sum(m.num_rows for m in shards) >= 15
+    assert max(m.row_group(i).num_rows for m in shards for i in range(m.num_row_groups)) <= 5
