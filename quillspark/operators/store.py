@@ -5,6 +5,7 @@ Tables are Parquet folders partitioned by source_id; a writer replaces or append
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,6 +50,21 @@ def kept_folder(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+#: Rows and bytes of whole texts that go to a Python worker, or come from it, at once.
+ARROW_ROWS, ARROW_BYTES = 500, 4 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """The same frame; its session's Arrow batches are bounded from here on, whatever its texts' lengths."""
+    conf = df.sparkSession.conf
+    for name, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = int(re.match(r"-?\d+", conf.get(key))[0])
+        if not 0 < now <= most:
+            conf.set(key, str(most))
+    return df
+
+
 def kept(rows: DataFrame) -> DataFrame:
     """The same rows, written once into the folder that all executors share."""
     spark, path = rows.sparkSession, kept_folder(rows.sparkSession)

@@ -200,3 +200,16 @@ def test_registry():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 50
+
+
+def test_parent_context_bounds_its_batches(spark):
+    """Whole texts go to a worker in few rows at a time, whatever the session allows."""
+    from quillspark.operators.chunking import with_parent_context
+
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(rows)
+    spark.conf.set(rows, "10000")
+    d = spark.createDataFrame([(i, f"parent {i}", "parent") for i in range(3)], "id long, p string, c string")
+    assert sorted(tuple(r) for r in with_parent_context(d, "p", "c", "x").collect()) == [(i, f"parent {i}") for i in range(3)]
+    assert int(spark.conf.get(rows)) <= 1000
+    spark.conf.set(rows, usual)
