@@ -205,18 +205,22 @@ def without_link_blocks(text: Column) -> Column:
 
 
 def clean_web(text: Column) -> Column:
-    """Web text without images, furniture lines and tables of contents (their blanks and bullets, up to a heading)."""
-    acc = F.struct(F.lit(False).alias("skip"), F.array().cast("array<string>").alias("out"))
-
-    def step(a: Column, raw: Column) -> Column:
-        line = F.regexp_replace(F.regexp_replace(raw, r"!\[[^\]]*\]\([^)]+\)", ""), r"(?U)\s+$", "")
-        plain = markdown_line(line)
-        toc, head = plain.isin(TOC_HEADINGS), line.startswith("#")
-        drop = a["skip"] & ~head & ((strip(line) == "") | line.rlike(r"(?U)^\s*[-*]\s+"))
-        keep = ~(toc | drop | low_value_web_line(plain))
-        return F.struct((toc | (a["skip"] & ~head)).alias("skip"), F.when(keep, F.array_append(a["out"], line)).otherwise(a["out"]).alias("out"))
-
-    return compact(F.array_join(F.aggregate(lines(text), acc, step)["out"], "\n"))
+    """Web text without images, furniture lines and tables of contents (their blanks and bullets, up to a heading).
+
+    Each line is looked at once and gets a letter; letters in a row, in place of a fold, tell what a table of contents takes.
+    """
+    entry = lambda line: (strip(line) == "") | line.rlike(r"(?U)^\s*[-*]\s+")
+
+    def letter(line: Column, plain: Column) -> Column:
+        head = F.when(low_value_web_line(plain), F.when(line.startswith("#"), "D").otherwise("L")).when(line.startswith("#"), "H")
+        return F.when(plain.isin(TOC_HEADINGS), "T").otherwise(head.when(entry(line), "B").otherwise("O"))
+
+    bare = F.transform(lines(text), lambda raw: F.regexp_replace(F.regexp_replace(raw, r"!\[[^\]]*\]\([^)]+\)", ""), r"(?U)\s+$", ""))
+    # Behind a table's heading (T) entries (B) go up to the next heading (H, or D, which goes itself) or table.
+    coded = lambda seen: F.split(F.regexp_replace(F.array_join(F.transform(seen, lambda x: x["kind"]), ""), r"(T[^HDTB]*|\G(?!\A)[^HDTB]*)B", "$1X"), "")
+    known = F.transform(bare, lambda line: F.struct(line.alias("line"), let(markdown_line(line), lambda plain: letter(line, plain)).alias("kind")))
+    left = let(known, lambda seen: let(coded(seen), lambda k: F.filter(seen, lambda x, i: F.get(k, i).isin("H", "B", "O"))))
+    return compact(F.array_join(F.transform(left, lambda x: x["line"]), "\n"))
 
 
 def without_front_matter(text: Column) -> Column:

@@ -213,3 +213,10 @@ def test_parent_context_bounds_its_batches(spark):
     assert sorted(tuple(r) for r in with_parent_context(d, "p", "c", "x").collect()) == [(i, f"parent {i}") for i in range(3)]
     assert int(spark.conf.get(rows)) <= 1000
     spark.conf.set(rows, usual)
+
+
+def test_clean_web_without_a_fold(spark):
+    lines = ["# Contents", "- a", "", "* b", "Search", "- c", "text", "- d", "## Search", "- e", "On this page", "- f", "Table of contents", " - g", "# Head ![i](u)", "- h", "", "Copy page", "end"]
+    d = spark.createDataFrame([(1, "\n".join(lines)), (2, None), (3, ""), (4, "- a\n- b")], "i int, t string").select("i", T.clean_web(F.col("t")).alias("c"))
+    assert {r.i: r.c for r in d.collect()} == {1: "text\n- e\n# Head\n- h\n\nend", 2: None, 3: "", 4: "- a\n- b"}
+    assert "array_append" not in d._jdf.queryExecution().optimizedPlan().toString()
