@@ -106,11 +106,16 @@ def _cut(text: Column, head: Column, limit: int) -> Column:
     return F.when(F.char_length(text) <= limit, text).otherwise(F.concat(F.regexp_replace(head.substr(F.lit(1), at.cast("int")), r"[ .]+$", ""), F.lit(".")))
 
 
+def may_hit(text: Column, wanted: Column) -> Column:
+    """False only if no token of a text is wanted: tokens are ASCII letters in lower case, and parts of the text."""
+    return let(F.lower(text), lambda low: F.exists(wanted, lambda w: F.contains(low, w)))
+
+
 def rank_score(candidate: Column, wanted: Column) -> Column:
     """Hits of wanted terms, one more for a sign of code, 0.55 of that for a heading."""
 
     def of(plain: Column) -> Column:
-        hits = F.size(F.array_intersect(tokens(plain), wanted)) + has_any(plain, RANK_MARKERS).cast("int")
+        hits = F.when(may_hit(plain, wanted), F.size(F.array_intersect(tokens(plain), wanted))).otherwise(0) + has_any(plain, RANK_MARKERS).cast("int")
         return F.when(plain == "", F.lit(0.0)).otherwise(hits * F.when(plain.startswith("#"), F.lit(0.55)).otherwise(F.lit(1.0)))
 
     return let(collapse(candidate), of)
@@ -135,11 +140,13 @@ def excerpt(content: Column, wanted: Column) -> Column:
         return let(F.filter(F.filter(F.transform(let(block, lines), strip), lambda x: x != ""), lambda x: ~let(x, low_value_line)), of_lines)
 
     def of_lines(useful: Column) -> Column:
-        window = lambda x, i: F.when(F.arrays_overlap(tokens(collapse(x)), wanted), F.array_join(_until_heading(F.slice(useful, i + 1, 3)), "\n"))
+        window = lambda x, i: F.when(may_hit(x, wanted) & F.arrays_overlap(tokens(collapse(x)), wanted), F.array_join(_until_heading(F.slice(useful, i + 1, 3)), "\n"))
         found = F.filter(F.transform(useful, window), lambda x: x.isNotNull())
         return F.when(F.size(useful) > 0, F.concat(found, F.array(F.array_join(useful, "\n")))).otherwise(F.array().cast("array<string>"))
 
-    blocks = F.filter(F.transform(F.split(without_fences(content), r"\n{2,}"), strip), lambda x: x != "")
+    # A block without a wanted term or a sign of code has nothing that scores; blanks around signs may be line ends in it.
+    may_score = lambda b: may_hit(b, wanted) | has_any(b, [m.strip() for m in RANK_MARKERS])
+    blocks = F.filter(F.transform(F.filter(F.split(without_fences(content), r"\n{2,}"), may_score), strip), lambda x: x != "")
     return F.coalesce(cut_sentence(collapse(best(F.flatten(F.transform(blocks, of_block)), wanted)), 900), F.lit(""))
 
 

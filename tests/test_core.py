@@ -215,6 +215,15 @@ def test_parent_context_bounds_its_batches(spark):
     spark.conf.set(rows, usual)
 
 
+def test_excerpt_looks_into_blocks_that_may_score(spark):
+    """Blocks without a wanted term or a sign of code aren't parsed; signs and terms at line ends still count."""
+    wanted = F.array(F.lit("oration"), F.lit("of_the"))
+    texts = ["no hit here\n\nan Oration here\nnext line\n\nother", "await\nthe rest\n\nnothing", "ora```\nx\n```tion and so on", "preorations only", "# oration\nbody", None, ""]
+    d = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1)
+    assert [r[0] for r in d.orderBy("i").select(T.excerpt(F.col("t"), wanted)).collect()] == ["an Oration here next line", "await the rest", "oration and so on", "", "# oration body", "", ""]
+    assert "exists(" in d.select(T.excerpt(F.col("t"), wanted))._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_clean_web_without_a_fold(spark):
     lines = ["# Contents", "- a", "", "* b", "Search", "- c", "text", "- d", "## Search", "- e", "On this page", "- f", "Table of contents", " - g", "# Head ![i](u)", "- h", "", "Copy page", "end"]
     d = spark.createDataFrame([(1, "\n".join(lines)), (2, None), (3, ""), (4, "- a\n- b")], "i int, t string").select("i", T.clean_web(F.col("t")).alias("c"))
