@@ -6,10 +6,12 @@ trees grow by recursion: a node picks BRANCHES positions, and its classes are di
 class follows its own chosen paths. With two branches, a pair at 0.8 or more meets again in some child with a
 probability of at least 0.9375 however deep a tree grows, so five trees lose one such pair in a million.
 
-Nodes of up to SMALL classes are compared exhaustively; larger ones branch until they are small. Only where a large
+Nodes of up to SMALL classes are compared exhaustively; larger ones branch until they are small. A node of up to LOCAL
+classes grows the rest of its tree within its task, since near copies that branching parts slowly would otherwise be
+copied, shuffled and written level by level; only larger nodes branch as rows. Only where a large
 node's classes agree throughout (with the tokens that prevail in it, in AGREE of the positions on average) branching
 can't part them: there every class is compared with a hub, the class that agrees most with those tokens. The same is done
-with what is left after DEPTH levels, or once no more than FEW rows are left. Pairs whose signatures agree in
+with what is left after DEPTH levels, or once no more than FEW rows are left in nodes above LOCAL. Pairs whose signatures agree in
 fewer than 35 of 64 positions are dropped (one pair in a million at 0.8); the others are confirmed on the full sets,
 those that agree best first, and never within a component that is known already. Nodes with a hub that then have
 several components are compared in blocks on the full sets: the classes outside the main component with
@@ -39,6 +41,8 @@ TREES, BRANCHES, DEPTH, SMALL = 5, 2, 12, 16
 #: Of POSITIONS; the binomial tail below it is 1e-6 at 0.8.
 AGREE = 35
 BLOCK = 500
+#: A node's signatures in a task: 256 KB.
+LOCAL = 1_000
 FEW = 2_000
 FIRST = 3
 
@@ -59,23 +63,95 @@ def classes_of(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(apply, f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles long, class binary, signature binary")
 
 
-def _descend(rows: DataFrame, trees: int) -> DataFrame:
-    """node, class, signature: the children of the rows' nodes, or the roots' children where there is no node yet."""
+def _tokens(signatures: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(signatures.to_pylist()), np.uint32).reshape(-1, POSITIONS)
+
+
+def _children(parent: np.ndarray, tokens: np.ndarray) -> Iterator[np.ndarray]:
+    """The rows' children, an array for each branch."""
+    for branch in range(BRANCHES):
+        seed = mixed(parent + np.uint64((branch + 1) * 0x9E3779B97F4A7C15 % 2**64))
+        at = (seed % np.uint64(POSITIONS)).astype(np.int64)
+        yield mixed(seed + tokens[np.arange(len(tokens)), at].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def _roots(rows: DataFrame) -> DataFrame:
+    """node, class: the children of the roots. Most are alone in their node, so signatures stay behind."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            tokens = _tokens(b.column("signature"))
+            for t in range(TREES):
+                for child in _children(np.full(len(tokens), t, np.uint64), tokens):
+                    yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), b.column("class")], ["node", "class"])
+
+    return rows.mapInArrow(apply, "node long, class binary")
+
+
+def _descend(rows: DataFrame) -> DataFrame:
+    """node, class, signature: the children of the rows' nodes."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            tokens = np.frombuffer(b"".join(b.column("signature").to_pylist()), np.uint32).reshape(-1, POSITIONS).astype(np.uint64)
-            parents = [b.column("node").to_numpy().view(np.uint64)] if "node" in b.schema.names else [np.full(len(tokens), t, np.uint64) for t in range(trees)]
-            for parent in parents:
-                for branch in range(BRANCHES):
-                    seed = mixed(parent + np.uint64((branch + 1) * 0x9E3779B97F4A7C15 % 2**64))
-                    at = (seed % np.uint64(POSITIONS)).astype(np.int64)
-                    child = mixed(seed + tokens[np.arange(len(tokens)), at] * np.uint64(0xD6E8FEB86659FD93))
-                    yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), b.column("class"), b.column("signature")], ["node", "class", "signature"])
+            for child in _children(b.column("node").to_numpy().view(np.uint64), _tokens(b.column("signature"))):
+                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), b.column("class"), b.column("signature")], ["node", "class", "signature"])
 
     return rows.mapInArrow(apply, "node long, class binary, signature binary")
 
 
+def _commonest(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """At each position the commonest token and how often it is there."""
+    best, counts = np.empty(POSITIONS, np.uint32), np.empty(POSITIONS, np.int32)
+    for i in range(POSITIONS):
+        values, n = np.unique(tokens[:, i], return_counts=True)
+        best[i], counts[i] = values[n.argmax()], n.max()
+    return best, counts
+
+
+def _grown(rows: DataFrame, level: int) -> DataFrame:
+    """node, a, b, agree: what the trees below the rows' nodes (of that level) give, each grown in its task.
+
+    A row is a pair that is to be confirmed, or, where b is null, a class a of a node that has a hub.
+    """
+    small, depth = SMALL, DEPTH
+
+    def of_node(group: pa.Table) -> pa.Table:
+        tokens, ids = _tokens(group.column("signature")), group.column("class").combine_chunks()
+        order = np.argsort(np.array(ids.to_pylist(), object))  # so that a < b
+        tokens, ids = tokens[order], ids.take(pa.array(order))
+        n = len(tokens)
+        pairs, nodes, members = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        todo = [(np.uint64(group.column("node")[0].as_py() % 2**64), np.arange(n), level)]
+        while todo:
+            node, at, deep = todo.pop()
+            own = tokens[at]
+            if len(at) <= small:
+                i, j = np.triu_indices(len(at), 1)
+                near = (own[i] == own[j]).sum(1) >= AGREE
+                pairs.append(at[i[near]] * n + at[j[near]])
+                continue
+            agree = (own == _commonest(own)[0]).sum(1)
+            if deep < depth - 1 and agree.mean() < AGREE:
+                for child in _children(np.full(len(at), node, np.uint64), own):
+                    by = np.argsort(child, kind="stable")
+                    cuts = np.flatnonzero(np.diff(child[by])) + 1
+                    todo += [(child[part[0]], at[part], deep + 1) for part in np.split(by, cuts) if len(part) > 1]
+                continue
+            hub = len(at) - 1 - agree[::-1].argmax()
+            near = np.flatnonzero((own == own[hub]).sum(1) >= AGREE)
+            near = near[near != hub]
+            pairs.append(np.minimum(at[near], at[hub]) * n + np.maximum(at[near], at[hub]))
+            nodes.append(np.full(len(at), node, np.uint64)), members.append(at)
+        i, j = np.divmod(np.unique(np.concatenate(pairs)), n)
+        member, none = np.concatenate(members), np.full(len(i), 0, np.uint64)
+        node = pa.array(np.concatenate([none, *nodes]).view(np.int64))
+        agree = pa.array((tokens[i] == tokens[j]).sum(1), pa.int32())
+        a, b = ids.take(pa.array(np.concatenate([i, member]))), ids.take(pa.array(j))
+        return pa.table({"node": node, "a": a, "b": pa.concat_arrays([b, pa.nulls(len(member), pa.binary())]), "agree": pa.concat_arrays([agree, pa.nulls(len(member), pa.int32())])})
+
+    return rows.select("node", "class", "signature").groupBy("node").applyInArrow(of_node, "node long, a binary, b binary, agree int")
+
+
 def _agreement(pairs: DataFrame) -> DataFrame:
     """a, b, agree of pairs (a, b, sa, sb) that agree in AGREE positions at least."""
 
@@ -99,11 +175,7 @@ def _prevailing(rows: DataFrame) -> DataFrame:
     """node, prevailing: at each position the commonest token of a node, out of the commonest of its blocks."""
 
     def of_block(group: pa.Table) -> pa.Table:
-        tokens = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint32).reshape(-1, POSITIONS)
-        best, counts = np.empty(POSITIONS, np.uint32), np.empty(POSITIONS, np.int32)
-        for i in range(POSITIONS):
-            values, n = np.unique(tokens[:, i], return_counts=True)
-            best[i], counts[i] = values[n.argmax()], n.max()
+        best, counts = _commonest(_tokens(group.column("signature")))
         return pa.table({"node": group.column("node")[:1], "token": pa.array([best.tobytes()], pa.binary()), "times": pa.array([counts.tobytes()], pa.binary())})
 
     def of_node(group: pa.Table) -> pa.Table:
@@ -249,26 +321,32 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -
     rows = written(classes_of(docs, size))
     classes = written(rows.filter(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature")))
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    nodes = _descend(classes.select("class", "signature"), TREES)
+    nodes = written(_roots(classes.select("class", "signature")))
     found: DataFrame | None = None
     dense: DataFrame | None = None
+    both = lambda x, y: y if x is None else x.union(y)
     for level in range(DEPTH):
         crowd = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-        shared = written(nodes.join(crowd, "node"))
-        large = shared.filter(F.col("n") > SMALL)
-        pairs = _agreement(_pairs(shared.filter(F.col("n") <= SMALL).drop("n")))
-        found = pairs if found is None else found.union(pairs)
-        if not (left := large.count()):
+        shared = nodes.join(crowd, "node")
+        shared = written(shared if level else shared.join(classes.select("class", "signature"), "class").select("node", "class", "signature", "n"))
+        small, large = F.col("n") <= SMALL, F.col("n") > max(SMALL, LOCAL)
+        found = both(found, _agreement(_pairs(shared.filter(small).drop("n"))))
+        middle, left = shared.agg(F.count_if(~small & ~large), F.count_if(large)).first()
+        if middle:
+            grown = written(_grown(shared.filter(~small & ~large), level))
+            found = found.union(grown.filter(F.col("b").isNotNull()).select("a", "b", "agree"))
+            dense = both(dense, grown.filter(F.col("b").isNull()).select("node", F.col("a").alias("class")))
+        if not left:
             break
         last = level == DEPTH - 1 or left <= FEW
-        judged = written(_judged(large))
+        judged = written(_judged(shared.filter(large)))
         alike_ = judged.groupBy("node").agg((F.avg("agree") >= (0 if last else AGREE)).alias("dense"))
         judged = judged.join(alike_, "node")
         stuck = written(judged.filter("dense").drop("dense"))
-        found, dense = found.union(_agreement(_stars(stuck))), stuck if dense is None else dense.union(stuck)
+        found, dense = found.union(_agreement(_stars(stuck))), both(dense, stuck.select("node", "class"))
         if last:
             break
-        nodes = _descend(judged.filter(~F.col("dense")).select("node", "class", "signature").repartition(tasks), TREES)
+        nodes = written(_descend(judged.filter(~F.col("dense")).select("node", "class", "signature").repartition(tasks)))
     found = written(found.distinct())
     between = lambda c: c.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     sets = written(_sets(docs, classes.select("doc_id", "class").join(between(found), "class"), size))

@@ -77,3 +77,37 @@ def test_components_of_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60) if i != 30] + [(100, 100 + i) for i in range(1, 50)] + [(7, 7)], "a long, b long")
     roots = {r.node: r.root for r in components(links).collect()}
     assert all(roots[i] == (0 if i <= 30 else 31) for i in range(61)) and all(roots[100 + i] == 100 for i in range(50))
+
+
+def loose_copies(seed, n):
+    """Copies with so many edits each that their signatures seldom agree, and some more in pairs."""
+    rng = random.Random(seed)
+    base = words(rng, 60)
+    rows = []
+    for i in range(n):
+        ws = edited(rng, base, rng.randrange(2, 14))
+        rows.append((2 * i, " ".join(ws)))
+        if i % 5 == 0:
+            rows.append((2 * i + 1, " ".join(edited(rng, ws, 1))))
+    return rows
+
+
+def test_loose_copies_are_not_dealt_as_rows(spark, monkeypatch):
+    descents = []
+    descend = neardup._descend
+    monkeypatch.setattr(neardup, "_descend", lambda *a: descents.append(1) or descend(*a))
+    monkeypatch.setattr(neardup, "FEW", 0)
+    rows = loose_copies(7, 250)
+    assert got(neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=4)) == brute(rows, 4)
+    assert not descents  # each copy of a level doubled the rows
+
+
+def test_nodes_too_large_for_a_task(spark, monkeypatch):
+    for name, value in (("SMALL", 6), ("BLOCK", 10), ("FEW", 0), ("LOCAL", 40)):
+        monkeypatch.setattr(neardup, name, value)
+    descents = []
+    descend = neardup._descend
+    monkeypatch.setattr(neardup, "_descend", lambda *a: descents.append(1) or descend(*a))
+    rows = loose_copies(8, 120)
+    assert got(neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=4)) == brute(rows, 4)
+    assert descents
