@@ -27,7 +27,7 @@ import hashlib
 import heapq
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from quillspark.llm.common import in_small_batches
+from quillspark.llm.common import give_back, in_small_batches, tidy
 
 #: Segments that other operators remember when a task ends, since its worker goes on with other work.
 REST_ROWS = 40_000
@@ -46,6 +46,8 @@ REST_ROWS = 40_000
 BATCH_CHARS = 4_000_000
 #: The batches whose segments are replayed together with all others'.
 CORPUS_CHARS = 8_000_000
+#: Bytes of words that one replay holds, some 100 bytes of memory each, besides the last word.
+REPLAY_BYTES = 1_000_000
 
 _cut = re.compile(r" (?=\S)")
 _odd = re.compile(r" (?:\s|\Z)")
@@ -158,7 +160,9 @@ class Encoder:
     def encode(self, segments_: list[str]) -> list[bytes]:
         split = [[w.encode() for w in self.pattern.findall(s)] for s in segments_]
         words = list({w for ws in split for w in ws})
-        ids = {w: np.array(x, "<u4").tobytes() for w, x in zip(words, replay(words, self.ranks, self.pairs), strict=True)}
+        ids: dict[bytes, bytes] = {}
+        for a, b in runs(words, REPLAY_BYTES):
+            ids.update((w, np.array(x, "<u4").tobytes()) for w, x in zip(words[a:b], replay(words[a:b], self.ranks, self.pairs), strict=True))
         return [b"".join(map(ids.__getitem__, ws)) for ws in split]
 
     def decode(self, packed: bytes) -> bytes:
@@ -174,7 +178,7 @@ def encoder(path: str, pattern: str) -> Encoder:
     return _encoders[path, pattern]
 
 
-def runs(texts: list[str | None], chars: int = BATCH_CHARS) -> Iterator[tuple[int, int]]:
+def runs(texts: list[str | None] | list[bytes], chars: int = BATCH_CHARS) -> Iterator[tuple[int, int]]:
     """Bounds of consecutive texts of about so many characters."""
     start = size = 0
     for i, t in enumerate(texts):
@@ -204,17 +208,24 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array,
         yield number, pa.concat_arrays(ids), texts
 
 
-def _dealt(texts: list[str], shards: int) -> tuple[list[list[str]], dict[int, list[str]]]:
-    """The segments of each text, all but the first without their leading space, and the distinct whole ones by shard."""
-    pieces, first, later = list(map(pieces_of, texts)), set(), set()
-    for ps in pieces:
-        rest = iter(ps)
+def _asked(texts: Iterable[str], shards: int) -> dict[int, list[str]]:
+    """The distinct segments of texts by shard. One text's pieces are held at a time: those of a batch take ten times its memory."""
+    first, later = set(), set()
+    for t in texts:
+        rest = iter(pieces_of(t))
         first.add(next(rest))
         later.update(rest)
+    first.update(map(" ".__add__, later))
+    later.clear()
     found: dict[int, list[str]] = {}
-    for w in sorted({*first, *map(" ".__add__, later)}):
+    for w in sorted(first):
         found.setdefault(zlib.crc32(w.encode()) % shards, []).append(w)
-    return pieces, found
+    return found
+
+
+def _dealt(texts: list[str], shards: int) -> tuple[list[list[str]], dict[int, list[str]]]:
+    """The segments of each text, all but the first without their leading space, and the distinct whole ones by shard."""
+    return list(map(pieces_of, texts)), _asked(texts, shards)
 
 
 def _packed(parts: list[bytes]) -> bytes:
@@ -244,10 +255,11 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool =
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, _, texts in _batches(batches):
-            found = _dealt(texts, shards)[1]
+            found = _asked(texts, shards)
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([number] * len(found), pa.int64()), pa.array([_packed([w.encode() for w in ws]) for ws in found.values()], pa.binary())], ["shard", "batch", "asked"])
 
     def answer(group: pa.Table) -> pa.Table:
+        give_back()  # what the last group took
         coder = encoder(path, pattern)
         asked = [_unpacked(b) for b in group.column("asked").to_pylist()]
         words = list({w for ws in asked for w in ws})
@@ -259,17 +271,20 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool =
             yield pa.RecordBatch.from_arrays([pa.array([number]), pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows), pa.array([_packed([t.encode() for t in texts])], pa.binary())], ["batch", "rows", "texts"])
 
     def meet(sent: pa.Table, replies: pa.Table) -> pa.Table:
+        give_back()  # what the last group took
         coder = encoder(path, pattern)
         reply = {s: (d, b) for s, d, b in zip(*(replies.column(c).to_pylist() for c in ("shard", "digest", "ids")), strict=True)}
         out = []
         for rows, blob in zip(sent.column("rows").combine_chunks(), sent.column("texts").to_pylist(), strict=True):
-            pieces, found = _dealt([t.decode() for t in _unpacked(blob)], shards)
+            texts = _unpacked(blob)
             ids: dict[str, bytes] = {}
-            for shard, ws in found.items():
+            for shard, ws in _asked(map(bytes.decode, texts), shards).items():
                 digest, got = reply.get(shard, (None, b""))
                 ids.update(zip(ws, _unpacked(got) if digest == _digest([w.encode() for w in ws]) else coder.encode(ws), strict=True))
             later = {w[1:]: x for w, x in ids.items() if w[:1] == " "}.__getitem__
-            packed = [b"".join([ids[ps[0]], *map(later, ps[1:])]) for ps in pieces]
+            packed = []
+            for ps in (pieces_of(t.decode()) for t in texts):
+                packed.append(b"".join([ids[ps[0]], *map(later, ps[1:])]))
             flat = rows.values.flatten()
             cols = [flat[0], pa.array([len(p) // 4 for p in packed], pa.int64()), *(pa.array([hashlib.sha256(f(p)).hexdigest() for p in packed]) for f in (lambda p: p, coder.decode))]
             if with_ids:
@@ -280,8 +295,8 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool =
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids, *(f"k{i}" for i in range(len(keep)))]
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + "".join(f", k{i} {kinds[c]}" for i, c in enumerate(keep))
     empty = to_arrow_schema(docs.sparkSession.createDataFrame([], schema).schema).empty_table()
-    replies = own.mapInArrow(ask, "shard int, batch long, asked binary").groupBy("shard").applyInArrow(answer, "shard int, batch long, digest binary, ids binary")
-    sent = own.mapInArrow(send, f"batch long, rows array<{carried_kind}>, texts binary")
+    replies = own.mapInArrow(tidy(ask), "shard int, batch long, asked binary").groupBy("shard").applyInArrow(answer, "shard int, batch long, digest binary, ids binary")
+    sent = own.mapInArrow(tidy(send), f"batch long, rows array<{carried_kind}>, texts binary")
     done = sent.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(meet, schema)
     return done.select(*names[: len(names) - len(keep)], *(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)))
 

@@ -29,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.llm.bpe import runs
-from quillspark.llm.common import in_small_batches
+from quillspark.llm.common import in_small_batches, tidy
 from quillspark.llm.shingles import mixed
 
 SAMPLE_ROWS = 100
@@ -265,7 +265,7 @@ def predict(docs: DataFrame, model: Model | None, *keep: str, names: tuple[str,
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[: len(keep)]), pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*keep, *names])
 
     kinds = dict(docs.dtypes)
-    return docs.select(*columns).mapInArrow(apply, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + f", {names[0]} string, {names[1]} double")
+    return docs.select(*columns).mapInArrow(tidy(apply), ", ".join(f"`{c}` {kinds[c]}" for c in keep) + f", {names[0]} string, {names[1]} double")
 
 
 def identify(docs: DataFrame) -> DataFrame:

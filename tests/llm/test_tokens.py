@@ -1,4 +1,5 @@
 import hashlib
+import tracemalloc
 
 import public_tokenizers
 import tiktoken
@@ -47,6 +48,22 @@ def test_ranks_of_any_size():
     assert bpe.replay([b"ababa", b"ba"], ranks) == [[2**21 + 1, 2**20 + 97], [2**20 + 98, 2**20 + 97]]
 
 
+def test_memory_of_a_batch(monkeypatch):
+    """A batch's pieces aren't held together, nor all words of a shard by one replay; the ids are the same."""
+    texts = [" ".join(f"w{(i * 31 + j) % 500}" for j in range(4000)) for i in range(50)]
+    tracemalloc.start()
+    found = bpe._asked(texts, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < sum(map(len, texts)) and found == bpe._dealt(texts, 3)[1]
+    sizes, whole = [], bpe.replay
+    monkeypatch.setattr(bpe, "REPLAY_BYTES", 300)
+    monkeypatch.setattr(bpe, "replay", lambda words, *a: sizes.append(sum(map(len, words))) or whole(words, *a))
+    packed = one.encode(texts[:2])
+    assert [list(memoryview(p).cast("I")) for p in packed] == [own.encode_ordinary(t) for t in texts[:2]]
+    assert len(sizes) > 1 and max(sizes) < 320 and one.encode([]) == []
+
+
 def test_other_partitions_the_second_time(spark, monkeypatch):
     """Replies to other batches than those that come are not used."""
     docs = spark.range(40).selectExpr("id as doc_id", "concat('w', id, ' some more words ', uuid()) as text").repartition(3)
