@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
+from quillspark.operators.store import kept
 
 # Fixed values that results depend on.
 RRF_K, KEYWORD_WEIGHT, VECTOR_WEIGHT = 60, 1.0, 1.0
@@ -166,6 +167,8 @@ def search(chunks: DataFrame, index: DataFrame, sizes: DataFrame, vectors: DataF
 
 #: Vectors and queries of a block in which all are compared.
 VECTORS_A_BLOCK, QUERIES_A_BLOCK = 20_000, 500
+#: Phrases of queries up to which they are sent to all tasks, so that what chunks hold stays where the chunk is.
+PHRASES_SENT = 100_000
 
 
 def asked_phrases(queries: DataFrame) -> DataFrame:
@@ -188,26 +191,32 @@ def hits_of(index: DataFrame, phrases: DataFrame) -> DataFrame:
 
 
 def bm25_many(index: DataFrame, sizes: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, chunk_id, source_id, bm25 for queries (query_id, query). A phrase that several queries ask for is looked up once."""
+    """query_id, chunk_id, source_id, bm25 for queries (query_id, query). A phrase that several queries ask for is looked up once.
+
+    Phrases meet chunks by chunk, and a chunk's sums need no other task: most chunks hold a word of most queries, so these rows are far
+    more than the postings. Only where queries have more than PHRASES_SENT phrases do they meet by phrase.
+    """
     asked = asked_phrases(queries)
-    hits = hits_of(index, asked.select("key", "terms").distinct())
-    spread = hits.groupBy("key").agg(F.count(F.lit(1)).alias("df"))
+    send = F.broadcast if asked.count() <= PHRASES_SENT else lambda rows: rows
+    hits = kept(hits_of(index, send(asked.select("key", "terms").distinct())))
+    spread = send(hits.groupBy("key").agg(F.count(F.lit(1)).alias("df")))
     stats = F.broadcast(sizes.agg(F.count(F.lit(1)).alias("chunks"), F.avg("length").alias("mean")))  # one row
-    j = hits.join(spread, "key").join(sizes.select("chunk_id", "length"), "chunk_id").crossJoin(stats)
+    j = hits.join(sizes.select("chunk_id", "length").hint("merge"), "chunk_id").join(spread, "key").crossJoin(stats)
     idf = F.log((F.col("chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf) * F.col("hits") * (K1 + 1) / (F.col("hits") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
     weighed = j.select("key", "chunk_id", "source_id", weight.alias("weight"))
-    return asked.select("query_id", "key").join(weighed, "key").groupBy("query_id", "chunk_id", "source_id").agg(F.round(-F.sum("weight"), DIGITS).alias("bm25"))
+    return weighed.join(send(asked.select("query_id", "key")), "key").groupBy("query_id", "chunk_id", "source_id").agg(F.round(-F.sum("weight"), DIGITS).alias("bm25"))
 
 
-def _first(rows: DataFrame, limit: int | Column, *order: Column | str) -> DataFrame:
-    """The first rows of each query."""
-    return rows.withColumn("_r", F.row_number().over(W.partitionBy("query_id").orderBy(*order))).filter(F.col("_r") <= limit).drop("_r")
+def _first(rows: DataFrame, limit: int | Column, *order: Column | str, most: int | None = None) -> DataFrame:
+    """The first rows of each query. most: the largest of limits that are a column; with a number Spark cuts before it shuffles."""
+    out = rows.withColumn("_r", F.row_number().over(W.partitionBy("query_id").orderBy(*order))).filter(F.col("_r") <= limit)
+    return (out if most is None else out.filter(F.col("_r") <= most)).drop("_r")
 
 
-def keyword_candidates_many(scores: DataFrame, limit: int | Column, monotone: bool = False) -> DataFrame:
-    """Each query's best by bm25 with keyword_score and keyword_rank, as keyword_candidates has them for one."""
-    top = _first(scores, limit, "bm25", "chunk_id")
+def keyword_candidates_many(scores: DataFrame, limit: int | Column, monotone: bool = False, most: int | None = None) -> DataFrame:
+    """Each query's best by bm25 with keyword_score and keyword_rank, as keyword_candidates has them for one. most: the largest limit."""
+    top = _first(scores, limit, "bm25", "chunk_id", most=most)
     most = F.coalesce(F.nullif(F.max(F.abs("bm25")).over(W.partitionBy("query_id")), F.lit(0.0)), F.lit(1.0))
     score = F.abs("bm25") / (most + 1)
     top = top.withColumn("keyword_score", score if monotone else 1 - score)
@@ -267,9 +276,11 @@ def search_many(chunks: DataFrame, index: DataFrame, sizes: DataFrame, vectors:
     meant = queries.filter((T.strip(F.coalesce("query", F.lit(""))) != "") & (F.size(T.tokens(F.col("query"))) > 0))
     n = F.col("limit") * OVERFETCH
     words = meant.filter("mode <> 'vector'")
-    scores = bm25_many(index, sizes, words).join(words.select("query_id", "limit", "source_ids"), "query_id")
+    count, largest = words.agg(F.count(F.lit(1)), F.max("limit")).first()
+    own = words.select("query_id", "limit", "source_ids")
+    scores = bm25_many(index, sizes, words).join(F.broadcast(own) if count <= PHRASES_SENT else own, "query_id")
     scores = allowed(scores, sources).filter(F.col("source_ids").isNull() | F.array_contains("source_ids", F.col("source_id")))
-    found = keyword_candidates_many(scores, n).select("query_id", "chunk_id", "keyword_score", "keyword_rank")
+    found = keyword_candidates_many(scores, n, most=(largest or 0) * OVERFETCH).select("query_id", "chunk_id", "keyword_score", "keyword_rank")
     if vectors is None:
         none = lambda kind: F.lit(None).cast(kind)
         found = found.withColumns({"vector_score": none("double"), "vector_rank": none("int")})

@@ -1,4 +1,5 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -72,6 +73,22 @@ def test_many_queries_like_one_by_one(spark):
             assert max(abs(a[k] - b[k]) for k in ("score", "keyword_score", "vector_score")) < 1e-9
 
 
+def test_scores_stay_with_their_chunk(spark, monkeypatch, capsys):
+    """Sums of query and chunk need no shuffle of their own, each task sends its best only; phrases too many to send give the same."""
+    c = spark.createDataFrame([(i, "s", i, f"alpha w{i % 3} web_socket w{i % 5}") for i in range(60)], "chunk_id long, source_id string, document_id long, content string")
+    q = spark.createDataFrame([(i, f"alpha w{i} web_socket", None, "keyword", i + 1, None) for i in range(4)], "query_id long, query string, q array<float>, mode string, limit int, source_ids array<string>")
+    p, n = S.postings(c), S.lengths(c)
+    S.bm25_many(p, n, q).explain()
+    assert not re.search(r"hashpartitioning\((query_id|key)#\d+L?, (query_id|chunk_id)", capsys.readouterr().out)
+    sent = S.search_many(c, p, n, None, q)
+    sent.explain()
+    plan = capsys.readouterr().out
+    assert re.search(r"WindowGroupLimit \[query_id#\d+L\], \[bm25#.*24, Partial", plan)
+    monkeypatch.setattr(S, "PHRASES_SENT", 0)
+    rows = sorted(sent.collect())
+    assert rows == sorted(S.search_many(c, p, n, None, q).collect()) and [sum(r.query_id == i for r in rows) for i in range(4)] == [1, 2, 3, 4]
+
+
 def test_blocks_of_queries_and_vectors(spark, monkeypatch):
     monkeypatch.setattr(S, "VECTORS_A_BLOCK", 7)
     monkeypatch.setattr(S, "QUERIES_A_BLOCK", 3)
