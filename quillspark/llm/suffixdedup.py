@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import bitmap, in_small_batches, may_hold, written
+from quillspark.llm.common import bitmap, give_back, in_small_batches, may_hold, tidy, written
 
 WINDOW, DIGIT = 50, 24
 #: Depths of the passes that only thin out; the first is the digit's, the last pass has the whole window.
@@ -46,6 +46,8 @@ MAX_BITS = 1 << 28
 LAST = 2**63 - 1  # the place of a null doc_id
 #: Windows are hashed so many at a time, which fits a core's cache; so many keys are held before they are sent.
 CHUNK, HELD = 1 << 16, 1_500_000
+#: About so many go to Spark at once, in whole buckets; it holds what it gets outside its heap.
+SENT = 1 << 17
 _PAD = 64
 _SPAN = WINDOW - DIGIT + 1
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
@@ -107,9 +109,10 @@ class Texts:
     def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Runs of at most _SPAN windows whose least digits are equal."""
         last = np.maximum(self.starts, self.ends - WINDOW + 1)  # a document's windows end here
-        edge = np.zeros(self.size + 1, np.int32)
+        edge = np.zeros(self.size + 1, np.int8)  # sums are 0 or 1, whatever overflows where many documents are empty
         np.add.at(edge, last, 1), np.add.at(edge, self.ends, -1)
-        inside = np.cumsum(edge)[: self.size] == 0
+        inside = np.cumsum(edge, dtype=np.int8, out=edge)[: self.size] == 0
+        del edge
         firsts, digits, before = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], None
         for a in range(0, self.size, CHUNK):
             n = min(CHUNK, self.size - a)
@@ -189,29 +192,57 @@ def _documents(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("d", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("t", F.xxhash64("text").bitwiseAND(F.lit(2**32 - 1)).cast("long"))
 
 
-def _held(batches: Iterator[pa.RecordBatch], rows_of: Callable[[Texts, np.ndarray, np.ndarray], list[np.ndarray]]) -> Iterator[list[np.ndarray]]:
-    """What rows_of makes of the documents (d, t, text) of each batch, some HELD rows at a time."""
+def _held(batches: Iterator[pa.RecordBatch], rows_of: Callable[[Texts, np.ndarray, np.ndarray], list[np.ndarray]], flush: Callable[[list[np.ndarray]], Iterator[pa.RecordBatch]], size: Callable[[list[np.ndarray]], int] = lambda rows: len(rows[0])) -> Iterator[pa.RecordBatch]:
+    """What flush makes of rows_of the documents (d, t, text) of all batches, of rows of a size of some HELD at a time.
+
+    Nothing of what was flushed is held while the next rows come together.
+    """
     parts, n = [], 0
+
+    def columns() -> list[np.ndarray]:
+        each = [list(c) for c in zip(*parts, strict=True)]
+        parts.clear()
+        return [np.concatenate(each.pop(0)) for _ in range(len(each))]
+
     for batch in batches:
         for a in range(0, batch.num_rows, 1000):
             part = batch.slice(a, 1000)
             parts.append(rows_of(Texts(part.column(2)), part.column(0).to_numpy(), part.column(1).to_numpy().astype(np.uint32)))
-            n += len(parts[-1][0])
+            n += size(parts[-1])
             if n >= HELD:
-                yield [np.concatenate(c) for c in zip(*parts, strict=True)]
-                parts, n = [], 0
+                yield from flush(columns())
+                give_back()
+                n = 0
     if n:
-        yield [np.concatenate(c) for c in zip(*parts, strict=True)]
+        yield from flush(columns())
+
+
+def _group_tidy(meet: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """The function of a group, after which its memory is given back."""
+
+    def apply(group: pa.Table) -> pa.Table:
+        out = meet(group)
+        give_back()
+        return out
+
+    return apply
+
 
+def _blobs(bucket: np.ndarray, columns: list[np.ndarray], types: list[str], of: np.ndarray | None = None) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """A row for each bucket: the columns' values there (of places of them, where given), byte by byte of their width, which packs well.
 
-def _blobs(bucket: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
-    """A row for each bucket: the columns' values there, byte by byte of their width, which packs well."""
+    They come in batches of whole buckets, some SENT values each, with the places in bucket of the values of each row.
+    """
     order = np.argsort(bucket, kind="stable")
     bucket = bucket[order]
     first = np.flatnonzero(np.diff(bucket, prepend=bucket[:1] - 1))
     ends = np.append(first[1:], len(bucket))
-    planes = lambda c: pa.array([c[a:b].view(np.uint8).reshape(b - a, -1).T.tobytes() for a, b in zip(first, ends, strict=True)], pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int32)), *(planes(c[order]) for c in columns)], ["bucket", *(f"c{i}" for i in range(len(columns)))])
+    planes = lambda c, x, at: c[at if of is None else of[at]].astype(x, copy=False).view(np.uint8).reshape(len(at), -1).T.tobytes()
+    cuts = np.flatnonzero(np.diff(first // SENT, prepend=-1)).tolist()
+    for lo, hi in zip(cuts, [*cuts[1:], len(first)], strict=True):
+        places = [order[a:b] for a, b in zip(first[lo:hi], ends[lo:hi], strict=True)]
+        values = (pa.array([planes(c, x, at) for at in places], pa.binary()) for c, x in zip(columns, types, strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[first[lo:hi]].astype(np.int32)), *values], ["bucket", *(f"c{i}" for i in range(len(columns)))]), places
 
 
 def _column(table: pa.Table, i: int, kind: str) -> np.ndarray:
@@ -234,25 +265,33 @@ def _grouped(keys: list[np.ndarray], d: np.ndarray) -> tuple[np.ndarray, np.ndar
 def _shared_keys(docs: DataFrame, keys_of: Callable[[Texts, np.ndarray], tuple[np.ndarray, np.ndarray]], buckets: int) -> bytes:
     """The keys (their upper 40 bits) that two documents have, as a bitmap. keys_of: document and key of each."""
 
+    wide = "<u4" if buckets >= 256 else "<u8"
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(texts: Texts, d: np.ndarray, t: np.ndarray) -> list[np.ndarray]:
             i, key = keys_of(texts, d)
             return [key >> np.uint64(24), d[i]]
 
-        for key, d in _held(batches, rows):
+        def flush(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            key, d = cols
             order, new, least = _grouped([key], d)
             key, several = key[order], d[order] != least
             at = np.flatnonzero(new)
             times = 1 + np.logical_or.reduceat(several, at)  # sent twice, it counts as two documents
             both = np.repeat(key[at], times)
-            yield _blobs((both % np.uint64(buckets)).astype(np.int64), [(both // np.uint64(buckets)).astype("<u4" if buckets >= 256 else "<u8")])
+            cols.clear()
+            del key, d, order, new, least, several, at, times
+            for batch, _ in _blobs((both % np.uint64(buckets)).astype(np.int64), [(both // np.uint64(buckets)).astype(wide)], [wide]):
+                yield batch
+
+        return _held(batches, rows, flush)
 
     def meet(group: pa.Table) -> pa.Table:
-        values, n = np.unique(_column(group, 0, "<u4" if buckets >= 256 else "<u8"), return_counts=True)
+        values, n = np.unique(_column(group, 0, wide), return_counts=True)
         return pa.table({"h": pa.array((values[n > 1].astype(np.uint64) * np.uint64(buckets) + np.uint64(group.column("bucket")[0].as_py())).astype(np.int64))})
 
-    sent = docs.select("d", "t", "text").mapInArrow(send, "bucket int, c0 binary")
-    return _sized(written(sent.groupBy("bucket").applyInArrow(meet, "h long")))
+    sent = docs.select("d", "t", "text").mapInArrow(tidy(send), "bucket int, c0 binary")
+    return _sized(written(sent.groupBy("bucket").applyInArrow(_group_tidy(meet), "h long")))
 
 
 def _sized(hashes: DataFrame) -> bytes:
@@ -273,15 +312,21 @@ def _repeated_runs(docs: DataFrame, rows_of: Callable[[Texts, np.ndarray, np.nda
     types = ["<u8", "<u8", "<i8", "<u4", "<i4", "u1"]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cols in _held(batches, rows_of):
+        def flush(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            cols[:] = [c.astype(x, copy=False) for c, x in zip(cols, types, strict=True)]
             order, _, least = _grouped(cols[:2], cols[2])
             gone = cols[2][order] != least
-            away, stay = order[gone], np.sort(order[~gone])
+            away, stay = np.sort(order[gone]), np.sort(order[~gone])
+            del order, least, gone
             # What goes for an earlier document of this task needs no company: it passes through, in buckets of its own.
-            for at, sign in ((np.sort(away), -1), (stay, 1)):
+            none = [np.broadcast_to(np.zeros(1, c.dtype), len(c)) for c in cols[:2]]
+            for at, sign in ((away, -1), (stay, 1)):
                 if len(at):
                     k = (cols[1][at] >> _32) % np.uint64(buckets) if sign > 0 else cols[2][at].astype(np.uint64) % np.uint64(buckets)
-                    yield _blobs((k.astype(np.int64) + (sign < 0)) * sign, [(c[at] if sign > 0 or j > 1 else np.zeros(len(at), c.dtype)).astype(x) for j, (c, x) in enumerate(zip(cols, types, strict=True))])
+                    for batch, _ in _blobs((k.astype(np.int64) + (sign < 0)) * sign, cols if sign > 0 else none + cols[2:], types, at):
+                        yield batch
+
+        return _held(batches, rows_of, flush)
 
     def meet(group: pa.Table) -> pa.Table:
         cols = [_column(group, i, x) for i, x in enumerate(types)]
@@ -298,8 +343,8 @@ def _repeated_runs(docs: DataFrame, rows_of: Callable[[Texts, np.ndarray, np.nda
         out = {c: pa.concat_arrays([x, pa.nulls(len(w), x.type)]) for c, x in out.items()}
         return pa.table(out | {"w": pa.concat_arrays([pa.nulls(len(away), pa.int64()), pa.array(w)])})
 
-    sent = docs.select("d", "t", "text").mapInArrow(send, "bucket int, " + ", ".join(f"c{i} binary" for i in range(len(types))))
-    return sent.groupBy("bucket").applyInArrow(meet, _GONE + ", w long")
+    sent = docs.select("d", "t", "text").mapInArrow(tidy(send), "bucket int, " + ", ".join(f"c{i} binary" for i in range(len(types))))
+    return sent.groupBy("bucket").applyInArrow(_group_tidy(meet), _GONE + ", w long")
 
 
 def _spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -315,6 +360,25 @@ def _unlike(k: np.ndarray, gone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, np.diff(np.append(at, len(k)))
 
 
+def _repeated(data: np.ndarray, d: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of stretches (document and number of windows of each, one's bytes behind the other's), as many in a row as are alike: the
+    stretch, whether an earlier document of these has them, the first window's number among all, how many."""
+    n = n.astype(np.int64)
+    size = n + WINDOW - 1
+    w = _spread(np.cumsum(size) - size, n)
+    keys = [string_hash(data, w, WINDOW, 1), string_hash(data, w, WINDOW, 2)]
+    del w
+    wd = np.repeat(d, n)
+    order, _, least = _grouped(keys, wd)
+    del keys
+    gone = np.zeros(len(wd), bool)
+    gone[order[wd[order] != least]] = True
+    del wd, order, least
+    k = np.repeat(np.arange(len(n), dtype=np.int32), n)
+    at, many = _unlike(k, gone)
+    return k[at], gone[at], at, many
+
+
 def _repeated_windows(docs: DataFrame, left: Callable[[Texts, np.ndarray], tuple[np.ndarray, ...]], buckets: int) -> DataFrame:
     """d, t, s, n: n windows from s on that an earlier document has too, of the stretches (document, first, end, anchor) that left gives.
 
@@ -324,57 +388,44 @@ def _repeated_windows(docs: DataFrame, left: Callable[[Texts, np.ndarray], tuple
     step, types = WINDOW - DEPTHS[-1] + 1, ["<i8", "<u4", "<i4", "u1"]
 
     def rows(texts: Texts, d: np.ndarray, t: np.ndarray) -> list[np.ndarray]:
-        """Of windows: two hashes and d; of stretches: key, d, t, s, n; the stretches' bytes."""
+        """Of stretches: key, d, t, s, n; their bytes."""
         i, s, e, at = left(texts, d)
         n = e - s
-        w = _spread(s, n)
         key = string_hash(texts.data, at - (at - s) // step * step, DEPTHS[-1], 7)
-        return [string_hash(texts.data, w, WINDOW, 1), string_hash(texts.data, w, WINDOW, 2), np.repeat(d[i], n), key, d[i], t[i], (s - texts.starts[i]).astype(np.int32), n, texts.data[_spread(s, n + WINDOW - 1)]]
+        return [key, d[i], t[i], (s - texts.starts[i]).astype(np.int32), n.astype(np.uint8), texts.data[_spread(s, n + WINDOW - 1)]]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tight = zstandard.ZstdCompressor(3)
-        for h1, h2, wd, key, d, t, s, n, data in _held(batches, rows):
-            order, _, least = _grouped([h1, h2], wd)
-            gone = np.zeros(len(wd), bool)
-            gone[order[wd[order] != least]] = True
-            k = np.repeat(np.arange(len(n)), n)
-            at, size = _unlike(k, gone)
-            k, away = k[at], gone[at]
+
+        def flush(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            key, d, t, s, n, data = cols
+            n = n.astype(np.int64)
+            k, away, at, size = _repeated(data, d, n)
             off = at - (np.cumsum(n) - n)[k]  # windows of the stretch before
             begin = (np.cumsum(n + WINDOW - 1) - (n + WINDOW - 1))[k] + off
-            cols = [d[k], t[k], s[k] + off.astype(np.int32), size]
+            cols = [d[k], t[k], s[k] + off.astype(np.int32), size.astype(np.uint8)]
             for own, sign in ((np.flatnonzero(away), -1), (np.flatnonzero(~away), 1)):
                 if not len(own):
                     continue
                 deal = (d[k[own]].astype(np.uint64) if sign < 0 else key[k[own]]) % np.uint64(buckets)
-                bucket = (deal.astype(np.int64) + (sign < 0)) * sign
-                rows_ = _blobs(bucket, [c[own].astype(x) for c, x in zip(cols, types, strict=True)])
-                own = own[np.argsort(bucket, kind="stable")]  # as _blobs has them
-                texts = []
-                ends = np.cumsum(np.unique(bucket, return_counts=True)[1]) if sign > 0 else np.zeros(0, np.int64)
-                for lo, hi in zip(np.append(0, ends[:-1]), ends, strict=False):
-                    texts.append(tight.compress(data[_spread(begin[own[lo:hi]], size[own[lo:hi]] + WINDOW - 1)].tobytes()))
-                yield rows_.append_column("z", pa.array(texts, pa.binary()) if sign > 0 else pa.nulls(rows_.num_rows, pa.binary()))
+                for batch, places in _blobs((deal.astype(np.int64) + (sign < 0)) * sign, cols, types, own):
+                    texts = [tight.compress(data[_spread(begin[x], size[x] + WINDOW - 1)].tobytes()) if sign > 0 else None for x in (own[p] for p in places)]
+                    yield batch.append_column("z", pa.array(texts, pa.binary()))
+
+        return _held(batches, rows, flush, lambda rows: int(rows[4].sum(dtype=np.int64)))
 
     def meet(group: pa.Table) -> pa.Table:
         d, t, s, n = (_column(group, i, x) for i, x in enumerate(types))
-        n = n.astype(np.int64)
         if group.column("bucket")[0].as_py() >= 0:
             loose = zstandard.ZstdDecompressor()
-            data = np.frombuffer(b"".join([*(loose.decompress(z) for z in group.column("z").to_pylist()), bytes(_PAD)]), np.uint8)
-            size = n + WINDOW - 1
-            w, k = _spread(np.cumsum(size) - size, n), np.repeat(np.arange(len(n)), n)
-            order, _, least = _grouped([string_hash(data, w, WINDOW, 1), string_hash(data, w, WINDOW, 2)], d[k])
-            gone = np.zeros(len(w), bool)
-            gone[order[d[k][order] != least]] = True
-            at, many = _unlike(k, gone)
-            at, many = at[gone[at]], many[gone[at]]
-            k = k[at]
-            d, t, s, n = d[k], t[k], s[k] + at - (np.cumsum(n) - n)[k], many
+            data = np.frombuffer(b"".join(loose.decompress(z.as_py()) for z in group.column("z")), np.uint8)
+            k, gone, at, many = _repeated(data, d, n)
+            k, at, many = k[gone], at[gone], many[gone]
+            d, t, s, n = d[k], t[k], s[k] + at - (np.cumsum(n, dtype=np.int64) - n)[k], many
         return pa.table({"d": pa.array(d), "t": pa.array(t.astype(np.int64)), "s": pa.array(s.astype(np.int32)), "n": pa.array(n.astype(np.int32))})
 
-    sent = docs.select("d", "t", "text").mapInArrow(send, "bucket int, " + ", ".join(f"c{i} binary" for i in range(len(types))) + ", z binary")
-    return sent.groupBy("bucket").applyInArrow(meet, _GONE)
+    sent = docs.select("d", "t", "text").mapInArrow(tidy(send), "bucket int, " + ", ".join(f"c{i} binary" for i in range(len(types))) + ", z binary")
+    return sent.groupBy("bucket").applyInArrow(_group_tidy(meet), _GONE)
 
 
 def who(key: np.ndarray, d: np.ndarray) -> np.ndarray:
@@ -470,5 +521,5 @@ def remove_repeats(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
     own = _documents(in_small_batches(docs))
     places = repeated_windows(own, buckets).groupBy("d", "t").agg(F.collect_list(F.struct("s", "n")).alias("places"))
-    packed = own.select("doc_id", "d", "t", "text").mapInArrow(pack, f"doc_id {kind}, d long, t long, z binary")
-    return packed.join(places, ["d", "t"], "left").select("doc_id", "z", "places").mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    packed = own.select("doc_id", "d", "t", "text").mapInArrow(tidy(pack), f"doc_id {kind}, d long, t long, z binary")
+    return packed.join(places, ["d", "t"], "left").select("doc_id", "z", "places").mapInArrow(tidy(cut), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
