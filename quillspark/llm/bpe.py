@@ -27,6 +27,7 @@ import hashlib
 import heapq
 import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -155,7 +156,10 @@ class Encoder:
 
     def __init__(self, path: str, pattern: str):
         self.ranks, self.pattern = read_ranks(path), regex.compile(pattern)
-        self.pairs, self.token = pair_table(self.ranks), {i: b for b, i in self.ranks.items()}
+        self.pairs, self.token, self.tokens = pair_table(self.ranks), {i: b for b, i in self.ranks.items()}, None
+        if max(self.token) < 4 * len(self.token):  # an array of them is looked up at once
+            self.tokens = np.empty(max(self.token) + 1, object)
+            self.tokens[list(self.token)] = list(self.token.values())
 
     def encode(self, segments_: list[str]) -> list[bytes]:
         split = [[w.encode() for w in self.pattern.findall(s)] for s in segments_]
@@ -166,7 +170,8 @@ class Encoder:
         return [b"".join(map(ids.__getitem__, ws)) for ws in split]
 
     def decode(self, packed: bytes) -> bytes:
-        return b"".join(map(self.token.__getitem__, np.frombuffer(packed, "<u4").tolist()))
+        ids = np.frombuffer(packed, "<u4")
+        return b"".join(map(self.token.__getitem__, ids.tolist()) if self.tokens is None else self.tokens[ids].tolist())
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}
@@ -223,6 +228,27 @@ def _asked(texts: Iterable[str], shards: int) -> dict[int, list[str]]:
     return found
 
 
+def _numbered(texts: Iterable[str]) -> tuple[list[np.ndarray], list[bytes]]:
+    """The numbers of each text's segments, in four bytes each; the distinct segments by number. A text is split once, a piece looked up once."""
+    first, later = defaultdict(), defaultdict()
+    first.default_factory, later.default_factory = first.__len__, later.__len__
+    rows = []
+    for t in texts:
+        pieces = iter(pieces_of(t))
+        rows.append(np.array([first[next(pieces)], *map(later.__getitem__, pieces)], np.int32))
+    for r in rows:
+        r[1:] += len(first)
+    return rows, [*map(str.encode, first), *(b" " + w.encode() for w in later)]
+
+
+def _by_shard(segments_: list[bytes], shards: int) -> dict[int, list[int]]:
+    """The numbers of distinct segments by shard, each shard's in the order of _asked."""
+    found: dict[int, list[int]] = {}
+    for i in sorted(range(len(segments_)), key=segments_.__getitem__):
+        found.setdefault(zlib.crc32(segments_[i]) % shards, []).append(i)
+    return found
+
+
 def _dealt(texts: list[str], shards: int) -> tuple[list[list[str]], dict[int, list[str]]]:
     """The segments of each text, all but the first without their leading space, and the distinct whole ones by shard."""
     return list(map(pieces_of, texts)), _asked(texts, shards)
@@ -277,14 +303,14 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool =
         out = []
         for rows, blob in zip(sent.column("rows").combine_chunks(), sent.column("texts").to_pylist(), strict=True):
             texts = _unpacked(blob)
-            ids: dict[str, bytes] = {}
-            for shard, ws in _asked(map(bytes.decode, texts), shards).items():
+            numbers, words = _numbered(map(bytes.decode, texts))
+            ids = np.empty(len(words), object)
+            for shard, at in _by_shard(words, shards).items():
                 digest, got = reply.get(shard, (None, b""))
-                ids.update(zip(ws, _unpacked(got) if digest == _digest([w.encode() for w in ws]) else coder.encode(ws), strict=True))
-            later = {w[1:]: x for w, x in ids.items() if w[:1] == " "}.__getitem__
-            packed = []
-            for ps in (pieces_of(t.decode()) for t in texts):
-                packed.append(b"".join([ids[ps[0]], *map(later, ps[1:])]))
+                ws = [words[i] for i in at]
+                ids[at] = _unpacked(got) if digest == _digest(ws) else coder.encode(list(map(bytes.decode, ws)))
+            packed = [b"".join(ids[n].tolist()) for n in numbers]
+            del texts, numbers, words, ids
             flat = rows.values.flatten()
             cols = [flat[0], pa.array([len(p) // 4 for p in packed], pa.int64()), *(pa.array([hashlib.sha256(f(p)).hexdigest() for p in packed]) for f in (lambda p: p, coder.decode))]
             if with_ids:

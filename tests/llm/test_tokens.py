@@ -64,6 +64,24 @@ def test_memory_of_a_batch(monkeypatch):
     assert len(sizes) > 1 and max(sizes) < 320 and one.encode([]) == []
 
 
+def test_each_text_is_split_once():
+    """Where batches and replies meet, a text is split once, and its segments are known by numbers of four bytes."""
+    texts = [" ".join(f"w{(i * 31 + j) % 500}" for j in range(4000)) for i in range(50)] + NASTY
+    tracemalloc.start()
+    numbers, words = bpe._numbered(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * sum(map(len, texts)) and len(set(words)) == len(words)
+    assert [b"".join(words[i] for i in n).decode() for n in numbers] == texts
+    assert {k: [words[i].decode() for i in at] for k, at in bpe._by_shard(words, 3).items()} == bpe._asked(texts, 3)
+
+
+def test_decoding_takes_no_lookup_by_token():
+    packed = one.encode(["lé 日本 and more"])[0]
+    assert one.decode(packed).decode() == "lé 日本 and more" and one.decode(b"") == b""
+    assert isinstance(one.tokens, bpe.np.ndarray) and all(one.tokens[i] == b for b, i in one.ranks.items())
+
+
 def test_other_partitions_the_second_time(spark, monkeypatch):
     """Replies to other batches than those that come are not used."""
     docs = spark.range(40).selectExpr("id as doc_id", "concat('w', id, ' some more words ', uuid()) as text").repartition(3)
